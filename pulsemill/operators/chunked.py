@@ -177,12 +177,14 @@ def with_day_group(df: DataFrame, day: Column, aggs: Mapping[str, Column]) -> Da
 
 
 def newest_per_group(df: DataFrame, keys, order, oldest: bool = False) -> DataFrame:
-    """The newest row per key as an aggregate, so it combines map-side."""
-    keys, order = names(keys), names(order)
-    pick = F.min_by if oldest else F.max_by
-    rest = [c for c in df.columns if c not in keys]
-    got = df.groupBy(*keys).agg(pick(F.struct(*rest), F.struct(*order)).alias("_row"))
-    return got.select(*[F.col(c) if c in keys else F.col("_row")[c].alias(c) for c in df.columns])
+    """The newest row per key.
+
+    Spark turns the ``= 1`` filter into a group limit ahead of the shuffle:
+    each task sends one row per key, so a hot key is no burden.
+    """
+    along = [F.col(c).asc_nulls_last() if oldest else F.col(c).desc_nulls_last() for c in names(order)]
+    w = Window.partitionBy(*names(keys)).orderBy(*along)
+    return df.withColumn("_newest", F.row_number().over(w)).filter("_newest = 1").drop("_newest")
 
 
 def bounded_broadcast(df: DataFrame, max_rows: int = 1_000_000) -> DataFrame:

@@ -63,8 +63,8 @@ def blocked_processes(df: DataFrame, xml: str = "event_data", id_: str = "id", t
     df = df if days is None else lookback(df, ts, days, "day")
     doc = _parsed(df.filter(F.col(xml).contains("blocked_process_report")), xml, BLOCKED_SCHEMA)
     doc = doc.filter(F.col("_doc._name") == "blocked_process_report")
-    report = F.filter(F.col("_doc.data"), lambda d: d["_name"] == "blocked_process")[0]["value"]["blocked-process-report"]
-    doc = doc.withColumn("_report", report)
+    data = F.get(F.filter(F.col("_doc.data"), lambda d: d["_name"] == "blocked_process"), F.lit(0))
+    doc = doc.withColumn("_report", data["value"]["blocked-process-report"])
     blocked, blocking = (F.col("_report")[f"{side}-process"]["process"] for side in ("blocked", "blocking"))
     doc = doc.filter(blocked["_spid"] != blocking["_spid"])
     doc = doc if sets is None else newest_n(doc, ts, sets)

@@ -9,7 +9,7 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.columns import datediff_boundary
 from .chunked import names, with_day_group, with_group
@@ -100,13 +100,11 @@ def _rank(mode: str, order: Sequence[str]) -> Column:
 def best_mode_rows(df: DataFrame, entity, mode: str, modes_best_first: Sequence[str], ts: str,
                    hours: int = 24) -> DataFrame:
     """Per entity, the best mode of the last ``hours`` and its newest stamp; ties stay."""
-    recent = lookback(df, ts, hours, "hour", exact=True)
-    ranked = recent.withColumn("_rank", _rank(mode, modes_best_first))
-    # One aggregate finds both: least rank first, then the newest stamp.
-    best = F.min(F.struct(F.col("_rank").alias("r"), (-F.unix_micros(F.col(ts).cast("timestamp"))).alias("t")))
-    chosen = with_group(ranked, entity, {"_best": best})
-    here = F.struct(F.col("_rank").alias("r"), (-F.unix_micros(F.col(ts).cast("timestamp"))).alias("t"))
-    return chosen.filter(here == F.col("_best")).drop("_rank", "_best")
+    recent = lookback(df, ts, hours, "hour", exact=True).withColumn("_rank", _rank(mode, modes_best_first))
+    # A rank limit runs before the shuffle: each task sends its own best rows.
+    w = Window.partitionBy(*names(entity)).orderBy("_rank", F.col(ts).desc())
+    best = recent.withColumn("_best", F.rank().over(w)).filter("_best = 1")
+    return best.drop("_rank", "_best")
 
 
 def prefer_detail_per_day(df: DataFrame, entity, mode: str, modes_best_first: Sequence[str],

@@ -121,7 +121,7 @@ def _(t):
 
 @check("h12_pair_begin_end", f"""WITH r AS (SELECT user_id, CAST(event_id // 500 AS BIGINT) AS run, min(CASE WHEN event_type = 'click' THEN ts END) AS started,
 max(CASE WHEN event_type = 'purchase' THEN ts END) AS ended FROM events GROUP BY 1, 2)
-SELECT user_id, run, {at('started')} AS started, {at('ended')} AS ended, epoch_ms(ended) - epoch_ms(started) AS duration_ms FROM r WHERE started IS NOT NULL""")
+SELECT user_id, run, {at('started')} AS started, {at('ended')} AS ended, date_diff('millisecond', started, ended) AS duration_ms FROM r WHERE started IS NOT NULL""")
 def _(t):
     log = t.events.withColumn("run", F.floor(F.col("event_id") / 500))
     return state.pair_begin_end(log, ["user_id", "run"], "ts", F.col("event_type") == "click", F.col("event_type") == "purchase")

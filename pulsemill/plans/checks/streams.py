@@ -1,0 +1,90 @@
+"""Streaming forms: M.  Each drains the events file and reads the sink back."""
+
+from pyspark.sql import DataFrame, functions as F
+
+from ...operators.chunked import newest_per_group
+from ...session import scratch_dir
+from ...sources.event_files import event_file_stream
+from ...streaming import streams
+from . import ORDER_STATES, SNAPSHOTS, at, check, day
+
+
+def _events(t) -> DataFrame:
+    return event_file_stream(t.spark, t.folder, t.events.schema, pathGlobFilter="events.parquet")
+
+
+def _stream_of(t, df: DataFrame, label: str, parts: int, by: str) -> DataFrame:
+    """Write ``df`` as ``parts`` files in time order and stream one file per batch."""
+    path = scratch_dir(t.spark, label)
+    lo, hi = F.min(by), F.max(by)
+    span = df.select(lo.alias("lo"), hi.alias("hi"))
+    pos = F.unix_micros(by)
+    sliced = df.join(F.broadcast(span)).withColumn("_part", F.least(F.lit(parts - 1), F.floor(
+        (pos - F.unix_micros("lo")) * parts / (F.unix_micros("hi") - F.unix_micros("lo") + 1)))).drop("lo", "hi")
+    # One append per slice, so the files arrive in time order.
+    for i in range(parts):
+        sliced.filter(F.col("_part") == i).drop("_part").coalesce(1).write.mode("append").parquet(path)
+    return event_file_stream(t.spark, path, df.schema, max_files=1)
+
+
+@check("m1_stream_counter_delta", f"""WITH {SNAPSHOTS},
+p AS (SELECT *, lag(total) OVER w AS p_total, lag(hits) OVER w AS p_hits, lag(epoch) OVER w AS p_epoch, lag(ts) OVER w AS p_ts FROM snap WINDOW w AS (PARTITION BY entity ORDER BY ts)),
+d AS (SELECT entity, ts, CASE WHEN date_diff('hour', p_ts, ts) > 12 OR p_total IS NULL THEN NULL WHEN p_total > total OR p_epoch <> epoch THEN total ELSE total - p_total END AS delta_total,
+CASE WHEN date_diff('hour', p_ts, ts) > 12 OR p_hits IS NULL THEN NULL WHEN p_hits > hits OR p_epoch <> epoch THEN hits ELSE hits - p_hits END AS delta_hits FROM p)
+SELECT entity, {at('ts')} AS ts, delta_total, delta_hits FROM d WHERE delta_total <> 0 OR delta_hits <> 0""")
+def _(t):
+    root = scratch_dir(t.spark, "delta")
+    s = _stream_of(t, t.snapshots.select("entity", "ts", "epoch", "total", "hits"), "snapshots", 3, "ts")
+    streams.stream_counter_delta(s, "entity", "ts", ["total", "hits"], f"{root}/out", f"{root}/state", f"{root}/checkpoint",
+                                 epoch="epoch", max_gap=12).awaitTermination()
+    return t.spark.read.parquet(f"{root}/out").select("entity", "ts", "delta_total", "delta_hits")
+
+
+@check("m2_stream_dedup", "SELECT user_id, event_type, count(*) AS n FROM events GROUP BY 1, 2")
+def _(t):
+    root = scratch_dir(t.spark, "dedup")
+    twice = _events(t).withColumn("copy", F.explode(F.array(F.lit(0), F.lit(1))))
+    out = streams.stream_dedup(twice, ["event_id"], "ts", "1 hour").select("user_id", "event_type", "event_id")
+    streams.run_to_end(out, f"{root}/out", f"{root}/checkpoint").awaitTermination()
+    return t.spark.read.parquet(f"{root}/out").groupBy("user_id", "event_type").agg(F.count(F.lit(1)).alias("n"))
+
+
+@check("m3_stream_rollup", f"""SELECT event_type, {at("date_trunc('hour', ts)")} AS hour_start, count(*) AS cnt, CAST(sum(CAST(round(value * 100) AS BIGINT)) AS BIGINT) AS sum_s,
+min(CAST(round(value * 100) AS BIGINT)) AS min_s, max(CAST(round(value * 100) AS BIGINT)) AS max_s FROM events GROUP BY 1, 2""")
+def _(t):
+    root = scratch_dir(t.spark, "rollup")
+    e = _stream_of(t, t.events, "events", 3, "ts").withColumn("cents", F.round(F.col("value") * 100).cast("bigint"))
+    out = streams.stream_rollup(e, "event_type", "ts", "cents", "2 hours")
+    streams.run_to_end(out, f"{root}/out", f"{root}/checkpoint", "update").awaitTermination()
+    rows = t.spark.read.parquet(f"{root}/out")
+    return newest_per_group(rows, ["event_type", "hour_start"], "batch_id").drop("batch_id")
+
+
+@check("m4_stream_scd2", f"""WITH {ORDER_STATES},
+seen AS (SELECT *, lag(value) OVER (PARTITION BY entity, key ORDER BY ts, seq) AS was FROM obs),
+ch AS (SELECT *, lead(ts) OVER (PARTITION BY entity, key ORDER BY ts, seq) AS nxt FROM seen WHERE was IS NULL OR was <> value)
+SELECT entity, key, value, {at('ts')} AS valid_from, {at("coalesce(nxt, TIMESTAMP '9999-12-31 23:59:59')")} AS valid_to FROM ch""")
+def _(t):
+    root = scratch_dir(t.spark, "scd2")
+    s = _stream_of(t, t.order_states, "states", 3, "ts")
+    q = streams.stream_scd2(s, ["entity", "key"], "ts", "value", f"{root}/history", f"{root}/checkpoint", ["seq"])
+    q.awaitTermination()
+    return streams.StreamedHistory(f"{root}/history").read(t.spark, q.lastProgress["batchId"])
+
+
+@check("m5_stream_missing_heartbeat", f"""WITH g AS (SELECT user_id, ts, CASE WHEN ts - lag(ts) OVER w < INTERVAL 24 HOUR THEN 0 ELSE 1 END AS new_run FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)),
+r AS (SELECT *, sum(new_run) OVER (PARTITION BY user_id ORDER BY ts) AS run FROM g),
+s AS (SELECT user_id, run, max(ts) AS last_seen, count(*) AS events FROM r GROUP BY 1, 2)
+SELECT user_id, {at('last_seen')} AS last_seen, {at('last_seen + INTERVAL 24 HOUR')} AS silent_since, events FROM s WHERE last_seen + INTERVAL 24 HOUR <= (SELECT max(ts) FROM events) - INTERVAL 1 HOUR""")
+def _(t):
+    root = scratch_dir(t.spark, "heartbeat")
+    out = streams.stream_missing_heartbeat(_events(t), "user_id", "ts", "24 hours", "1 hour")
+    streams.run_to_end(out, f"{root}/out", f"{root}/checkpoint").awaitTermination()
+    return t.spark.read.parquet(f"{root}/out")
+
+
+@check("m6_stream_snapshot_sink", f"SELECT {day('ts')} AS date, count(*) AS n, CAST(sum(event_id) AS BIGINT) AS ids FROM events GROUP BY 1")
+def _(t):
+    root = scratch_dir(t.spark, "sink")
+    streams.stream_snapshot_sink(_events(t), f"{root}/out", f"{root}/checkpoint", "ts").awaitTermination()
+    return t.spark.read.parquet(f"{root}/out").groupBy("date").agg(F.count(F.lit(1)).alias("n"), F.sum("event_id").alias("ids"))

@@ -10,7 +10,6 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types a
 from ..operators.chunked import names
 from .schemas import SHAPES
 
-# Stamps run to 9999-12-31; a partition column keeps pruning by day possible.
 PARTITION = "date"
 
 
@@ -101,12 +100,12 @@ def read_since(df: DataFrame, watermark: DataFrame, entity, ts: str, inclusive:
 def write_partition(df: DataFrame, path: str, ts: str = "ts_utc") -> None:
     """Replace the rows of whole snapshots; safe to run again.
 
-    The snapshot's stamp is the partition, so only the stamps in ``df`` are
-    overwritten.
+    The stamp is a partition below its day, so only the stamps in ``df`` are
+    overwritten and a reader still lists one day at a time.
     """
-    (df.withColumn("snapshot", F.date_format(ts, "yyyyMMdd'T'HHmmss.SSS"))
+    (df.withColumns({PARTITION: F.to_date(ts), "snapshot": F.date_format(ts, "HHmmss.SSSSSS")})
      .write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
-     .partitionBy("snapshot").parquet(path))
+     .partitionBy(PARTITION, "snapshot").parquet(path))
 
 
 def replace_days(df: DataFrame, path: str, date: str = PARTITION) -> None:

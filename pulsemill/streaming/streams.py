@@ -4,12 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 
-from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from ..operators.chunked import names, newest_per_group
 from ..operators.counters import counter_delta
+from ..operators.select import OPEN_END
 from ..operators.state import scd2_build, scd2_merge
 
 
@@ -49,34 +49,35 @@ def stream_snapshot_sink(snapshots: DataFrame, path: str, checkpoint: str, ts: s
 
 
 class BatchState:
-    """A table kept between micro-batches, one folder per batch id.
+    """A table kept between micro-batches, in two folders used in turn.
 
-    Batch n reads the folder of the newest batch before n and writes its own,
-    so a batch that is run again after a failure starts from the same state.
+    Batch n reads what batch n-1 wrote and overwrites the other folder.  A
+    batch that runs again after a failure finds its input untouched, because
+    batch n+1 starts only after batch n is committed.
     """
 
     def __init__(self, root: str):
         self.root = root.rstrip("/")
 
     def _folder(self, batch: int) -> str:
-        return f"{self.root}/batch={batch:012d}"
+        return f"{self.root}/slot={batch % 2}"
 
     def before(self, like: DataFrame, batch: int) -> DataFrame | None:
-        """State after the batch before; batch ids count up without gaps."""
-        if batch == 0:
-            return None
-        try:
-            return like.sparkSession.read.schema(like.schema).parquet(self._folder(batch - 1))
-        except AnalysisException as missing:
-            raise RuntimeError(f"state of batch {batch - 1} is missing below {self.root}") from missing
+        return None if batch == 0 else like.sparkSession.read.schema(like.schema).parquet(self._folder(batch - 1))
 
     def write(self, df: DataFrame, batch: int) -> None:
         df.write.mode("overwrite").parquet(self._folder(batch))
 
-    def read(self, spark, batch: int) -> DataFrame:
+    def read(self, spark: SparkSession, batch: int) -> DataFrame:
         return spark.read.parquet(self._folder(batch))
 
 
+def _write_batch(df: DataFrame, batch: int, path: str) -> None:
+    """Rows of one batch in their own partition; run again, they are replaced."""
+    (df.withColumn("batch_id", F.lit(batch)).write.mode("overwrite")
+     .option("partitionOverwriteMode", "dynamic").partitionBy("batch_id").parquet(path))
+
+
 def stream_counter_delta(snapshots: DataFrame, keys, ts: str, counters: Sequence[str], out: str,
                          state_root: str, checkpoint: str, delay_s: int = 0, epoch: str | None = None,
                          clock: str | None = None, **options) -> StreamingQuery:
@@ -109,8 +110,7 @@ def stream_counter_delta(snapshots: DataFrame, keys, ts: str, counters: Sequence
         due = fresh.filter(F.col(ts) <= limit)
         base = everything.filter("role = 'base'")
         deltas = counter_delta(base.unionByName(due), keys, ts, counters, epoch=epoch, clock=clock, **options)
-        (deltas.filter("role = 'wait'").drop("role").withColumn("batch_id", F.lit(batch_id))
-         .write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("batch_id").parquet(out))
+        _write_batch(deltas.filter("role = 'wait'").drop("role"), batch_id, out)
         last = newest_per_group(base.unionByName(due), keys, ts).withColumn("role", F.lit("base"))
         mark = everything.groupBy().agg(F.max(ts).alias("_n")).select(
             *[(limit if c == ts else F.lit("mark") if c == "role" else F.lit(None)).cast(rows.schema[c].dataType).alias(c)
@@ -121,45 +121,60 @@ def stream_counter_delta(snapshots: DataFrame, keys, ts: str, counters: Sequence
             .trigger(availableNow=True).start())
 
 
-def stream_scd2(observations: DataFrame, keys, ts: str, value: str, state_root: str, checkpoint: str,
+class StreamedHistory:
+    """A history kept by a stream: open rows as state, closed rows append-only."""
+
+    def __init__(self, root: str):
+        self.root = root.rstrip("/")
+        self.open_rows = BatchState(f"{self.root}/open")
+        self.closed = f"{self.root}/closed"
+
+    def write(self, history: DataFrame, batch: int) -> None:
+        still_open = F.col("valid_to") == F.lit(OPEN_END).cast("timestamp")
+        _write_batch(history.filter(~still_open), batch, self.closed)
+        self.open_rows.write(history.filter(still_open), batch)
+
+    def read(self, spark: SparkSession, batch: int) -> DataFrame:
+        """The history as of a batch."""
+        now = self.open_rows.read(spark, batch)
+        closed = spark.read.schema(now.schema.add("batch_id", "int")).parquet(self.closed)
+        return now.unionByName(closed.filter(F.col("batch_id") <= batch).drop("batch_id"))
+
+
+def stream_scd2(observations: DataFrame, keys, ts: str, value: str, root: str, checkpoint: str,
                 order: Sequence[str] = ()) -> StreamingQuery:
-    """M4: a history kept by micro-batches of observations.
+    """M4: a history kept by micro-batches of observations, in time order across batches.
 
-    A batch may change a key several times: its own history is built first
-    (H2), together with the open rows; closed rows are carried over.
-    ``BatchState(state_root).read(spark, batch_id)`` gives the history.
+    A batch may change a key several times: its observations and the open
+    rows give one history (H2); what that closes is appended, what stays
+    open is the next state.  Work grows with the batch and the open rows,
+    not with the history.
     """
-    keys = names(keys)
-    state = BatchState(state_root)
+    keys, history = names(keys), StreamedHistory(root)
 
     def run(batch: DataFrame, batch_id: int) -> None:
         seen = batch.select(*keys, F.col(ts).alias("_at"), *order, value)
-        shape = scd2_build(seen, keys, "_at", value, order)
-        history = state.before(shape, batch_id)
-        if history is None:
-            state.write(shape, batch_id)
-            return
-        still_open = F.col("valid_to") == F.lit("9999-12-31 23:59:59").cast("timestamp")
-        opened = history.filter(still_open).select(*keys, F.col("valid_from").alias("_at"), value)
-        merged = scd2_build(seen.unionByName(opened, allowMissingColumns=True), keys, "_at", value, order)
-        state.write(history.filter(~still_open).unionByName(merged), batch_id)
+        built = scd2_build(seen, keys, "_at", value, order)
+        opened = history.open_rows.before(built, batch_id)
+        if opened is not None:
+            opened = opened.select(*keys, F.col("valid_from").alias("_at"), value)
+            built = scd2_build(seen.unionByName(opened, allowMissingColumns=True), keys, "_at", value, order)
+        history.write(built, batch_id)
 
     return (observations.writeStream.foreachBatch(run).option("checkpointLocation", checkpoint)
             .trigger(availableNow=True).start())
 
 
-def stream_inventory(inventories: DataFrame, keys, ts: str, value: str, state_root: str, checkpoint: str,
-                     ) -> StreamingQuery:
-    """M4 for full inventories: one poll per micro-batch, vanished keys are closed (H1)."""
-    keys = names(keys)
-    state = BatchState(state_root)
+def stream_inventory(inventories: DataFrame, keys, ts: str, value: str, root: str, checkpoint: str) -> StreamingQuery:
+    """M4 for full inventories: one poll per micro-batch; vanished keys are closed (H1)."""
+    keys, history = names(keys), StreamedHistory(root)
 
     def run(batch: DataFrame, batch_id: int) -> None:
         shape = batch.select(*keys, value, F.col(ts).alias("valid_from"), F.col(ts).alias("valid_to"))
-        history = state.before(shape, batch_id)
-        history = shape.limit(0) if history is None else history
+        opened = history.open_rows.before(shape, batch_id)
+        opened = shape.limit(0) if opened is None else opened
         now = batch.select(F.max(ts)).scalar()
-        state.write(scd2_merge(history, batch, keys, value, now), batch_id)
+        history.write(scd2_merge(opened, batch, keys, value, now), batch_id)
 
     return (inventories.writeStream.foreachBatch(run).option("checkpointLocation", checkpoint)
             .trigger(availableNow=True).start())
@@ -175,8 +190,5 @@ def run_to_end(df: DataFrame, path: str, checkpoint: str, mode: str = "append",
     if mode == "append" and each is None:
         writer = df.writeStream.format("parquet").option("path", path)
     else:
-        def save(batch: DataFrame, batch_id: int) -> None:
-            (batch.withColumn("batch_id", F.lit(batch_id)).write.mode("overwrite")
-             .option("partitionOverwriteMode", "dynamic").partitionBy("batch_id").parquet(path))
-        writer = df.writeStream.foreachBatch(each or save)
+        writer = df.writeStream.foreachBatch(each or (lambda batch, batch_id: _write_batch(batch, batch_id, path)))
     return writer.outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
