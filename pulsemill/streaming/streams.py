@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 from pyspark.sql.streaming import StreamingQuery
 
 from ..operators.chunked import names, newest_per_group
@@ -137,7 +137,8 @@ class StreamedHistory:
     def read(self, spark: SparkSession, batch: int) -> DataFrame:
         """The history as of a batch."""
         now = self.open_rows.read(spark, batch)
-        closed = spark.read.schema(now.schema.add("batch_id", "int")).parquet(self.closed)
+        shape = T.StructType([*now.schema.fields, T.StructField("batch_id", T.IntegerType())])
+        closed = spark.read.schema(shape).parquet(self.closed)
         return now.unionByName(closed.filter(F.col("batch_id") <= batch).drop("batch_id"))
 
 
