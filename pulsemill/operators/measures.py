@@ -33,8 +33,9 @@ def share_over(df: DataFrame, by, removed, value: str, name: str = "share") -> D
     by, removed = names(by), names(removed)
     summed = df.groupBy(*by).agg(F.sum(value).alias("value"))
     outer = [c for c in by if c not in removed]
-    out = with_group(summed.withColumn("_all", F.lit(1)), outer or ["_all"], {"_total": F.sum("value")})
-    return out.withColumn(name, safe_ratio("value", "_total")).drop("_all", "_total")
+    out = (with_group(summed, outer, {"_total": F.sum("value")}) if outer
+           else summed.withColumn("_total", summed.select(F.sum("value")).scalar()))
+    return out.withColumn(name, safe_ratio("value", "_total")).drop("_total")
 
 
 def latest_date(df: DataFrame, date: str, *, bounds: tuple[Column, Column] | None = None,

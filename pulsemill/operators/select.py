@@ -11,7 +11,6 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from ..functions.columns import datediff_boundary
 from .chunked import names, with_day_group, with_group
 
 OPEN_END = "9999-12-31 23:59:59"
@@ -37,14 +36,13 @@ def lookback(df: DataFrame, ts: str, n: int, unit: str = "day", exact: bool = Fa
     """Rows near the newest stamp.
 
     By default fewer than ``n`` unit boundaries back; ``exact=True`` keeps
-    ``ts >= newest - n units`` instead.  Both are stated as a lower bound on
-    ``ts``, so files before it are skipped.
+    ``ts >= newest - n units`` instead.  Either way it is one lower bound on
+    ``ts``, worked out inside the subquery, so the scan skips what is older.
     """
-    newest = newest_stamp(df, ts)
-    if exact:
-        return df.filter(F.col(ts) >= F.timestamp_add(unit.upper(), F.lit(-n), newest))
-    floor = F.timestamp_add(unit.upper(), F.lit(-(n - 1)), F.date_trunc(unit, newest))
-    return df.filter((F.col(ts) >= floor) & (datediff_boundary(unit, ts, newest) < n))
+    newest = F.max(ts)
+    bound = (F.timestamp_add(unit.upper(), F.lit(-n), newest) if exact
+             else F.timestamp_add(unit.upper(), F.lit(1 - n), F.date_trunc(unit, newest)))
+    return df.filter(F.col(ts) >= df.select(bound).scalar())
 
 
 def newest_n(df: DataFrame, ts: str, n: int, tie_break: Sequence[str] = ()) -> DataFrame:

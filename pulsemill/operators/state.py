@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from ..functions.columns import datediff_boundary
 from .chunked import by_day, names, newest_per_group, with_next, with_previous
 from .joins import null_safe_join
-from .select import OPEN_END, current_rows, newest_stamp
+from .select import OPEN_END, current_rows
 
 
 def _open_end() -> Column:
@@ -164,13 +164,12 @@ def apply_retention(df: DataFrame, ts: str, rules: Sequence[tuple[int, Column |
     """Keep rows within ``days`` of the table's newest stamp, rule by rule.
 
     Each rule is (days, filter); it drops rows that match the filter (all, if
-    None) and are older.  The newest row is never dropped by a rule of the
-    whole table, so the limit is the same for every rule and is taken once.
+    None) and are older.  No rule drops the newest row, so the rules need not
+    run one after the other.
     """
-    newest = newest_stamp(df, ts)
     keep = F.lit(True)
     for days, only in rules:
-        old = F.col(ts) < F.timestamp_add("DAY", F.lit(-days), newest)
+        old = F.col(ts) < df.select(F.timestamp_add("DAY", F.lit(-days), F.max(ts))).scalar()
         drop = old if only is None else old & F.coalesce(only, F.lit(False))
         keep = keep & ~drop
     return df.filter(keep)
