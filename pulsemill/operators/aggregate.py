@@ -30,9 +30,10 @@ def by_type(df: DataFrame, keys, type_col: str, types: Mapping[str, object],
     return grouped(df, keys, **{n: agg(F.when(F.col(type_col) == t, F.col(value))) for n, t in types.items()})
 
 
-def share_of_total(df: DataFrame, value: str, within, name: str = "share") -> DataFrame:
+def share_of_total(df: DataFrame, value: str, within, name: str = "share",
+                   spread_by: Sequence[str] | None = None) -> DataFrame:
     """A row's part of its group's sum; null where the sum is 0."""
-    out = with_group(df, within, {"_total": F.sum(value)})
+    out = with_group(df, within, {"_total": F.sum(value)}, spread_by)
     part = F.try_divide(F.col(value).cast("double"), F.nullif(F.col("_total").cast("double"), F.lit(0.0)))
     return out.withColumn(name, part).drop("_total")
 

@@ -139,14 +139,16 @@ def with_row_number(df: DataFrame, keys, order, name: str = "row_no",
     return with_running_sum(df, keys, order, {name: F.lit(1).cast("bigint")}, chunk, descending)
 
 
-def with_group(df: DataFrame, keys, aggs: Mapping[str, Column],
+def with_group(df: DataFrame, keys, aggs: Mapping[str, Column], spread_by: Sequence[str] | None = None,
                hot_share: int = HOT_SHARE) -> DataFrame:
     """A group's aggregates on every row of the group, whatever its size.
 
     Stands in for ``agg().over(partitionBy(keys))``.  Groups are reduced by a
     partial aggregate.  Hot groups, fewer than ``hot_share`` of them, come by
     broadcast, and their rows are spread over all tasks; the rest meet in a
-    shuffled null-safe join.
+    shuffled null-safe join.  ``spread_by`` names columns that tell rows of a
+    group apart (an id, a stamp; by default all columns).  They are hashed,
+    not drawn at random, so a lost task gives the same rows again.
     """
     keys = names(keys)
     per = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"), *[c.alias(n) for n, c in aggs.items()])
@@ -156,9 +158,11 @@ def with_group(df: DataFrame, keys, aggs: Mapping[str, Column],
            .withColumnsRenamed({**renamed, **{n: f"_hot_{n}" for n in aggs}})
            .withColumnRenamed("_n", "_hot"))
     cold = (per.withColumnsRenamed({**renamed, **{n: f"_cold_{n}" for n in aggs}})
-            .withColumns({"_r_spread": F.lit(0).cast("bigint"), "_cold": F.col("_n")}).drop("_n"))
+            # Always 0, but no constant: a constant would be folded out of the
+            # join keys, and the spread rows would meet in one task again.
+            .withColumn("_r_spread", F.least(F.col("_n"), F.lit(0).cast("bigint"))).drop("_n"))
     on = [F.col(k).eqNullSafe(F.col(r)) for k, r in renamed.items()]
-    spread = F.when(F.col("_hot").isNull(), F.lit(0)).otherwise(F.xxhash64(*df.columns).bitwiseOR(F.lit(1)))
+    spread = F.when(F.col("_hot").isNull(), F.lit(0)).otherwise(F.xxhash64(*(spread_by or df.columns)).bitwiseOR(F.lit(1)))
     out = (df.join(F.broadcast(hot), reduce(Column.__and__, on), "left").drop(*renamed.values())
            .withColumn("_spread", spread.cast("bigint")))
     out = out.join(cold, reduce(Column.__and__, [*on, F.col("_spread") == F.col("_r_spread")]), "left")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.columns import datediff_boundary, safe_ratio
 from .chunked import names, with_previous
@@ -110,12 +110,6 @@ FRACTION_TYPE = 537003264
 BASE_TYPE = 1073939712
 
 
-def _base_name(counter: Column) -> Column:
-    """What a counter and its base share: the name up to '(' or 'BASE'."""
-    upper = F.upper(counter)
-    return F.rtrim(F.regexp_extract(upper, r"^([^(]*)", 1))
-
-
 def cook_counters(df: DataFrame, ts: str = "ts_utc", *, object_: str = "object", counter: str = "counter",
                   instance: str = "instance", value: str = "value", type_: str = "type",
                   integer_rate: bool = True, chunk: Column | None = None) -> DataFrame:
@@ -124,10 +118,14 @@ def cook_counters(df: DataFrame, ts: str = "ts_utc", *, object_: str = "object",
     Raw types show the value; rates the gain per second (whole numbers unless
     ``integer_rate=False``); averages the gain over their base; fractions the
     value over their base, to three places.  A row needs its previous
-    snapshot, 1 to 60 minute boundaries back; negative results are null.
+    snapshot, 1 to 60 minute boundaries back; negative results are null, and a
+    counter without its base (or with a base of 0) gives no row.  Rows of
+    other types are not shown.
     """
+    shown = (*RAW_TYPES, *PER_SECOND_TYPES, AVERAGE_TYPE, FRACTION_TYPE, BASE_TYPE)
     entity = [object_, counter, instance]
     rows = previous_snapshot_join(df, entity, ts, {"_was": value, "_was_at": ts}, chunk=chunk)
+    rows = rows.filter(F.col(type_).isin(*shown))
     rows = rows.filter(datediff_boundary("minute", "_was_at", ts).between(1, 60))
     rows = rows.withColumns({"_gain": F.col(value) - F.col("_was"),
                              "_secs": datediff_boundary("second", "_was_at", ts)})
@@ -135,24 +133,22 @@ def cook_counters(df: DataFrame, ts: str = "ts_utc", *, object_: str = "object",
     whole = lambda num, den: F.expr(f"try_divide({num}, nullif({den}, 0L))")
     cut = (lambda c: F.when(c < 0, F.ceil(c)).otherwise(F.floor(c))) if integer_rate else (lambda c: c)
 
-    plain = rows.filter(kind.isin(*RAW_TYPES, *PER_SECOND_TYPES)).withColumn(
-        "_cooked", F.when(kind.isin(*RAW_TYPES), F.col(value).cast("double"))
-        .otherwise(cut(whole("_gain", "_secs")).cast("double")))
-    shared = {"_join": _base_name(F.col(counter))}
-    base = (rows.filter((kind == BASE_TYPE) & (F.col(value) != 0))
-            .select(F.upper(object_).alias("_b_object"), F.upper(instance).alias("_b_instance"),
-                    F.rtrim(F.regexp_extract(F.upper(counter), "^(.*?)BASE", 1)).alias("_b_join"),
-                    F.col(ts).alias("_b_ts"), F.col(value).alias("_base")))
-    over = (rows.filter(kind.isin(AVERAGE_TYPE, FRACTION_TYPE)).withColumns(shared)
-            .withColumn("_join", F.when(kind == FRACTION_TYPE, F.rtrim(F.upper(counter))).otherwise(F.col("_join"))))
-    over = over.join(base, (F.col("_join") == F.col("_b_join")) & (F.col(ts) == F.col("_b_ts"))
-                     & (F.upper(object_) == F.col("_b_object")) & (F.upper(instance) == F.col("_b_instance")))
-    over = over.withColumn(
-        "_cooked", F.when(kind == AVERAGE_TYPE, cut(whole("_gain", "_base")).cast("double"))
-        .otherwise(F.round(whole(value, "_base"), 3).cast("double")))
-    both = plain.select(*df.columns, "_cooked").unionByName(over.select(*df.columns, "_cooked"))
-    return (both.withColumn("cooked_value", F.when(F.col("_cooked") >= 0, F.col("_cooked")))
-            .select(*df.columns, "cooked_value"))
+    # A counter and its base share object, instance, stamp and name stem: a
+    # handful of rows, so one narrow window finds the base without a self join.
+    stem = (F.when(kind == BASE_TYPE, F.regexp_extract(F.upper(counter), "^(.*?)BASE", 1))
+            .when(kind == AVERAGE_TYPE, F.regexp_extract(F.upper(counter), r"^([^(]*)", 1))
+            .otherwise(F.upper(counter)))
+    related = Window.partitionBy(F.upper(object_), F.upper(instance), F.rtrim(stem), ts)
+    usable = (kind == BASE_TYPE) & (F.col(value) != 0)
+    rows = rows.withColumn("_bases", F.collect_list(F.when(usable, F.col(value))).over(related)).filter(kind != BASE_TYPE)
+
+    alone = kind.isin(*RAW_TYPES, *PER_SECOND_TYPES)
+    rows = rows.select("*", F.explode(F.when(alone, F.array(F.lit(1).cast("bigint"))).otherwise(F.col("_bases"))).alias("_base"))
+    cooked = (F.when(kind.isin(*RAW_TYPES), F.col(value).cast("double"))
+              .when(kind.isin(*PER_SECOND_TYPES), cut(whole("_gain", "_secs")).cast("double"))
+              .when(kind == AVERAGE_TYPE, cut(whole("_gain", "_base")).cast("double"))
+              .when(kind == FRACTION_TYPE, F.round(whole(value, "_base"), 3).cast("double")))
+    return rows.withColumn("cooked_value", F.when(cooked >= 0, cooked)).select(*df.columns, "cooked_value")
 
 
 def ratio_at_stamp(df: DataFrame, keys, ts: str, value: str, numerator: Column, denominator: Column,

@@ -27,7 +27,10 @@ _OPTIONS = {"attributePrefix": "_", "mode": "PERMISSIVE", "ignoreSurroundingSpac
 
 
 def _parsed(df: DataFrame, xml: str, schema: str) -> DataFrame:
-    return df.withColumn("_doc", F.from_xml(F.col(xml), schema, _OPTIONS))
+    # Through explode, so that later filters and columns use the parsed value
+    # instead of being pushed below it and parsing again.
+    doc = F.from_xml(F.col(xml), schema, _OPTIONS)
+    return df.select("*", F.explode(F.array(doc)).alias("_doc")).drop(xml)
 
 
 def malformed(df: DataFrame, xml: str = "event_data") -> DataFrame:

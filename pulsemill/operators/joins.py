@@ -85,12 +85,11 @@ def latest_parent(df: DataFrame, key, seq: str, is_parent: Column, values: Mappi
     return out.select(*df.columns, *[F.col("_parent")[src].alias(n) for n, src in values.items()])
 
 
-def first_row_per_group(df: DataFrame, keys, order, values: Mapping[str, str],
-                        hot_share: int | None = None) -> DataFrame:
+def first_row_per_group(df: DataFrame, keys, order, values: Mapping[str, str]) -> DataFrame:
     """Columns of the group's first row on each of its rows."""
     at = F.struct(*names(order))
     aggs = {n: F.min_by(src, at) for n, src in values.items()}
-    return with_group(df, keys, aggs, **({} if hot_share is None else {"hot_share": hot_share}))
+    return with_group(df, keys, aggs, names(order))
 
 
 def interval_number(df: DataFrame, key, seq: str, is_boundary: Column, name: str = "interval_no",
@@ -113,9 +112,9 @@ def interval_agg(df: DataFrame, key, seq: str, is_boundary: Column, aggs: Mappin
     return numbered.groupBy(*names(key), "interval_no").agg(*[c.alias(n) for n, c in aggs.items()])
 
 
-def group_flag(df: DataFrame, keys, test: Column, name: str) -> DataFrame:
+def group_flag(df: DataFrame, keys, test: Column, name: str, spread_by: Sequence[str] | None = None) -> DataFrame:
     """Does any row of the group pass the test?"""
-    return with_group(df, keys, {name: F.max(F.coalesce(test, F.lit(False)))})
+    return with_group(df, keys, {name: F.max(F.coalesce(test, F.lit(False)))}, spread_by)
 
 
 def with_number_series(df: DataFrame, start: Column, stop: Column, name: str = "n") -> DataFrame:
@@ -157,7 +156,7 @@ def wildcard_join(df: DataFrame, spec: DataFrame, keys: Sequence[str]) -> DataFr
     return out.filter(reduce(Column.__or__, hits)).select(*df.columns)
 
 
-def group_bounds(df: DataFrame, keys, values: Mapping[str, Column]) -> DataFrame:
+def group_bounds(df: DataFrame, keys, values: Mapping[str, Column], spread_by: Sequence[str] | None = None) -> DataFrame:
     """MIN/MAX (or any aggregate) of the group's rows on each of them."""
-    return with_group(df, keys, values)
+    return with_group(df, keys, values, spread_by)
 

@@ -109,5 +109,5 @@ def prefer_detail_per_day(df: DataFrame, entity, mode: str, modes_best_first: Se
                           ts: str) -> DataFrame:
     """C11: per entity and day, the rows of the best mode seen that day."""
     ranked = df.withColumns({"_day": F.to_date(ts), "_rank": _rank(mode, modes_best_first)})
-    chosen = with_group(ranked, [*names(entity), "_day"], {"_best": F.min("_rank")})
+    chosen = with_group(ranked, [*names(entity), "_day"], {"_best": F.min("_rank")}, [ts])
     return chosen.filter(F.col("_rank") == F.col("_best")).drop("_day", "_rank", "_best")

@@ -80,7 +80,7 @@ def _(t):
 
 @check("d11_group_flag", "SELECT l_orderkey, CAST(l_linenumber AS BIGINT) AS l_linenumber, CAST(max(CASE WHEN l_returnflag = 'R' THEN 1 ELSE 0 END) OVER (PARTITION BY l_orderkey) AS BIGINT) AS has_return FROM lineitem")
 def _(t):
-    return joins.group_flag(t.lineitem, "l_orderkey", F.col("l_returnflag") == "R", "has_return").select("l_orderkey", "l_linenumber", "has_return")
+    return joins.group_flag(t.lineitem, "l_orderkey", F.col("l_returnflag") == "R", "has_return", ["l_linenumber"]).select("l_orderkey", "l_linenumber", "has_return")
 
 
 @check("d12_number_series", "SELECT p_partkey, CAST(n AS BIGINT) AS n FROM part, LATERAL (SELECT unnest(generate_series(CAST(p_size % 5 AS BIGINT), 3)) AS n)")

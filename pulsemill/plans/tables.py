@@ -62,10 +62,9 @@ class Tables:
     @cached_property
     def order_states(self) -> DataFrame:
         """State observations: a customer's order status and priority, seen at each order."""
-        o = self.orders.select(F.col("o_custkey").alias("entity"), F.col("o_orderdate").alias("ts"),
-                               F.col("o_orderkey").alias("seq"), F.col("o_orderstatus").alias("status"),
-                               F.col("o_orderpriority").alias("priority"))
-        return o.unpivot(["entity", "ts", "seq"], ["status", "priority"], "key", "value")
+        kv = lambda key, col: F.struct(F.lit(key).alias("key"), F.col(col).alias("value"))
+        return self.orders.select(F.col("o_custkey").alias("entity"), F.col("o_orderdate").alias("ts"), F.col("o_orderkey").alias("seq"),
+                                  F.inline(F.array(kv("status", "o_orderstatus"), kv("priority", "o_orderpriority"))))
 
     @cached_property
     def state(self) -> DataFrame:

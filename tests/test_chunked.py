@@ -48,7 +48,7 @@ def test_global_row_number_descending(data):
 @pytest.mark.parametrize("hot_share", [1, 2, 10, 10_000])
 def test_group_values_with_and_without_hot_keys(data, hot_share):
     aggs = {"n": F.count(F.lit(1)), "m": F.max("v")}
-    got = ch.with_group(data, "k", aggs, hot_share)
+    got = ch.with_group(data, "k", aggs, ["seq"], hot_share)
     w = Window.partitionBy("k")
     want = data.withColumns({"n": F.count(F.lit(1)).over(w), "m": F.max("v").over(w)})
     assert rows(got, "k", "seq", "v", "n", "m") == rows(want, "k", "seq", "v", "n", "m")
@@ -57,7 +57,7 @@ def test_group_values_with_and_without_hot_keys(data, hot_share):
 def test_group_values_over_several_null_keys(spark):
     df = frame(spark, "a string, b int, v int", [(None, None, 1), (None, None, 2), (None, 1, 3), ("x", None, 4)])
     for share in (1, 10_000):
-        assert rows(ch.with_group(df, ["a", "b"], {"s": F.sum("v")}, share), "v", "s") == [(1, 3), (2, 3), (3, 3), (4, 4)]
+        assert rows(ch.with_group(df, ["a", "b"], {"s": F.sum("v")}, hot_share=share), "v", "s") == [(1, 3), (2, 3), (3, 3), (4, 4)]
 
 
 def test_day_groups_and_newest(spark):
