@@ -12,7 +12,10 @@ from .reshape import pivot_slots
 
 # Run status codes and their labels.
 RUN_STATUS = {0: "Failed", 1: "Succeeded", 2: "Retry", 3: "Canceled", 4: "In progress", -1: "Missing data"}
-SUCCEEDED, IN_PROGRESS, MISSING = 1, 4, -1
+FAILED, SUCCEEDED, IN_PROGRESS, MISSING = 0, 1, 4, -1
+# Report keys of job outcomes, in report order.
+OUTCOMES = {0: "Succeeded", 1: "Ended with errors", 2: "Failed", 3: "Retry", 4: "Canceled", 5: "In progress",
+            99: "Missing data"}
 
 
 def runs_from_history(hist: DataFrame, job: str, seq: str, step: str, status: str,
@@ -48,8 +51,15 @@ def runs_from_history(hist: DataFrame, job: str, seq: str, step: str, status: st
 
 def run_status_text(job_status: Column, steps_status: Column) -> Column:
     """A successful run with a failed step 'Ended with errors'."""
-    ended = (job_status == SUCCEEDED) & ~steps_status.isin(SUCCEEDED, MISSING)
-    return F.when(ended, "Ended with errors").otherwise(decode(job_status, RUN_STATUS))
+    ended = (job_status == SUCCEEDED) & (steps_status == FAILED)
+    return F.when(ended, OUTCOMES[1]).otherwise(decode(job_status, RUN_STATUS))
+
+
+def outcome_key(job_status: Column, steps_status: Column) -> Column:
+    """J2 as the key of the outcome dimension; null for an unknown status."""
+    text = run_status_text(job_status, steps_status)
+    keys = F.create_map(*[F.lit(x) for key, label in OUTCOMES.items() for x in (label, key)])
+    return F.try_element_at(keys, text).cast("bigint")
 
 
 def failed_steps(hist: DataFrame, job: str, seq: str, step: str, status: str, duration: str,

@@ -29,7 +29,7 @@ def connect(folder: str):
 
 def _norm(v):
     if isinstance(v, float):
-        return "nan" if math.isnan(v) else f"{v:.9g}"
+        return "nan" if math.isnan(v) else repr(v)
     return "" if v is None else f"{type(v).__name__}:{v}"
 
 
