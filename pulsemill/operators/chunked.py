@@ -1,7 +1,7 @@
 """Ordered and grouped work that survives one key holding a third of all rows.
 
 A plain ``Window.partitionBy(entity)`` puts a whole entity into one task.
-Here an entity's rows are cut into chunks along the order column (a day, an
+Here an entity's rows are cut into chunks along the order column (a month, an
 id range), each chunk is windowed on its own, and what must cross a chunk
 boundary travels as one *seed row* per (entity, chunk):
 
@@ -12,8 +12,9 @@ boundary travels as one *seed row* per (entity, chunk):
 
 A chunk must be a non-decreasing function of the first order column.  Its
 size is bounded by the data model: stamps of one entity are distinct, so a
-day holds at most its polls; ids are distinct, so an id range holds at most
-its width.
+month holds at most its polls (43 200 at one a minute); ids are distinct, so
+an id range holds at most its width.  Coarser chunks mean fewer summaries,
+finer ones smaller tasks; months suit polls, days suit event streams.
 """
 
 from __future__ import annotations
@@ -37,6 +38,14 @@ def by_day(ts: str) -> Column:
     return F.to_date(ts)
 
 
+def by_month(ts: str) -> Column:
+    return F.trunc(F.to_date(ts), "month")
+
+
+def by_year(ts: str) -> Column:
+    return F.trunc(F.to_date(ts), "year")
+
+
 def by_range(col: str, width: int = 1_000_000) -> Column:
     return F.floor(F.col(col) / width)
 
@@ -72,7 +81,7 @@ def with_previous(df: DataFrame, keys, order, values: Mapping[str, str],
     """``values`` maps a new column to the column it lags by one row.
 
     All lags share one shuffle and one sort.  ``order`` must be total within
-    a key; ``chunk`` defaults to the day of the first order column.
+    a key; ``chunk`` defaults to the month of the first order column.
     """
     return _neighbour(df, names(keys), names(order), values, chunk, forward=True)
 
@@ -84,7 +93,7 @@ def with_next(df: DataFrame, keys, order, values: Mapping[str, str],
 
 
 def _neighbour(df, keys, order, values, chunk, forward):
-    chunk = by_day(order[0]) if chunk is None else chunk
+    chunk = by_month(order[0]) if chunk is None else chunk
     pick = F.max_by if forward else F.min_by
     sources = dict.fromkeys(values.values())
     # Keys and the chunk keep their own values on a seed row, so what is
@@ -104,7 +113,7 @@ def with_last_known(df: DataFrame, keys, order, values: Mapping[str, Column],
                     chunk: Column | None = None) -> DataFrame:
     """The latest non-null value among strictly earlier rows of the key."""
     keys, order = names(keys), names(order)
-    chunk = by_day(order[0]) if chunk is None else chunk
+    chunk = by_month(order[0]) if chunk is None else chunk
     held = {new: f"_held_{new}" for new in values}
     work = df.withColumns({held[new]: c for new, c in values.items()})
     at = _position(order)
@@ -125,7 +134,7 @@ def with_running_sum(df: DataFrame, keys, order, values: Mapping[str, Column],
     """
     keys = names(keys)
     order = [order] if isinstance(order, (str, Column)) else list(order)
-    chunk = by_day(order[0]) if chunk is None else chunk
+    chunk = by_month(order[0]) if chunk is None else chunk
     work = df.withColumns(dict(values))
     work = _seeded(work, keys, chunk, {n: F.sum(n) for n in values}, "sum", forward=not descending)
     w = (Window.partitionBy(*keys, CHUNK).orderBy(F.col(SEED).desc(), *order)

@@ -12,7 +12,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.columns import datediff_boundary
-from .chunked import by_day, names, newest_per_group, with_next, with_previous
+from .chunked import by_year, names, newest_per_group, with_next, with_previous
 from .joins import null_safe_join
 from .select import OPEN_END, current_rows
 
@@ -77,7 +77,7 @@ def state_history(state: DataFrame, entity, key: str = "key", value: str = "valu
     rows = state if only_keys is None else state.filter(F.col(key).isin(list(only_keys)))
     present = current_rows(state, valid_to).select(*entity).distinct()
     rows = null_safe_join(rows, present, entity, "left_semi")
-    out = with_next(rows, [*entity, key], valid_to, {"newer_value": value}, by_day(valid_to))
+    out = with_next(rows, [*entity, key], valid_to, {"newer_value": value}, by_year(valid_to))
     differs = F.col(value) != F.col("newer_value")
     if ignore_empty:
         differs = (F.col(value) != "") & differs

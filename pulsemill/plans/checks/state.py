@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from ...operators import state
 from ...operators.aggregate import hourly_rollup
+from ...operators.chunked import by_year
 from . import HISTORY, ORDER_STATES, STATE, at, check, day
 
 _SPLIT = "TIMESTAMP '1999-06-30'"
@@ -32,7 +33,7 @@ seen AS (SELECT *, lag(value) OVER (PARTITION BY entity, key ORDER BY ts, seq) A
 ch AS (SELECT *, lead(ts) OVER (PARTITION BY entity, key ORDER BY ts, seq) AS nxt FROM seen WHERE was IS NULL OR was <> value)
 SELECT entity, key, value, {at('ts')} AS valid_from, {at("coalesce(nxt, TIMESTAMP '9999-12-31 23:59:59')")} AS valid_to FROM ch""")
 def _(t):
-    return state.scd2_build(t.order_states, ["entity", "key"], "ts", "value", ["seq"])
+    return state.scd2_build(t.order_states, ["entity", "key"], "ts", "value", ["seq"], chunk=by_year("ts"))
 
 
 @check("h3_state_history", f"""WITH {STATE},

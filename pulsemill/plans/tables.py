@@ -69,10 +69,10 @@ class Tables:
     @cached_property
     def state(self) -> DataFrame:
         """The history of ``order_states``, one day per observation, last order of the day."""
-        from ..operators.chunked import newest_per_group
+        from ..operators.chunked import by_year, newest_per_group
         from ..operators.state import scd2_build
         daily = newest_per_group(self.order_states, ["entity", "key", "ts"], "seq")
-        return scd2_build(daily, ["entity", "key"], "ts", "value")
+        return scd2_build(daily, ["entity", "key"], "ts", "value", chunk=by_year("ts"))
 
 
 def plain(df: DataFrame) -> DataFrame:

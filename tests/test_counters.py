@@ -4,6 +4,7 @@ import pytest
 from helpers import frame, rows, ts
 from pyspark.sql import functions as F
 
+from pulsemill.operators.chunked import by_day, by_month, by_year
 from pulsemill.operators.counters import (DELTA_RULES, cook_counters, counter_delta, delta_from_first, query_deltas,
                                           ratio_at_stamp, with_latency)
 
@@ -69,7 +70,13 @@ def test_rows_without_a_known_gain_are_dropped(spark):
 
 def test_previous_row_is_found_days_back_and_null_keys_are_one_entity(spark):
     df = snap(spark, [(None, ts(1), 5, 1, E1, 0), (None, ts(24 * 9), 8, 2, E1, 1), ("x", ts(24 * 5), 1, 1, E1, 1)])
-    assert deltas(df) == [(None, ts(24 * 9), 3, 1)]
+    assert deltas(df) == deltas(df, chunk=by_day("ts")) == [(None, ts(24 * 9), 3, 1)]
+
+
+@pytest.mark.parametrize("chunk", [by_day, by_month, by_year])
+def test_chunks_do_not_show(spark, chunk):
+    df = snap(spark, [("x", ts(24 * 20 * i), i * i, i, E1, i) for i in range(40)])
+    assert deltas(df, chunk=chunk("ts")) == [("x", ts(24 * 20 * i), 2 * i - 1, 1) for i in range(1, 40)]
 
 
 def test_previous_snapshot_is_table_wide(spark):

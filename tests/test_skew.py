@@ -41,7 +41,7 @@ def test_group_values(hot, shuffled_joins):
 
 
 def test_deltas(hot, shuffled_joins):
-    out = counters.counter_delta(hot, "k", "ts", ["n"], drop_zero=False)
+    out = counters.counter_delta(hot, "k", "ts", ["n"], drop_zero=False, chunk=chunked.by_day("ts"))
     assert largest_task(out) < 0.25 and out.count() == ROWS
     # The 41 days of the hot key: gains of 1 and 2 in turn, across day ends too.
     assert out.filter("k = 0").groupBy("delta_n").count().filter("delta_n IS NOT NULL").count() == 2
@@ -54,5 +54,5 @@ def test_running_count_and_runs(hot, shuffled_joins):
 
 
 def test_history(hot, shuffled_joins):
-    out = state.scd2_build(hot, "k", "ts", "v")
+    out = state.scd2_build(hot, "k", "ts", "v", chunk=chunked.by_day("ts"))
     assert largest_task(out) < 0.25
