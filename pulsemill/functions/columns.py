@@ -95,7 +95,7 @@ def unpack_date(packed: ColumnLike) -> Column:
 def unpack_seconds(packed: ColumnLike) -> Column:
     """Hhmmss integer to seconds; the hour part may pass 24."""
     p = as_col(packed).cast("bigint")
-    return F.expr("0") + F.floor(p / 10000) * 3600 + F.floor(p / 100) % 100 * 60 + p % 100
+    return F.floor(p / 10000) * 3600 + F.floor(p / 100) % 100 * 60 + p % 100
 
 
 packed_duration = unpack_seconds

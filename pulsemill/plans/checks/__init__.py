@@ -67,4 +67,4 @@ state AS (SELECT entity, key, value, ts AS valid_from,
   coalesce(lead(ts) OVER (PARTITION BY entity, key ORDER BY ts), TIMESTAMP '9999-12-31 23:59:59') AS valid_to
   FROM seen WHERE was IS NULL OR was <> value)"""
 
-from . import columns, counters, facts, joins, model, runs, selection, sources, state, streams  # noqa: E402,F401
+from . import columns, counters, facts, joins, model, runs, selection, sources, state, streams, views  # noqa: E402,F401

@@ -47,9 +47,21 @@ def stamp(df: DataFrame, ts_utc: Column, zone: str, utc: str = "ts_utc", local:
     return df.withColumn(utc, ts_utc).withColumn(local, F.from_utc_timestamp(utc, zone))
 
 
-def append_snapshot(df: DataFrame, path: str, ts: str = "ts_utc", sort: Sequence[str] = ()) -> None:
-    """A3: append, partitioned by day; rows are sorted inside each file for pruning."""
+def _by_day(df: DataFrame, ts: str, spread: bool) -> DataFrame:
+    """Add the day; with ``spread``, one shuffle gives each day few, well-sized
+    files, and AQE splits a day that is too big for one task."""
     out = df.withColumn(PARTITION, F.to_date(ts))
+    return out.hint("rebalance", PARTITION) if spread else out
+
+
+def append_snapshot(df: DataFrame, path: str, ts: str = "ts_utc", sort: Sequence[str] = (),
+                    spread: bool = False) -> None:
+    """A3: append, partitioned by day; rows are sorted inside each file for pruning.
+
+    A poll has one day and needs no shuffle; set ``spread`` for a backfill of
+    many days.
+    """
+    out = _by_day(df, ts, spread)
     if sort:
         out = out.sortWithinPartitions(PARTITION, *sort)
     out.write.mode("append").partitionBy(PARTITION).parquet(path)
@@ -97,20 +109,25 @@ def read_since(df: DataFrame, watermark: DataFrame, entity, ts: str, inclusive:
     return df.join(wm, on, "left").filter(F.col("_mark").isNull() | due).select(*df.columns)
 
 
-def write_partition(df: DataFrame, path: str, ts: str = "ts_utc") -> None:
+def write_partition(df: DataFrame, path: str, ts: str = "ts_utc", spread: bool = False) -> None:
     """Replace the rows of whole snapshots; safe to run again.
 
     The stamp is a partition below its day, so only the stamps in ``df`` are
     overwritten and a reader still lists one day at a time.
     """
-    (df.withColumns({PARTITION: F.to_date(ts), "snapshot": F.date_format(ts, "HHmmss.SSSSSS")})
+    (_by_day(df, ts, spread).withColumn("snapshot", F.date_format(ts, "HHmmss.SSSSSS"))
      .write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
      .partitionBy(PARTITION, "snapshot").parquet(path))
 
 
 def replace_days(df: DataFrame, path: str, date: str = PARTITION) -> None:
-    """Replace whole days of a date-partitioned table (rollups, retention)."""
-    (df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(date).parquet(path))
+    """Replace whole days of a date-partitioned table (rollups, retention).
+
+    ``df`` may read the same table: its new days are staged in full before
+    the old ones go.
+    """
+    (df.hint("rebalance", date).write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+     .partitionBy(date).parquet(path))
 
 
 def select_services(loads: Sequence[str], tables: Mapping[str, DataFrame]) -> dict[str, DataFrame]:

@@ -72,6 +72,18 @@ class BatchState:
         return spark.read.parquet(self._folder(batch))
 
 
+def _each_batch(work: Callable[[DataFrame, int], None]) -> Callable[[DataFrame, int], None]:
+    """Keep a micro-batch while ``work`` reads it several times; what an
+    executor loses is read from the source again."""
+    def run(batch: DataFrame, batch_id: int) -> None:
+        batch.persist()
+        try:
+            work(batch, batch_id)
+        finally:
+            batch.unpersist()
+    return run
+
+
 def _write_batch(df: DataFrame, batch: int, path: str) -> None:
     """Rows of one batch in their own partition; run again, they are replaced."""
     (df.withColumn("batch_id", F.lit(batch)).write.mode("overwrite")
@@ -83,8 +95,8 @@ def stream_counter_delta(snapshots: DataFrame, keys, ts: str, counters: Sequence
                          clock: str | None = None, **options) -> StreamingQuery:
     """M1: I1 over a stream, exact for rows up to ``delay_s`` out of order.
 
-    Each micro-batch joins the rows held back so far, and the last row
-    released per entity, and runs the batch operator on them.  Rows newer than (newest stamp -
+    Each micro-batch is put to the rows held back so far and the last row
+    released per entity, and the batch operator runs on them.  Rows newer than (newest stamp -
     delay) wait; rows at or before the stamp released last are late and are
     dropped.  The work is the same distributed plan as in batch, so a hot
     entity is cut into chunks here too.
@@ -117,7 +129,7 @@ def stream_counter_delta(snapshots: DataFrame, keys, ts: str, counters: Sequence
               for c in rows.columns])
         state.write(last.unionByName(fresh.filter(F.col(ts) > limit)).unionByName(mark), batch_id)
 
-    return (snapshots.writeStream.foreachBatch(run).option("checkpointLocation", checkpoint)
+    return (snapshots.writeStream.foreachBatch(_each_batch(run)).option("checkpointLocation", checkpoint)
             .trigger(availableNow=True).start())
 
 
@@ -162,7 +174,7 @@ def stream_scd2(observations: DataFrame, keys, ts: str, value: str, root: str, c
             built = scd2_build(seen.unionByName(opened, allowMissingColumns=True), keys, "_at", value, order)
         history.write(built, batch_id)
 
-    return (observations.writeStream.foreachBatch(run).option("checkpointLocation", checkpoint)
+    return (observations.writeStream.foreachBatch(_each_batch(run)).option("checkpointLocation", checkpoint)
             .trigger(availableNow=True).start())
 
 
@@ -177,7 +189,7 @@ def stream_inventory(inventories: DataFrame, keys, ts: str, value: str, root: st
         now = batch.select(F.max(ts)).scalar()
         history.write(scd2_merge(opened, batch, keys, value, now), batch_id)
 
-    return (inventories.writeStream.foreachBatch(run).option("checkpointLocation", checkpoint)
+    return (inventories.writeStream.foreachBatch(_each_batch(run)).option("checkpointLocation", checkpoint)
             .trigger(availableNow=True).start())
 
 

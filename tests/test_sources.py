@@ -71,6 +71,17 @@ def test_replace_days_leaves_other_days(spark, tmp_path):
     snapshots.replace_days(frame(spark, schema, [(ts(0).date(), 1), (ts(24).date(), 2)]), path)
     snapshots.replace_days(frame(spark, schema, [(ts(24).date(), 9)]), path)
     assert rows(spark.read.parquet(path), "v") == [(1,), (9,)]
+    # A table may be rewritten from itself.
+    snapshots.replace_days(spark.read.parquet(path).select("date", (F.col("v") + 1).alias("v")).filter("date = '2024-01-02'"), path)
+    assert rows(spark.read.parquet(path), "v") == [(1,), (10,)]
+
+
+def test_backfill_writes_few_files_per_day(spark, tmp_path):
+    path = str(tmp_path / "b")
+    many = spark.range(0, 4000, numPartitions=16).select("id", F.timestamp_seconds(F.lit(1704067200) + F.col("id") % 4 * 86400).alias("ts_utc"))
+    snapshots.append_snapshot(many, path, sort=["id"], spread=True)
+    back = spark.read.parquet(path)
+    assert back.count() == 4000 and len(back.inputFiles()) <= 8
 
 
 def test_unselected_services_come_back_empty_with_their_schema(spark):
