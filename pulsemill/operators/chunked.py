@@ -95,18 +95,14 @@ def with_next(df: DataFrame, keys, order, values: Mapping[str, str],
 def _neighbour(df, keys, order, values, chunk, forward):
     chunk = by_month(order[0]) if chunk is None else chunk
     pick = F.max_by if forward else F.min_by
-    sources = dict.fromkeys(values.values())
-    # Keys and the chunk keep their own values on a seed row, so what is
-    # looked at goes through columns of its own.
-    held = {src: f"_held_{src}" for src in sources}
-    work = df.withColumns({h: F.col(src) for src, h in held.items()})
-    work = _seeded(work, keys, chunk, {h: pick(h, _position(order)) for h in held.values()},
-                   "neighbour", forward)
+    # A seed carries the neighbour's values in the rows' own columns, so no
+    # copy is shuffled; it sorts by its mark, not by what it carries.
+    seen = [c for c in dict.fromkeys(values.values()) if c not in keys]
+    work = _seeded(df, keys, chunk, {c: pick(c, _position(order)) for c in seen}, "neighbour", forward)
     seed_side = F.col(SEED).desc() if forward else F.col(SEED).asc()
     w = Window.partitionBy(*keys, CHUNK).orderBy(seed_side, *order)
     look = F.lag if forward else F.lead
-    out = work.withColumns({new: look(held[src]).over(w) for new, src in values.items()})
-    return _unseed(out).drop(*held.values())
+    return _unseed(work.withColumns({new: look(src).over(w) for new, src in values.items()}))
 
 
 def with_last_known(df: DataFrame, keys, order, values: Mapping[str, Column],
