@@ -65,10 +65,10 @@ def _seeded(df: DataFrame, keys: Sequence[str], chunk: Column, summaries: Mappin
         "last": lambda n: F.last(n, ignorenulls=True).over(earlier),
         "sum": lambda n: F.sum(n).over(earlier),
     }
-    seeds = (per_chunk.withColumn("_at", F.row_number().over(along))
-             .select(*keys, CHUNK, F.lit(True).alias(SEED), "_at",
+    seeds = (per_chunk.withColumn("_chunk_no", F.row_number().over(along))
+             .select(*keys, CHUNK, F.lit(True).alias(SEED), "_chunk_no",
                      *[folds[fold](n).alias(n) for n in summaries])
-             .filter("_at > 1").drop("_at"))
+             .filter("_chunk_no > 1").drop("_chunk_no"))
     return work.unionByName(seeds, allowMissingColumns=True)
 
 

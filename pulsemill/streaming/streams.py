@@ -166,12 +166,12 @@ def stream_scd2(observations: DataFrame, keys, ts: str, value: str, root: str, c
     keys, history = names(keys), StreamedHistory(root)
 
     def run(batch: DataFrame, batch_id: int) -> None:
-        seen = batch.select(*keys, F.col(ts).alias("_at"), *order, value)
-        built = scd2_build(seen, keys, "_at", value, order)
+        seen = batch.select(*keys, F.col(ts).alias("observed_at"), *order, value)
+        built = scd2_build(seen, keys, "observed_at", value, order)
         opened = history.open_rows.before(built, batch_id)
         if opened is not None:
-            opened = opened.select(*keys, F.col("valid_from").alias("_at"), value)
-            built = scd2_build(seen.unionByName(opened, allowMissingColumns=True), keys, "_at", value, order)
+            opened = opened.select(*keys, F.col("valid_from").alias("observed_at"), value)
+            built = scd2_build(seen.unionByName(opened, allowMissingColumns=True), keys, "observed_at", value, order)
         history.write(built, batch_id)
 
     return (observations.writeStream.foreachBatch(_each_batch(run)).option("checkpointLocation", checkpoint)
