@@ -192,17 +192,18 @@ def _(t):
     return grid.select("job", "schedule_id", "when_text", *[f"h{h:02d}" for h in range(24)])
 
 
-@check("view_partitioned_indexes", """WITH b AS (SELECT DISTINCT p_brand, p_size, length(p_brand) = 7 AS on_right FROM part),
+@check("view_partitioned_indexes", f"""WITH b AS (SELECT DISTINCT p_brand, p_size, length(p_brand) = 7 AS on_right FROM part),
 n AS (SELECT *, row_number() OVER w AS partition, lag(p_size) OVER w AS lo, lead(p_size) OVER w AS hi FROM b WINDOW w AS (PARTITION BY p_brand ORDER BY p_size))
 SELECT p_brand AS object, partition, CASE WHEN on_right THEN 'size >= ' || p_size || ' and size < ' || coalesce(CAST(hi AS VARCHAR), 'Infinity') ELSE 'size > ' || coalesce(CAST(lo AS VARCHAR), 'Infinity') || ' and size <= ' || p_size END AS partition_range,
-row_number() OVER (ORDER BY p_brand, CASE WHEN on_right THEN 2 ELSE 1 END, printf('%02d', p_size)) AS sort_order FROM n""")
+row_number() OVER (ORDER BY ts DESC, p_brand, CASE WHEN on_right THEN 2 ELSE 1 END, printf('%02d', p_size)) AS sort_order, {day('ts')} AS date FROM n, (VALUES (TIMESTAMP '{NOW}'), (TIMESTAMP '{NOW}' - INTERVAL 1 DAY)) AS v(ts)""")
 def _(t):
     from ...operators.chunked import by_range, with_row_number
     sizes = t.part.select("p_brand", "p_size").distinct()
     sizes = with_row_number(sizes, "p_brand", "p_size", "partition", by_range("p_size", 1000))
     p = sizes.select(F.lit("d").alias("database"), F.lit("s").alias("schema"), F.col("p_brand").alias("object"), F.lit("i").alias("index"), F.lit("g").alias("filegroup"), "partition",
-                     F.lit("size").alias("partition_column"), F.col("p_size").alias("boundary"), (F.length("p_brand") == 7).alias("boundary_on_right"), _now().alias("ts_utc"), _now().alias("ts"))
-    return _show(views.build("partitioned_indexes", {"partitioned_indexes": p}, _now()), "object, partition, partition_range, sort_order")
+                     F.lit("size").alias("partition_column"), F.col("p_size").alias("boundary"), (F.length("p_brand") == 7).alias("boundary_on_right"),
+                     F.explode(F.array(_now(), F.timestamp_add("DAY", F.lit(-1), _now()))).alias("ts")).withColumn("ts_utc", F.col("ts"))
+    return _show(views.build("partitioned_indexes", {"partitioned_indexes": p}, _now()), "object, partition, partition_range, sort_order, date")
 
 
 @check("view_vlf_size", f"""SELECT 'd' || user_id AS database, event_id AS vlf_count, {day('h')} AS date FROM (SELECT *, date_trunc('hour', ts) AS h FROM events)
