@@ -72,8 +72,8 @@ globbed AS (SELECT *, CASE WHEN rule IS NOT NULL THEN NULL
                            WHEN ends_with(host || path, '.exe') THEN '**.exe'
                            WHEN ends_with(host || path, '.zip') THEN '**.zip'
                            WHEN ends_with(path, '/wp-login.php') THEN '**/wp-login.php'
-                           WHEN contains('.' || host, '.ads.') AND starts_with(path, '/') THEN '*.ads.*/**' END AS glob FROM ruled)
-SELECT page_id, host, path, rule, CASE {_VERDICTS} WHEN glob IS NOT NULL THEN 'block' ELSE 'allow' END AS verdict, glob FROM globbed""")
+                           WHEN contains('.' || host, '.ads.') AND starts_with(path, '/') THEN '*.ads.*/**' END AS pattern FROM ruled)
+SELECT page_id, host, path, rule, CASE {_VERDICTS} WHEN pattern IS NOT NULL THEN 'block' ELSE 'allow' END AS verdict, pattern FROM globbed""")
 def op7(spark, folder):
     return url_filter.judge_urls(table(spark, folder, "pages"))
 

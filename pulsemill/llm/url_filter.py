@@ -120,7 +120,7 @@ def match_globs(automaton: Automaton, texts: Sequence[str]) -> np.ndarray:
 
 def judge_urls(pages: DataFrame, rules: Sequence[tuple[str, str, str]] = RULES, globs: Sequence[tuple[str, str]] = GLOBS,
                id_col: str = "page_id", url_col: str = "url") -> DataFrame:
-    """Verdict on each URL: id, host, path, rule, verdict, glob.
+    """Verdict on each URL: id, host, path, rule, verdict, pattern (of the glob).
 
     A rule fits its host and all subdomains, if the path starts with the
     rule's; the longest wins, the first of equals.  Where none fits, the first
@@ -147,8 +147,8 @@ def judge_urls(pages: DataFrame, rules: Sequence[tuple[str, str, str]] = RULES,
             glob.append(None if g is None else globs[g][1])
             verdict.append(rules[i][0] if i is not None else globs[g][0] if g is not None else "allow")
         return {"id": batch.column(0), "host": [h for h, _ in parts], "path": [p for _, p in parts],
-                "rule": rule, "verdict": verdict, "glob": glob}
+                "rule": rule, "verdict": verdict, "pattern": glob}
 
     out = map_texts(narrow(pages, id=id_col, url=url_col), "url",
-                    f"id {kind}, host string, path string, rule string, verdict string, glob string", work)
+                    f"id {kind}, host string, path string, rule string, verdict string, pattern string", work)
     return out.withColumnRenamed("id", id_col)
