@@ -80,7 +80,7 @@ def map_texts(df: DataFrame, text_col: str, schema: str,
             for a, b in blocks(texts, chars):
                 got = work(texts[a:b], batch.slice(a, b - a))
                 yield pa.RecordBatch.from_arrays(
-                    [x.cast(f.type) if isinstance(x := got[f.name], pa.Array) else pa.array(x, f.type) for f in arrow],
+                    [_as(got[f.name], f.type) for f in arrow],
                     schema=arrow)
 
     return df.mapInArrow(run, empty.schema)
@@ -103,3 +103,10 @@ def filter_texts(df: DataFrame, text_col: str, keep: Callable[[list[str | None]]
 def _arrow_schema(df: DataFrame) -> pa.Schema:
     from pyspark.sql.pandas.types import to_arrow_schema
     return to_arrow_schema(df.schema)
+
+
+def _as(values, kind: pa.DataType) -> pa.Array:
+    """An Arrow array of this type from one, or from Python or numpy values."""
+    if not isinstance(values, pa.Array):
+        return pa.array(values, kind)
+    return values if values.type == kind else values.cast(kind)

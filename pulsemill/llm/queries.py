@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+import os
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, language, secrets, sharding, simhash, url_filter
+from . import decontaminate, exact_dedup, language, line_dedup, pieces, secrets, sharding, simhash, toxicity, url_filter
 from .common import col
 
 SHARD_BYTES = 16 << 20
+#: A model file of a public tokenizer; read on the driver, its bytes travel with the tasks.
+PIECE_MODEL = os.environ.get("PIECE_MODEL", "/opt/tokenizers/piece_bpe_32k.model")
 
 QUERIES, ORACLE = {}, {}
 
@@ -37,6 +41,11 @@ def op1(spark, folder):
     return exact_dedup.exact_dedup(table(spark, folder, "documents"))
 
 
+@query("op2_sentencepiece")
+def op2(spark, folder):
+    return pieces.sample_segmentations(table(spark, folder, "documents"), pieces.load_model(PIECE_MODEL))
+
+
 @query("op3_sharding", f"""
 WITH rows AS (SELECT doc_id, CAST(coalesce(strlen(text), 0) AS BIGINT) AS bytes,
                      CAST('0x' || substr(md5(CAST(doc_id AS VARCHAR)), 1, 8) AS BIGINT) >> 2 AS hash FROM documents),
@@ -51,6 +60,24 @@ def op3(spark, folder):
     return sharding.assign_shards(table(spark, folder, "documents"), SHARD_BYTES)
 
 
+@query("op4_decontamination")
+def op4(spark, folder):
+    return decontaminate.find_passages(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+
+
+def toxicity_grammar(spark: SparkSession, folder: str, docs: DataFrame) -> toxicity.Grammar:
+    """Learned from the labels of the folds 1 to 4 of 5."""
+    return toxicity.learn_grammar(docs, table(spark, folder, "labels"), language.crc_part(col("doc_id"), 5) != 0)
+
+
+@query("op5_toxicity")
+def op5(spark, folder):
+    docs = table(spark, folder, "documents")
+    scored = toxicity.score_toxicity(docs, toxicity_grammar(spark, folder, docs))
+    held_out = language.crc_part(col("doc_id"), 5) == 0
+    return scored.select("doc_id", held_out.alias("held_out"), "score", "predicted", "clauses")
+
+
 @query("op6_simhash")
 def op6(spark, folder):
     return simhash.near_duplicates(table(spark, folder, "documents"))
@@ -99,3 +126,8 @@ def op9(spark, folder):
     base = F.filter("spans", lambda s: s["kind"].isin(*secrets.BASE_KINDS))
     return found.select("doc_id", *[count(k) for k in secrets.BASE_KINDS],
                         F.sha2(joined(base), 256).alias("base_sha256"), joined(F.col("spans")).alias("spans"))
+
+
+@query("op10_line_dedup")
+def op10(spark, folder):
+    return line_dedup.judge_lines(table(spark, folder, "documents"))
