@@ -4,7 +4,8 @@ For each language, a suffix automaton holds labelled text.  A text is parsed
 greedily into the longest phrases that occur in it, and the language that
 needs the fewest phrases, weighted by the bits that name a phrase, wins.  The
 automata are dense tables; numpy moves all texts of a batch through all of
-them in step.
+them in step.  A phrase also ends every ``SEGMENT`` letters, for every
+language alike: so a long text is many lanes and not one that all wait for.
 """
 
 from __future__ import annotations
@@ -18,6 +19,7 @@ from pyspark.sql import functions as F
 from .common import col, map_texts, narrow
 
 SPACE = 0
+SEGMENT = 1024
 _POINTS = 0x110000
 
 
@@ -83,11 +85,16 @@ class CrossParser:
             c = chr(i)
             if unicodedata.category(c)[0] == "L":
                 self.codes[i] = known.get(c.lower(), self.symbols - 1)
-        self.tables, self.bits = [], []
+        self.bits, tables, roots, at = [], [], [], 0
         for lang in self.langs:
             seq = self.encode([samples[lang]])[0].tolist()
-            self.tables.append(SuffixAutomaton(seq).table(self.symbols).ravel())
+            own = SuffixAutomaton(seq).table(self.symbols)
+            tables.append(own + np.int32(2 * at))  # states are numbered through all languages
+            roots.append(at)
+            at += len(own)
             self.bits.append(np.log2(max(2, len(seq))))
+        self.table = np.concatenate(tables).ravel()
+        self.roots = np.array(roots, np.int32)
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Codes of all texts, runs of other characters as one SPACE, and where each text starts (and the end)."""
@@ -95,28 +102,31 @@ class CrossParser:
         ends = np.cumsum([len(t) for t in texts])
         keep = np.ones(len(raw), bool)
         keep[1:] = (raw[1:] != SPACE) | (raw[:-1] != SPACE)
+        keep[ends[:-1][ends[:-1] < len(raw)]] = True  # a text doesn't depend on the one before it
         kept = np.concatenate([[0], np.cumsum(keep)])
         return raw[keep], np.concatenate([[0], kept[ends]])
 
     def phrases(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Phrases each text needs in each language (text, language), and the letters in each text."""
         codes, bounds = self.encode(texts)
-        lengths = np.diff(bounds)
+        sizes = np.diff(bounds)
+        pieces = -(-sizes // SEGMENT)
+        owner = np.repeat(np.arange(len(texts)), pieces)
+        number = np.arange(len(owner)) - np.repeat(np.cumsum(pieces) - pieces, pieces)
+        starts = bounds[:-1][owner] + number * SEGMENT
+        lengths = np.minimum(SEGMENT, bounds[1:][owner] - starts)
         order = np.argsort(-lengths, kind="stable")
-        starts, lens = bounds[:-1][order], lengths[order]
-        counts = np.zeros((len(self.langs), len(texts)), np.int64)
-        state = np.zeros((len(self.langs), len(texts)), np.int32)
-        # active[t]: how many texts are longer than t, so each step works on a slice
-        active = len(texts) - np.searchsorted(lens[::-1], np.arange(int(lens.max(initial=0))), side="right")
+        starts, lens, owner = starts[order], lengths[order], owner[order]
+        counts = np.zeros((len(self.langs), len(owner)), np.int32)
+        state = np.repeat(self.roots[:, None], len(owner), axis=1)
+        # active[t]: how many segments are longer than t, so each step works on a slice
+        active = len(owner) - np.searchsorted(lens[::-1], np.arange(int(lens.max(initial=0))), side="right")
         for t, n in enumerate(active.tolist()):
-            c = codes[starts[:n] + t].astype(np.int32)
-            for k, table in enumerate(self.tables):
-                move = table[state[k, :n] * np.int32(self.symbols) + c]
-                counts[k, :n] += move & 1
-                state[k, :n] = move >> 1
-        counts += (state > 0) | (counts == 0)  # the phrase that the end cuts off
-        out = np.empty((len(texts), len(self.langs)), np.int64)
-        out[order] = counts.T
+            move = self.table[state[:, :n] * np.int32(self.symbols) + codes[starts[:n] + t]]
+            counts[:, :n] += move & 1
+            state[:, :n] = move >> 1
+        counts += state != self.roots[:, None]  # the phrase that the end cuts off
+        out = np.stack([np.bincount(owner, c, len(texts)) for c in counts], axis=1).astype(np.int64)
         letters = np.concatenate([[0], np.cumsum(codes != SPACE)])
         return out, letters[bounds[1:]] - letters[bounds[:-1]]
 
