@@ -34,6 +34,10 @@ def names(cols: str | Sequence[str]) -> list[str]:
     return [cols] if isinstance(cols, str) else list(cols)
 
 
+def by_hour(ts: str) -> Column:
+    return F.date_trunc("hour", F.col(ts))
+
+
 def by_day(ts: str) -> Column:
     return F.to_date(ts)
 

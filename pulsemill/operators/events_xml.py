@@ -61,16 +61,17 @@ def blocked_processes(df: DataFrame, xml: str = "event_data", id_: str = "id", t
                       days: int | None = None, sets: int | None = None) -> DataFrame:
     """One row for the blocked and one for the blocking process of a report.
 
-    Reports of a process blocking itself are left out.
+    Reports of a process blocking itself are left out.  ``days`` and ``sets``
+    bound the reports, the newest first; None or 0 takes all.
     """
-    df = df if days is None else lookback(df, ts, days, "day")
+    df = lookback(df, ts, days, "day") if days else df
     doc = _parsed(df.filter(F.col(xml).contains("blocked_process_report")), xml, BLOCKED_SCHEMA)
     doc = doc.filter(F.col("_doc._name") == "blocked_process_report")
     data = F.get(F.filter(F.col("_doc.data"), lambda d: d["_name"] == "blocked_process"), F.lit(0))
     doc = doc.withColumn("_report", data["value"]["blocked-process-report"])
     blocked, blocking = (F.col("_report")[f"{side}-process"]["process"] for side in ("blocked", "blocking"))
     doc = doc.filter(blocked["_spid"] != blocking["_spid"])
-    doc = doc if sets is None else newest_n(doc, ts, sets)
+    doc = newest_n(doc, ts, sets, [id_]) if sets else doc
     sides = F.array(F.struct(F.lit("Blocked").alias("type"), blocked.alias("p")),
                     F.struct(F.lit("Blocking").alias("type"), blocking.alias("p")))
     rows = doc.select(id_, ts, F.explode(sides).alias("_s")).filter(F.col("_s.p").isNotNull())
@@ -82,10 +83,10 @@ def blocked_processes(df: DataFrame, xml: str = "event_data", id_: str = "id", t
 def deadlock_participants(df: DataFrame, xml: str = "event_data", id_: str = "id", ts: str = "event_ts",
                           days: int | None = None, sets: int | None = None) -> DataFrame:
     """One row per process of a deadlock, with its input buffer and first stack frame."""
-    df = df if days is None else lookback(df, ts, days, "day")
+    df = lookback(df, ts, days, "day") if days else df
     doc = _parsed(df.filter(F.col(xml).contains("xml_deadlock_report")), xml, DEADLOCK_SCHEMA)
     doc = doc.filter(F.col("_doc._name") == "xml_deadlock_report")
-    doc = doc if sets is None else newest_n(doc, ts, sets)
+    doc = newest_n(doc, ts, sets, [id_]) if sets else doc
     processes = F.flatten(F.transform(F.col("_doc.data"), lambda d: d["value"]["deadlock"]["process-list"]["process"]))
     p = F.col("_p")
     return doc.select(id_, ts, F.explode(processes).alias("_p")).select(

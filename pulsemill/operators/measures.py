@@ -38,24 +38,33 @@ def share_over(df: DataFrame, by, removed, value: str, name: str = "share") -> D
     return out.withColumn(name, safe_ratio("value", "_total")).drop("_total")
 
 
+def _days(df: DataFrame, date: str) -> DataFrame:
+    """One row: the distinct days in order.  A DATE has 3.7 million values at most, so the list is bounded."""
+    return df.select(F.col(date).alias("_day")).distinct().agg(F.sort_array(F.collect_list("_day")).alias("_days"))
+
+
+def _chosen(edge: str, choice: Column | None) -> Column:
+    return F.lit(False) if choice is None else F.coalesce(F.col(edge) == choice, F.lit(False))
+
+
 def latest_date(df: DataFrame, date: str, *, bounds: tuple[Column, Column] | None = None,
                 chosen: tuple[Column | None, Column | None] = (None, None)) -> Column:
-    """The newest day to show, as a scalar.
+    """The newest day to show, as a scalar: one aggregate of the fact's days.
 
     ``df`` is the fact as filtered by the viewer, ``bounds`` the first and
     last day there is data for at all.  Such an edge day is usually partial:
     it is trimmed to the next day inward, unless the viewer ``chose`` it.
     Null if nothing is left.
     """
-    newest, oldest = df.select(F.max(date)).scalar(), df.select(F.min(date)).scalar()
-    if bounds is None:
-        bounds = (oldest, newest)
-    before = df.filter(F.col(date) < newest).select(F.max(date)).scalar()
-    after = df.filter(F.col(date) > oldest).select(F.min(date)).scalar()
-    picked = lambda edge, choice: F.lit(False) if choice is None else F.coalesce(edge == choice, F.lit(False))
-    low = F.when((bounds[0] < oldest) | picked(bounds[0], chosen[0]), oldest).otherwise(after)
-    high = F.when((bounds[1] > newest) | picked(bounds[1], chosen[1]), newest).otherwise(before)
-    return F.when(high >= low, high)
+    last = F.size("_days") - 1
+    edges = _days(df, date).select(
+        F.get("_days", F.lit(0)).alias("_oldest"), F.get("_days", F.lit(1)).alias("_after"),
+        F.get("_days", last).alias("_newest"), F.get("_days", last - 1).alias("_before"))
+    lo, hi = (F.col("_oldest"), F.col("_newest")) if bounds is None else bounds
+    edges = edges.select("*", lo.alias("_lo"), hi.alias("_hi"))
+    low = F.when((F.col("_lo") < F.col("_oldest")) | _chosen("_lo", chosen[0]), F.col("_oldest")).otherwise(F.col("_after"))
+    high = F.when((F.col("_hi") > F.col("_newest")) | _chosen("_hi", chosen[1]), F.col("_newest")).otherwise(F.col("_before"))
+    return edges.select(F.when(high >= low, high)).scalar()
 
 
 def past_date(df: DataFrame, date: str, latest: Column, days: int, *, first_bound: Column | None = None,
@@ -64,18 +73,19 @@ def past_date(df: DataFrame, date: str, latest: Column, days: int, *, first_boun
 
     The very first day is skipped unless chosen, because it is partial.
     """
-    bound = df.select(F.min(date)).scalar() if first_bound is None else first_bound
-    picked = F.lit(False) if chosen_first is None else F.coalesce(bound == chosen_first, F.lit(False))
-    floor = F.when(picked, bound).otherwise(F.date_add(bound, 1))
-    found = df.select(F.min(F.when((F.col(date) >= F.date_sub(latest, days)) & (F.col(date) >= floor),
-                                   F.col(date)))).scalar()
-    return F.least(found, F.when(found.isNotNull(), latest))
+    known = _days(df, date)
+    bound = F.get("_days", F.lit(0)) if first_bound is None else first_bound
+    known = known.select("_days", bound.alias("_bound"), latest.alias("_latest"))
+    floor = F.when(_chosen("_bound", chosen_first), F.col("_bound")).otherwise(F.date_add("_bound", 1))
+    known = known.select("_days", "_latest", floor.alias("_floor"), F.date_sub("_latest", days).alias("_from"))
+    found = F.get(F.filter("_days", lambda d: (d >= F.col("_from")) & (d >= F.col("_floor"))), F.lit(0))
+    return known.select(F.when(found.isNotNull(), F.least(found, F.col("_latest")))).scalar()
 
 
 def period_ratio(df: DataFrame, by, date: str, value: Column, latest: Column, past: Column) -> DataFrame:
     """(current - past) / past per group, one pass over the two days."""
+    two = df.filter(F.col(date).isin(latest, past))
     on = lambda day: F.sum(F.when(F.col(date) == day, value))
-    two = df.filter((F.col(date) == latest) | (F.col(date) == past))
     out = two.groupBy(*names(by)).agg(on(latest).alias("current_value"), on(past).alias("past_value"))
     return out.withColumn("ratio", safe_ratio(F.col("current_value") - F.col("past_value"), "past_value"))
 

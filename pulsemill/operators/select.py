@@ -32,22 +32,26 @@ def last_snapshot_per_day(df: DataFrame, ts: str, local_ts: str | None = None) -
     return with_day_group(df, day, {"_last": F.max(ts)}).filter(F.col(ts) == F.col("_last")).drop("_last")
 
 
-def lookback(df: DataFrame, ts: str, n: int, unit: str = "day", exact: bool = False) -> DataFrame:
-    """Rows near the newest stamp.
+def lookback(df: DataFrame, ts: str, n: int, unit: str = "day", exact: bool = False, after: bool = False) -> DataFrame:
+    """Rows near the newest stamp; with ``n`` = 0 all of them.
 
     By default fewer than ``n`` unit boundaries back; ``exact=True`` keeps
-    ``ts >= newest - n units`` instead.  Either way it is one lower bound on
-    ``ts``, worked out inside the subquery, so the scan skips what is older.
+    ``ts >= newest - n units`` instead, with ``after`` also ``>``.  Either way
+    it is one lower bound on ``ts``, worked out inside the subquery, so the
+    scan skips what is older.
     """
+    if n == 0:
+        return df
     newest = F.max(ts)
     bound = (F.timestamp_add(unit.upper(), F.lit(-n), newest) if exact
              else F.timestamp_add(unit.upper(), F.lit(1 - n), F.date_trunc(unit, newest)))
-    return df.filter(F.col(ts) >= df.select(bound).scalar())
+    oldest = df.select(bound).scalar()
+    return df.filter(F.col(ts) > oldest if after else F.col(ts) >= oldest)
 
 
 def newest_n(df: DataFrame, ts: str, n: int, tie_break: Sequence[str] = ()) -> DataFrame:
-    """C4: a top-n report; each task keeps n rows."""
-    return df.orderBy(F.col(ts).desc(), *tie_break).limit(n)
+    """C4: a top-n report; each task keeps n rows; 0 keeps all."""
+    return df if n == 0 else df.orderBy(F.col(ts).desc(), *tie_break).limit(n)
 
 
 def current_rows(state: DataFrame, valid_to: str = "valid_to") -> DataFrame:
@@ -91,8 +95,9 @@ def name_filter(col: str, exact: Sequence[str] = (), like: Sequence[str] = ()) -
 
 
 def _rank(mode: str, order: Sequence[str]) -> Column:
+    """Position among the modes; the last listed one, others and null share the last rank."""
     position = F.array_position(F.lit(list(order)), F.col(mode))
-    return F.when(position == 0, F.lit(len(order) + 1)).otherwise(position)
+    return F.when(position > 0, position).otherwise(F.lit(len(order))).cast("int")
 
 
 def best_mode_rows(df: DataFrame, entity, mode: str, modes_best_first: Sequence[str], ts: str,
@@ -107,7 +112,10 @@ def best_mode_rows(df: DataFrame, entity, mode: str, modes_best_first: Sequence[
 
 def prefer_detail_per_day(df: DataFrame, entity, mode: str, modes_best_first: Sequence[str],
                           ts: str) -> DataFrame:
-    """C11: per entity and day, the rows of the best mode seen that day."""
+    """C11: per entity and day, the rows of the best mode seen that day.
+
+    Rows of a hot group are spread by all their columns.
+    """
     ranked = df.withColumns({"_day": F.to_date(ts), "_rank": _rank(mode, modes_best_first)})
-    chosen = with_group(ranked, [*names(entity), "_day"], {"_best": F.min("_rank")}, [ts])
+    chosen = with_group(ranked, [*names(entity), "_day"], {"_best": F.min("_rank")})
     return chosen.filter(F.col("_rank") == F.col("_best")).drop("_day", "_rank", "_best")

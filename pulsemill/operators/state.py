@@ -12,7 +12,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.columns import datediff_boundary
-from .chunked import by_year, names, newest_per_group, with_next, with_previous
+from .chunked import by_year, names, newest_per_group, with_next, with_previous, with_running_sum
 from .joins import null_safe_join
 from .select import OPEN_END, current_rows
 
@@ -33,17 +33,21 @@ def scd2_merge(state: DataFrame, inventory: DataFrame, keys, value: str, now: Co
     """
     keys = names(keys)
     is_open = F.col(valid_to) == _open_end()
-    closed = state.filter(~is_open)
     seen = inventory.select(*keys, F.col(value).alias("_value"), F.lit(True).alias("_seen"))
     met = null_safe_join(state.filter(is_open).withColumn("_known", F.lit(True)), seen, keys, "full")
-    same = (F.col("_known").isNotNull() & F.col("_seen").isNotNull()
-            & F.col(value).eqNullSafe(F.col("_value")))
-    kept = (met.filter(F.col("_known").isNotNull())
-            .withColumn(valid_to, F.when(same, F.col(valid_to)).otherwise(now))
-            .select(*state.columns))
-    fresh = (met.filter(F.col("_seen").isNotNull() & ~same)
-             .select(*keys, F.col("_value").alias(value), now.alias(valid_from), _open_end().alias(valid_to)))
-    return closed.unionByName(kept).unionByName(fresh, allowMissingColumns=True).select(*state.columns)
+    known, there = F.col("_known").isNotNull(), F.col("_seen").isNotNull()
+    same = known & there & F.col(value).eqNullSafe(F.col("_value"))
+    types = {f.name: f.dataType for f in state.schema}
+
+    def row(own: Mapping[str, Column]) -> Column:
+        return F.struct(*[own.get(c, F.col(c)).cast(types[c]).alias(c) for c in state.columns])
+
+    kept = row({valid_to: F.when(same, F.col(valid_to)).otherwise(now)})
+    blank = {c: F.lit(None) for c in state.columns if c not in keys}
+    fresh = row({**blank, value: F.col("_value"), valid_from: now, valid_to: _open_end()})
+    # A key gives up to two rows: the one it had and a new one.
+    rows = met.select(F.inline(F.array_compact(F.array(F.when(known, kept), F.when(there & ~same, fresh)))))
+    return state.filter(~is_open).unionByName(rows)
 
 
 def scd2_build(observations: DataFrame, keys, ts: str, value: str, order: Sequence[str] = (),
@@ -63,6 +67,33 @@ def scd2_build(observations: DataFrame, keys, ts: str, value: str, order: Sequen
                         F.coalesce(F.col("_until"), _open_end()).alias(valid_to))
 
 
+def inventory_history(polls: DataFrame, keys, ts: str, value: str, opened: DataFrame | None = None,
+                      last_poll: Column | None = None, valid_from: str = "valid_from", valid_to: str = "valid_to",
+                      chunk: Column | None = None) -> DataFrame:
+    """H1 over many full inventories at once: rows that share a stamp are one poll.
+
+    A row opens when its key is new, was missing in the poll before, or has
+    another value; it closes at the next poll that lacks it or differs.
+    ``opened`` are the open rows as of ``last_poll``, the poll before the
+    first of these.
+    """
+    keys = names(keys)
+    rows = polls.select(*keys, value, F.col(ts).alias("_at"), F.col(ts).alias(valid_from))
+    stamps = polls.select(F.col(ts).alias("_at")).distinct()
+    if opened is not None:
+        rows = rows.unionByName(opened.select(*keys, value, last_poll.alias("_at"), valid_from))
+        stamps = stamps.unionByName(opened.select(last_poll.alias("_at")).filter(F.col("_at").isNotNull()).distinct()).distinct()
+    # The list of polls is small; AQE broadcasts it by its measured size.
+    stamps = with_next(with_previous(stamps, [], "_at", {"_poll_before": "_at"}), [], "_at", {"_poll_after": "_at"})
+    placed = rows.join(stamps, "_at", "left").withColumn("_value", F.struct(value))
+    seen = with_previous(placed, keys, "_at", {"_was": "_value", "_was_at": "_at"}, chunk)
+    starts = F.coalesce((F.col("_was_at") != F.col("_poll_before")) | ~F.col("_value").eqNullSafe(F.col("_was")), F.lit(True))
+    numbered = with_running_sum(seen, keys, "_at", {"_run": starts.cast("bigint")}, chunk)
+    runs = numbered.groupBy(*keys, "_run").agg(F.max_by(value, "_at").alias(value), F.min_by(valid_from, "_at").alias(valid_from),
+                                               F.max_by(F.struct("_poll_after"), "_at").alias("_end"))
+    return runs.select(*keys, value, valid_from, F.coalesce(F.col("_end._poll_after"), _open_end()).alias(valid_to))
+
+
 def state_history(state: DataFrame, entity, key: str = "key", value: str = "value",
                   only_keys: Sequence[str] | None = None, ignore_empty: bool = False,
                   valid_from: str = "valid_from", valid_to: str = "valid_to") -> DataFrame:

@@ -3,6 +3,8 @@
 from pyspark.sql import DataFrame, functions as F
 
 from ...operators import events_xml, runs
+from ...session import scratch_dir
+from ..job_rollup import RollupStore, gains
 from . import HISTORY, SCHEDULES, at, check
 from .columns import SCHEDULE_TEXT, key_sql
 
@@ -18,6 +20,26 @@ def _(t):
     return runs.runs_from_history(t.history, "job", "seq", "step", "status", "started", "duration_s", wanted=F.col("step") < 4, width=1000)
 
 
+_ROLLUP_SQL = f"""WITH {_RUNS},
+x AS (SELECT job, status, coalesce((SELECT min(h.status) FROM hist h WHERE h.job = r.job AND h.status <> 1 AND h.seq > r.prev_seq AND h.seq <= r.seq), 1) AS steps_status, started,
+ CASE WHEN duration_s = 0 THEN 1 ELSE duration_s END AS d FROM r WHERE EXISTS (SELECT 1 FROM hist h WHERE h.job = r.job AND h.step <> 0 AND h.seq > r.prev_seq AND h.seq < r.next_seq))
+SELECT CAST(job AS VARCHAR) AS name, CAST(status AS BIGINT) AS job_status, CAST(steps_status AS BIGINT) AS steps_status, strftime(started, '%Y-%m-%d') AS date,
+hour(started) AS hour, count(*) AS cnt, CAST(sum(d) AS BIGINT) AS sum_s, min(d) AS min_s, max(d) AS max_s FROM x GROUP BY 1, 2, 3, 4, 5"""
+
+
+@check("j_job_rollup_two_steps", _ROLLUP_SQL)
+def _(t):
+    """The rollup in two steps; a crash between them leaves a batch without a commit."""
+    history = t.history.withColumns({"job": F.col("job").cast("string"), "status": F.col("status").cast("int")})
+    half = history.filter(F.col("seq") < t.history.select(F.max("seq") / 2).scalar())
+    store = RollupStore(t.spark, scratch_dir(t.spark, "job-rollup"))
+    store.advance(half)
+    for name in RollupStore.PARTS[:3]:
+        getattr(gains(history, store.read()), name).write.parquet(f"{store.root}/{name}/batch=1")
+    store.advance(history)
+    return store.read().rollup
+
+
 @check("j3_failed_steps", f"""WITH {HISTORY}
 SELECT h.seq, h.job, CAST(h.status AS BIGINT) AS status, p.duration_s AS job_duration_s FROM hist h ASOF JOIN (SELECT * FROM hist WHERE step = 0) p ON h.job = p.job AND h.seq > p.seq
 WHERE h.step <> 0 AND h.status NOT IN (1, 4)""")

@@ -92,6 +92,30 @@ def _(t):
         "l_suppkey", "l_orderkey", "l_returnflag", F.to_date("l_shipdate").alias("d"))
 
 
+_MODES = "CASE l_returnflag WHEN 'R' THEN 'R' WHEN 'A' THEN 'A' END"
+_MODE_RANK = f"CASE {_MODES} WHEN 'R' THEN 1 WHEN 'A' THEN 2 ELSE 3 END"
+
+
+def _some_modes_null(t):
+    return t.lineitem.withColumn("l_returnflag", F.when(F.col("l_returnflag").isin("R", "A"), F.col("l_returnflag")))
+
+
+@check("c10_best_mode_rows_null", f"""WITH x AS (SELECT l_suppkey, l_orderkey, {_MODES} AS mode, l_shipdate, {_MODE_RANK} AS r FROM lineitem
+  WHERE l_shipdate >= (SELECT max(l_shipdate) FROM lineitem) - INTERVAL 24000 HOUR)
+SELECT l_suppkey, l_orderkey, mode, {day('l_shipdate')} AS d FROM x
+QUALIFY dense_rank() OVER (PARTITION BY l_suppkey ORDER BY r, l_shipdate DESC) = 1""")
+def _(t):
+    return select.best_mode_rows(_some_modes_null(t), "l_suppkey", "l_returnflag", ["R", "A", "N"], "l_shipdate", 24000).select(
+        "l_suppkey", "l_orderkey", F.col("l_returnflag").alias("mode"), F.to_date("l_shipdate").alias("d"))
+
+
+@check("c11_prefer_detail_per_day_null", f"""SELECT l_suppkey, l_orderkey, {_MODES} AS mode, {day('l_shipdate')} AS d FROM lineitem
+QUALIFY dense_rank() OVER (PARTITION BY l_suppkey, CAST(l_shipdate AS DATE) ORDER BY {_MODE_RANK}) = 1""")
+def _(t):
+    return select.prefer_detail_per_day(_some_modes_null(t), "l_suppkey", "l_returnflag", ["R", "A", "N"], "l_shipdate").select(
+        "l_suppkey", "l_orderkey", F.col("l_returnflag").alias("mode"), F.to_date("l_shipdate").alias("d"))
+
+
 @check("c1_latest_counters", f"WITH {SNAPSHOTS} SELECT entity, total, hits FROM snap WHERE ts = (SELECT max(ts) FROM snap)")
 def _(t):
     return select.latest_snapshot(t.snapshots, "ts").select("entity", "total", "hits")

@@ -160,16 +160,18 @@ def _(t):
     return _show(views.build("missing_indexes", {"missing_indexes": rows}, _now()), "object, inequality, ts, delta_seeks, delta_scans")
 
 
-@check("view_who_is_active", f"""WITH s AS (SELECT user_id AS session, date_trunc('day', ts) AS login_ts, ts AS collected, event_type AS sql_text, CAST(round(value * 100) AS BIGINT) AS cpu FROM events),
-f AS (SELECT *, first_value(cpu) OVER (PARTITION BY session, login_ts ORDER BY collected) AS first_cpu FROM s),
+@check("view_who_is_active", f"""WITH s AS (SELECT user_id AS session, date_trunc('day', ts) AS login_ts, ts AS collected, event_type AS sql_text, CAST(round(value * 100) AS BIGINT) AS cpu, event_id AS reads FROM events),
+f AS (SELECT *, first_value(cpu) OVER w AS first_cpu, reads - first_value(reads) OVER w AS delta_reads FROM s WINDOW w AS (PARTITION BY session, login_ts ORDER BY collected)),
 n AS (SELECT * FROM f WHERE sql_text <> 'sp_server_diagnostics' AND date_diff('hour', collected, (SELECT max(collected) FROM s)) < 24
  QUALIFY row_number() OVER (PARTITION BY session, login_ts ORDER BY collected DESC) = 1)
-SELECT session, {at('collected')} AS collected, sql_text, cpu - first_cpu AS delta_cpu, date_diff('second', collected, (SELECT max(collected) FROM s)) AS seconds_since_last_seen,
-date_diff('millisecond', login_ts, collected) AS elapsed_ms FROM n ORDER BY n.collected DESC, session LIMIT 1000""")
+SELECT session, {at('collected')} AS collected, sql_text, cpu - first_cpu AS delta_cpu, date_diff('second', collected, (SELECT max(ts) FROM events WHERE event_type = 'view')) AS seconds_since_last_seen,
+date_diff('millisecond', login_ts, collected) AS elapsed_ms, row_number() OVER (ORDER BY n.collected, delta_reads, session DESC) AS sort_order FROM n ORDER BY n.collected DESC, session LIMIT 1000""")
 def _(t):
     s = t.events.select(F.col("user_id").alias("session"), F.date_trunc("day", "ts").alias("login_ts"), F.date_trunc("day", "ts").alias("start_ts"), F.col("ts").alias("collected"),
                         F.round(F.col("value") * 100).cast("bigint").alias("cpu"), F.col("event_id").alias("reads"), F.col("event_id").alias("writes"), F.col("event_type").alias("sql_text"))
-    return _show(views.build("who_is_active", {"session_samples": s}, _now()), "session, collected, sql_text, delta_cpu, seconds_since_last_seen, elapsed_ms")
+    log = _log(t).withColumn("name", F.when(F.col("text") == "view", "Who is active"))
+    return _show(views.build("who_is_active", {"session_samples": s, "log": log}, _now()),
+                 "session, collected, sql_text, delta_cpu, seconds_since_last_seen, elapsed_ms, sort_order")
 
 
 @check("view_agent_jobs_performance", f"""WITH {_RUNS},
@@ -222,15 +224,21 @@ def _scans(t) -> DataFrame:
                              mode.alias("mode"), F.col("l_quantity").alias("fragmentation"), F.col("l_orderkey").alias("pages"), F.col("l_shipdate").alias("ts_utc"), F.col("l_shipdate").alias("ts"))
 
 
-@check("view_index_physical", f"""WITH x AS (SELECT *, {_MODE} AS mode FROM lineitem WHERE l_shipdate >= (SELECT max(l_shipdate) FROM lineitem) - INTERVAL 24 HOUR)
-SELECT 'i' || l_suppkey AS index, mode, l_orderkey AS pages, l_quantity AS fragmentation, {day('l_shipdate')} AS date FROM x
-QUALIFY dense_rank() OVER (PARTITION BY l_suppkey ORDER BY CASE mode WHEN 'DETAILED' THEN 1 WHEN 'SAMPLED' THEN 2 ELSE 3 END, l_shipdate DESC) = 1""")
+# The mode is chosen for an object; its indexes were scanned in different modes.
+_SCANNED = f"x AS (SELECT *, {_MODE} AS mode, l_suppkey % 10 AS object FROM lineitem)"
+
+
+@check("view_index_physical", f"""WITH {_SCANNED}, near AS (SELECT * FROM x WHERE l_shipdate >= (SELECT max(l_shipdate) FROM lineitem) - INTERVAL 24 HOUR)
+SELECT 'i' || l_suppkey AS index, mode, l_orderkey AS pages, l_quantity AS fragmentation, {day('l_shipdate')} AS date FROM near
+QUALIFY dense_rank() OVER (PARTITION BY object ORDER BY CASE mode WHEN 'DETAILED' THEN 1 WHEN 'SAMPLED' THEN 2 ELSE 3 END, l_shipdate DESC) = 1""")
 def _(t):
     return _show(views.build("index_physical", {"index_physical": _scans(t)}, _now()), "index, mode, pages, fragmentation, date")
 
 
-@check("view_index_physical_detailed", f"""SELECT 'i' || l_suppkey AS index, {_MODE} AS mode, l_orderkey AS pages, {day('l_shipdate')} AS date FROM lineitem
-QUALIFY dense_rank() OVER (PARTITION BY l_suppkey, CAST(l_shipdate AS DATE) ORDER BY CASE l_returnflag WHEN 'R' THEN 1 WHEN 'A' THEN 2 ELSE 3 END) = 1""")
+@check("view_index_physical_detailed", f"""WITH {_SCANNED},
+has AS (SELECT object, CAST(l_shipdate AS DATE) AS d, bool_or(mode = 'DETAILED') AS detailed, bool_or(mode IN ('DETAILED', 'SAMPLED')) AS better FROM x GROUP BY 1, 2)
+SELECT 'i' || l_suppkey AS index, mode, l_orderkey AS pages, {day('l_shipdate')} AS date FROM x JOIN has ON has.object = x.object AND has.d = CAST(x.l_shipdate AS DATE)
+WHERE mode = 'DETAILED' OR (mode = 'SAMPLED' AND NOT detailed) OR NOT better""")
 def _(t):
     return _show(views.build("index_physical_detailed", {"index_physical": _scans(t)}, _now()), "index, mode, pages, date")
 
@@ -263,3 +271,80 @@ QUALIFY row_number() OVER (PARTITION BY p_brand ORDER BY p_partkey DESC) = 1""")
 def _(t):
     s = t.part.select(F.lit("d").alias("database"), F.col("p_brand").cast("binary").alias("query_hash"), F.col("p_name").alias("statement"), F.col("p_partkey").alias("ts_utc"))
     return _show(views.build("query_statements", {"statements": s}, _now()), "query_hash, statement")
+
+
+@check("view_blocked_process_all", """WITH sets AS (SELECT event_id FROM events WHERE event_type IN ('click', 'view') AND user_id <> event_id % 150)
+SELECT event_id AS data_set, 'Blocked' AS type, user_id AS spid, event_type AS client_app FROM events WHERE event_id IN (SELECT event_id FROM sets)
+UNION ALL SELECT event_id, 'Blocking', event_id % 150, 'batch' FROM events WHERE event_id IN (SELECT event_id FROM sets)""")
+def _(t):
+    """The report without its bounds."""
+    bounds = {"blocked_process.days": 0, "blocked_process.sets": 0}
+    return _show(views.build("blocked_process", {"xml_events": xml_events(t)}, _now(), bounds), "data_set, type, spid, client_app")
+
+
+def _log(t) -> DataFrame:
+    return t.events.select(F.col("event_id").alias("id"), F.lit("n").alias("name"),
+                           F.when(F.col("event_type") == "click", "Info").when(F.col("event_type") == "view", "Debug").otherwise("Error").alias("type"),
+                           F.col("event_type").alias("text"), F.col("ts").alias("ts_utc"), "ts")
+
+
+@check("view_log", """SELECT event_id AS id FROM events WHERE ts > (SELECT max(ts) FROM events) - INTERVAL 1 DAY ORDER BY ts DESC, event_id LIMIT 10000""")
+def _(t):
+    return _show(views.build("log", {"log": _log(t)}, _now()), "id")
+
+
+@check("view_log_non_debug_info", """SELECT event_id AS id FROM events WHERE event_type NOT IN ('click', 'view')
+AND ts > (SELECT max(ts) FROM events) - INTERVAL 7 DAY ORDER BY ts DESC, event_id LIMIT 1000""")
+def _(t):
+    return _show(views.build("log_non_debug_info", {"log": _log(t)}, _now()), "id")
+
+
+def _instance(t, query: int, rows) -> DataFrame:
+    """State rows of one query: (category, {key: value}) from the table part."""
+    keys = F.array(*[F.struct(F.lit(k).alias("key"), v.cast("string").alias("value")) for k, v in rows.items()])
+    return t.part.select(F.lit(query).alias("query"), F.col("p_partkey").cast("string").alias("category"), F.inline(keys),
+                         _ts("2024-01-01").alias("valid_from"), _ts("9999-12-31 23:59:59").alias("valid_to"),
+                         _ts("2024-01-01").alias("ts_utc"), _ts("2024-01-01").alias("ts"))
+
+
+def _ts(text: str):
+    return F.lit(text).cast("timestamp")
+
+
+@check("view_agent_alerts", """WITH wanted AS (SELECT DISTINCT p_size AS message_id, CAST(p_partkey % 5 AS INTEGER) AS severity FROM part),
+found AS (SELECT p_partkey, p_size, CAST(p_partkey % 7 AS INTEGER) AS severity FROM part WHERE p_partkey % 3 = 0)
+SELECT CAST(w.message_id AS BIGINT) AS message_id, CAST(w.severity AS BIGINT) AS severity, CAST(f.p_partkey AS VARCHAR) AS alert_name,
+CAST(f.p_partkey IS NOT NULL AS BIGINT) AS alert_exists FROM wanted w LEFT JOIN found f ON f.p_size = w.message_id AND f.severity = w.severity""")
+def _(t):
+    wanted = t.part.select(F.lit("d").alias("description"), F.col("p_size").cast("int").alias("message_id"), (F.col("p_partkey") % 5).cast("int").alias("severity")).distinct()
+    found = _instance(t, 10, {"message_id": F.col("p_size"), "severity": F.col("p_partkey") % 7}).filter("category % 3 = 0")
+    return _show(views.build("agent_alerts", {"seed_agent_alerts": wanted, "instance_state": found}, _now()), "message_id, severity, alert_name, alert_exists")
+
+
+@check("view_instance_configurations", f"""WITH checked AS (SELECT p_partkey, p_size FROM part WHERE p_partkey IN {views.CHECKED_CONFIGURATIONS})
+SELECT p_partkey AS configuration_id, 'c' AS name, CAST(p_size AS BIGINT) AS value, CAST(p_size BETWEEN 10 AND 40 AS BIGINT) AS state FROM checked""")
+def _(t):
+    version = _instance(t, 3, {"ProductMajorVersion": F.lit(15), "ProductMinorVersion": F.lit(0)}).filter("category = '1'")
+    states = _instance(t, 4, {"name": F.lit("c"), "value_in_use": F.col("p_size")}).unionByName(version)
+    bounds = t.part.select(F.col("p_partkey").cast("int").alias("configuration_id"), F.explode(F.array(F.lit(14), F.lit(15))).alias("product_major"),
+                           F.lit(0).alias("product_minor"), F.lit(10).alias("minimum"), F.lit(40).alias("maximum"))
+    return _show(views.build("instance_configurations", {"instance_state": states, "seed_configurations": bounds}, _now()), "configuration_id, name, value, state")
+
+
+@check("view_instance_hardware", """SELECT CAST(p_partkey AS VARCHAR) AS category, k.label, k.shown AS value_text FROM part,
+LATERAL (VALUES ('Physical memory MB', CAST(p_partkey * 1000 // 1024 AS VARCHAR)),
+  ('SQL memory model', CASE p_size % 4 WHEN 1 THEN 'CONVENTIONAL' WHEN 2 THEN 'LOCK_PAGES' WHEN 3 THEN 'LARGE_PAGES' ELSE '?:0' END),
+  ('Virtual machine type', CASE p_size % 3 WHEN 0 THEN 'NONE' WHEN 1 THEN 'HYPERVISOR' ELSE 'OTHER' END),
+  ('CPU count', CAST(p_size AS VARCHAR))) AS k(label, shown)""")
+def _(t):
+    states = _instance(t, 17, {"physical_memory_kb": F.col("p_partkey") * 1000, "sql_memory_model": F.col("p_size") % 4,
+                               "virtual_machine_type": F.col("p_size") % 3, "cpu_count": F.col("p_size")})
+    return _show(views.build("instance_hardware", {"instance_state": states}, _now()), "category, label, value_text")
+
+
+@check("view_memory_clerks", """SELECT ['MEMORYCLERK_SQLBUFFERPOOL', 'MEMORYCLERK_SQLCONNECTIONPOOL', 'OBJECTSTORE_LOCK_MANAGER'][CAST(user_id % 5 AS INTEGER) + 1] AS name, count(*) AS n
+FROM events WHERE user_id % 5 < 3 GROUP BY 1""")
+def _(t):
+    name = F.element_at(F.array(*[F.lit(x) for x in (*views.MEMORY_CLERKS, "OTHER", "MORE")]), (F.col("user_id") % 5 + 1).cast("int"))
+    clerks = t.events.select(name.alias("name"), F.col("event_id").alias("value"), F.col("ts").alias("ts_utc"), "ts")
+    return views.build("memory_clerks", {"memory_clerks": clerks}, _now()).groupBy("name").agg(F.count(F.lit(1)).alias("n"))

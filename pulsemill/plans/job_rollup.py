@@ -1,9 +1,10 @@
 """Incremental hourly rollup of job runs: history to aggregate, step by step.
 
-A step reads what is newer than each job's watermark, finds the finished runs,
-marks lost history, adds the runs to the hourly rollup, and moves the watermark
-last.  A step that runs twice on the same state gives the same tables; write
-them in the order of ``RollupTables`` so that a crash re-reads, never loses.
+A step reads what is at or after each job's watermark, finds the finished runs,
+marks lost history, and says what the rollup, the errors, the newest runs and
+the watermark gain.  ``RollupStore`` keeps these gains by batch: a batch counts
+once its commit is there, and one without is written anew, so a crash at any
+point changes nothing.
 """
 
 from __future__ import annotations
@@ -38,26 +39,88 @@ class RollupTables:
                             make(_RUN), make("job string, seq bigint"))
 
 
-def step(history: DataFrame, tables: RollupTables, wanted: Column | None = None,
-         mark_missing: bool = True) -> RollupTables:
-    """One increment.  ``history`` has job, seq, step, status, started and duration_s.
+def gains(history: DataFrame, tables: RollupTables, wanted: Column | None = None,
+          mark_missing: bool = True) -> RollupTables:
+    """What one increment adds.  ``history`` has job, seq, step, status, started and duration_s.
 
-    The watermark is a summary row, so the rows after it are whole runs and
-    perhaps the start of one.  A last run that has no wanted step yet stays
-    above the watermark and is judged again.
+    Only history from the watermark on is read.  The watermark is a summary
+    row, so the rows after it are whole runs and perhaps the start of one; if
+    the row itself is gone, history was lost.  A last run that has no wanted
+    step yet stays above the watermark and is judged again.
     """
-    fresh = read_since(history, tables.watermark, "job", "seq", inclusive=False)
+    since = read_since(history, tables.watermark, "job", "seq")
+    fresh = read_since(since, tables.watermark, "job", "seq", inclusive=False)
     runs = runs_from_history(fresh, "job", "seq", "step", "status", "started", "duration_s", wanted)
     found = conform(runs.withColumnRenamed("job", "name"), _RUN)
     new = insert_if_absent(found, tables.latest, ["name", "started"])
     added = new
     if mark_missing:
-        kept = history.filter("step = 0").select(F.col("job").alias("name"), "started")
+        kept = since.filter("step = 0").select(F.col("job").alias("name"), "started")
         added = new.unionByName(conform(missing_run_markers(tables.latest, kept, tables.rollup), _RUN))
     delta = conform(hourly_rollup(added, ["name", "job_status", "steps_status"], "started", "duration_s"), _ROLLUP)
-    failed = failed_steps(history.select(*tables.errors.columns[:-1]), "job", "seq", "step", "status", "duration_s")
+    # With the summary row at the watermark: it is the parent of the first steps after it.
+    failed = failed_steps(since.select(*tables.errors.columns[:-1]), "job", "seq", "step", "status", "duration_s")
+    return RollupTables(
+        rollup=delta,
+        errors=insert_if_absent(conform(failed, tables.errors.schema), tables.errors, ["job", "seq"]),
+        latest=keep_newest(new, "name", "started"),
+        watermark=advance_watermark(tables.watermark.limit(0), runs, "job", "seq"))
+
+
+def merged(tables: RollupTables, gain: RollupTables) -> RollupTables:
+    """Tables and what they gain, as one."""
     return RollupTables(
-        rollup=rollup_merge(tables.rollup, delta, _KEYS),
-        errors=tables.errors.unionByName(insert_if_absent(conform(failed, tables.errors.schema), tables.errors, ["job", "seq"])),
-        latest=keep_newest(tables.latest.unionByName(new), "name", "started"),
-        watermark=advance_watermark(tables.watermark, runs, "job", "seq"))
+        rollup=rollup_merge(tables.rollup, gain.rollup, _KEYS),
+        errors=tables.errors.unionByName(gain.errors),
+        latest=keep_newest(tables.latest.unionByName(gain.latest), "name", "started"),
+        watermark=advance_watermark(tables.watermark, gain.watermark, "job", "seq"))
+
+
+def step(history: DataFrame, tables: RollupTables, wanted: Column | None = None,
+         mark_missing: bool = True) -> RollupTables:
+    """One increment: the tables after it."""
+    return merged(tables, gains(history, tables, wanted, mark_missing))
+
+
+class RollupStore:
+    """The tables on disk, as gains by batch.
+
+    Batch n holds what step n added; its commit is written last.  Readers see
+    committed batches only, and the next step writes the batch after the last
+    commit, over whatever a crash has left there.
+    """
+
+    PARTS = ("rollup", "errors", "latest", "watermark")
+
+    def __init__(self, spark: SparkSession, root: str):
+        self.spark, self.root = spark, root.rstrip("/")
+
+    def _commits(self) -> DataFrame:
+        folder = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.root}/commits")
+        there = folder.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(folder)
+        empty = self.spark.createDataFrame([], "batch bigint")
+        return self.spark.read.schema("batch bigint").parquet(f"{self.root}/commits") if there else empty
+
+    def committed(self) -> int:
+        """The number of committed batches."""
+        return self._commits().agg(F.count(F.lit(1))).first()[0]
+
+    def read(self) -> RollupTables:
+        """The tables as of the last commit."""
+        empty, n = RollupTables.empty(self.spark), self.committed()
+        if n == 0:
+            return empty
+        def part(name):
+            schema = getattr(empty, name).schema
+            folders = [f"{self.root}/{name}/batch={i}" for i in range(n)]
+            return self.spark.read.schema(schema).parquet(*folders)
+        parts = RollupTables(**{name: part(name) for name in self.PARTS})
+        return merged(empty, parts)
+
+    def advance(self, history: DataFrame, **options) -> None:
+        """One step over ``history``; safe to run again after a crash."""
+        n = self.committed()
+        gain = gains(history, self.read(), **options)
+        for name in self.PARTS:
+            getattr(gain, name).write.mode("overwrite").parquet(f"{self.root}/{name}/batch={n}")
+        self.spark.range(n, n + 1).select(F.col("id").alias("batch")).coalesce(1).write.mode("append").parquet(f"{self.root}/commits")

@@ -1,8 +1,10 @@
 """Report views as presets: column names and parameters over the operators.
 
-``build(name, tables, now)`` gives one view.  ``tables`` maps the canonical
-names of ``sources.schemas.SHAPES`` to DataFrames; only those a view needs are
-looked at.  ``now`` is a stated timestamp.
+``build(name, tables, now, options)`` gives one view.  ``tables`` maps the
+canonical names of ``sources.schemas.SHAPES`` to DataFrames; only those a view
+needs are looked at.  ``now`` is a stated timestamp.  ``options`` override the
+bounds of reports (``OPTIONS``: days, hours, sets, rows, text length); 0 lifts
+a bound.
 """
 
 from __future__ import annotations
@@ -30,8 +32,32 @@ def view(name: str):
     return register
 
 
-def build(name: str, tables: Mapping[str, DataFrame], now: Column) -> DataFrame:
-    return VIEWS[name](tables, now)
+# The bounds of reports.
+OPTIONS = {
+    "blocked_process.days": 7, "blocked_process.sets": 500, "deadlock.days": 7, "deadlock.sets": 500,
+    "log.days": 1, "log.rows": 10_000, "log_non_debug_info.days": 7, "log_non_debug_info.rows": 1000,
+    "memory_grants_pending.rows": 25, "who_is_active.hours": 24, "who_is_active.rows": 1000,
+    "error_logs.rows": 1000, "log_messages.rows": 1000, "text.length": 1000,
+}
+
+
+class Inputs(dict):
+    """The tables of a view, and its options."""
+
+    def __init__(self, tables: Mapping[str, DataFrame], options: Mapping[str, int] | None = None):
+        super().__init__(tables)
+        if unknown := set(options or {}) - set(OPTIONS):
+            raise ValueError(f"unknown options {sorted(unknown)}")
+        self.options = {**OPTIONS, **(options or {})}
+
+    def text(self, name: str) -> Column:
+        """A text cut to the option's length."""
+        n = self.options["text.length"]
+        return c.truncate_text(name, n) if n else F.col(name)
+
+
+def build(name: str, tables: Mapping[str, DataFrame], now: Column, options: Mapping[str, int] | None = None) -> DataFrame:
+    return VIEWS[name](Inputs(tables, options), now)
 
 
 def keyed(df: DataFrame, ts: str | None = "ts", **more: Sequence[str]) -> DataFrame:
@@ -156,20 +182,24 @@ def _(t, now):
 _WHO = ["client_app", "host_name", "login_name"]
 
 
+def _bounded(t, name, events):
+    return events(t["xml_events"], days=t.options[f"{name}.days"], sets=t.options[f"{name}.sets"])
+
+
 @view("blocked_process")
 def _(t, now):
-    return keyed(events_xml.blocked_processes(t["xml_events"], days=7, sets=500), "event_ts", participant_key=_WHO)
+    return keyed(_bounded(t, "blocked_process", events_xml.blocked_processes), "event_ts", participant_key=_WHO)
 
 
 @view("deadlock")
 def _(t, now):
-    return keyed(events_xml.deadlock_participants(t["xml_events"], days=7, sets=500), "event_ts", participant_key=_WHO)
+    return keyed(_bounded(t, "deadlock", events_xml.deadlock_participants), "event_ts", participant_key=_WHO)
 
 
 @view("blocks_and_deadlocks")
 def _(t, now):
-    return events_xml.participants(events_xml.blocked_processes(t["xml_events"], days=7, sets=500),
-                                   events_xml.deadlock_participants(t["xml_events"], days=7, sets=500))
+    """A dimension: participants of all events, whatever bounds the facts have."""
+    return events_xml.participants(events_xml.blocked_processes(t["xml_events"]), events_xml.deadlock_participants(t["xml_events"]))
 
 
 # -- processor --------------------------------------------------------------
@@ -203,7 +233,8 @@ def _(t, now):
     pages = ["total_pages", "used_pages", "data_pages"]
     rows = select.any_nonzero(select.latest_snapshot(t["allocation_units"], "ts_utc"), pages)
     rows = rows.withColumns({p.replace("pages", "kb"): c.pages_to_kb(p) for p in pages})
-    return keyed(rows.withColumn("unit_type_text", c.decode(F.col("unit_type").cast("int"), UNIT_TYPES)), None,
+    known = F.create_map(*[F.lit(v) for kv in UNIT_TYPES.items() for v in kv])
+    return keyed(rows.withColumn("unit_type_text", F.try_element_at(known, F.col("unit_type").cast("int"))), None,
                  filegroup_key=["database", "filegroup"])
 
 
@@ -328,18 +359,18 @@ def _(t, now):
 
 @view("missing_index_statement")
 def _(t, now):
-    return _statements(t["statements"], 1000)
+    return _statements(t)
 
 
-def _statements(df: DataFrame, n: int) -> DataFrame:
-    newest = chunked.newest_per_group(df, ["database", "query_hash"], "ts_utc")
-    rows = newest.withColumns({"query_hash": c.hex_key("query_hash"), "statement": c.truncate_text("statement", n)})
+def _statements(t) -> DataFrame:
+    newest = chunked.newest_per_group(t["statements"], ["database", "query_hash"], "ts_utc")
+    rows = newest.withColumns({"query_hash": c.hex_key("query_hash"), "statement": t.text("statement")})
     return keyed(rows, None, statement_key=["database", "query_hash"])
 
 
 @view("query_statements")
 def _(t, now):
-    return _statements(t["statements"], 1000)
+    return _statements(t)
 
 
 _QUERY_COUNTERS = ["executions", "worker_ms", "logical_reads", "elapsed_ms", "rows"]
@@ -379,17 +410,17 @@ def _(t, now):
 
 # Scan modes, the most detailed first.
 SCAN_MODES = ("DETAILED", "SAMPLED", "LIMITED")
-_SCANNED = [*_LEVELS, "partition"]
+_OBJECT = list(_LEVELS[:3])  # the mode is chosen for an object, for all its indexes
 
 
 @view("index_physical")
 def _(t, now):
-    return keyed(select.best_mode_rows(t["index_physical"], _SCANNED, "mode", SCAN_MODES, "ts_utc", 24))
+    return keyed(select.best_mode_rows(t["index_physical"], _OBJECT, "mode", SCAN_MODES, "ts_utc", 24))
 
 
 @view("index_physical_detailed")
 def _(t, now):
-    return keyed(select.prefer_detail_per_day(t["index_physical"], _SCANNED, "mode", SCAN_MODES, "ts"))
+    return keyed(select.prefer_detail_per_day(t["index_physical"], _OBJECT, "mode", SCAN_MODES, "ts_utc"))
 
 
 # -- current state ----------------------------------------------------------
@@ -472,13 +503,9 @@ STATE_VIEWS = {
     "log_shipping_secondary_primary_database_state": StateView(_LS, 32, ["group_a", "group_b", "group_c"], {
         "backup_source_directory": TEXT, "backup_destination_directory": TEXT, "file_retention_period": INT,
         "monitor_server": TEXT, "monitor_server_security_mode": INT, "user_specified_monitor": FLAG}),
-    "agent_alerts": StateView("instance_state", 10, ["category"], {"message_id": INT, "severity": INT}),
     "agent_jobs": StateView("instance_state", 9, ["category"], {
         "job_enabled": FLAG, "number_of_enabled_schedules": INT, "job_owner": TEXT, "notify_email_operator_id": INT,
         "notify_level_email": INT}, {"job_key": ["category"]}),
-    "instance_configurations": StateView("instance_state", 4, ["category"], {
-        "name": TEXT, "value": INT, "minimum": INT, "maximum": INT, "value_in_use": INT, "description": TEXT,
-        "is_dynamic": FLAG, "is_advanced": FLAG}),
     "instance_dump_files": StateView("instance_state", 21, ["category"], {
         "creation_time": TEXT, "filename": TEXT, "size_in_bytes": INT}),
     "instance_services": StateView("instance_state", 7, ["category"], {
@@ -513,10 +540,58 @@ def _(t, now):
     return wide.withColumns({"database": part["head"], "file_id": part["middle"], "page_id": part["tail"]})
 
 
+@view("agent_alerts")
+def _(t, now):
+    """Every wanted alert, and whether it is there."""
+    found = StateView("instance_state", 10, ["category"], {"message_id": INT, "severity": INT})(t, now)
+    found = found.select(F.col("category").alias("alert_name"), "message_id", "severity").withColumn("_there", F.lit(True))
+    wanted = t["seed_agent_alerts"].join(found, ["message_id", "severity"], "left")
+    return wanted.select("description", "message_id", "severity", "alert_name", F.col("_there").isNotNull().cast("int").alias("alert_exists"))
+
+
+# The configurations that are checked.
+CHECKED_CONFIGURATIONS = (1517, 1538, 1539, 1544, 1546, 1562, 1576, 1579, 1581, 1584, 1585, 1589)
+
+
+@view("instance_configurations")
+def _(t, now):
+    """Values in use against the bounds for the product version; state 0 warns, 1 is fine."""
+    found = StateView("instance_state", 4, ["category"], {"name": TEXT, "value_in_use": INT})(t, now)
+    found = found.select(F.col("category").cast("int").alias("configuration_id"), "name", F.col("value_in_use").alias("value"))
+    version = select.current_rows(t["instance_state"]).filter("query = 3")
+    at = lambda key: version.select(F.max(F.when(F.col("key") == key, F.col("value").try_cast("int")))).scalar()
+    bounds = t["seed_configurations"].filter((F.col("product_major") == at("ProductMajorVersion")) & (F.col("product_minor") == at("ProductMinorVersion")))
+    rows = bounds.filter(F.col("configuration_id").isin(*CHECKED_CONFIGURATIONS)).join(found, "configuration_id")
+    outside = F.coalesce((F.col("value") < F.col("minimum")) | (F.col("value") > F.col("maximum")), F.lit(False))
+    return rows.select("configuration_id", "name", "value", (~outside).cast("int").alias("state"))
+
+
+# What the hardware report calls its keys, and its codes.
+HARDWARE_LABELS = {
+    "cores_per_socket": "Cores per socket", "cpu_count": "CPU count", "max_workers_count": "Max workers count",
+    "numa_node_count": "NUMA node count", "physical_memory_kb": "Physical memory MB", "ProcessorNameString": "Processor",
+    "scheduler_count": "Scheduler count", "socket_count": "Socket count", "sql_memory_model": "SQL memory model",
+    "SQL Server and OS Version Info": "SQL Server and OS Version Info", "sqlserver_start_time": "SQL server start time",
+    "virtual_machine_type": "Virtual machine type"}
+MEMORY_MODELS = {"1": "CONVENTIONAL", "2": "LOCK_PAGES", "3": "LARGE_PAGES"}
+MACHINE_TYPES = {"0": "NONE", "1": "HYPERVISOR", "2": "OTHER"}
+
+
+def _hardware(rows: DataFrame, value: str = "value") -> DataFrame:
+    """The label of each key, and its value as the report shows it."""
+    v = F.col(value)
+    shown = (F.when(F.col("key") == "physical_memory_kb", F.floor(v.try_cast("bigint") / 1024).cast("string"))
+             .when(F.col("key") == "sql_memory_model", c.decode(v, MEMORY_MODELS))
+             .when(F.col("key") == "virtual_machine_type", c.decode(v, MACHINE_TYPES))
+             .when(F.col("key") == "sqlserver_start_time", F.date_format(v.try_cast("timestamp"), "yyyy-MM-dd'T'HH:mm:ss"))
+             .otherwise(v))
+    return rows.withColumns({"label": c.decode(F.col("key"), HARDWARE_LABELS), f"{value}_text": shown})
+
+
 @view("instance_hardware")
 def _(t, now):
     rows = select.current_rows(t["instance_state"]).filter("query IN (17, 20)")
-    return rows.select("category", "key", "value", "valid_from").withColumn("label", c.display_text("key"))
+    return _hardware(rows.select("category", "key", "value", "valid_from"))
 
 
 @view("trace_flags")
@@ -572,7 +647,7 @@ _SHIPPED = ["query", "group_a", "group_b", "group_c"]
 
 VIEWS["log_shipping_state_history"] = partial(_history, table=_LS, entity=_SHIPPED, query=[11, 12, 21, 31, 32], keys=SHIPPING_KEYS, ignore_empty=True)
 VIEWS["instance_configurations_history"] = partial(_history, table="instance_state", entity=["category"], query=[4], keys=("value", "value_in_use"))
-VIEWS["instance_hardware_history"] = partial(_history, table="instance_state", entity=["query", "category"], query=[17, 20], keys=HARDWARE_KEYS)
+VIEWS["instance_hardware_history"] = lambda t, now: _hardware(_history(t, now, "instance_state", ["query", "category"], [17, 20], HARDWARE_KEYS))
 VIEWS["trace_flags_history"] = partial(_history, table="instance_state", entity=["category"], query=[5])
 VIEWS["instance_sql_agent_properties_history"] = partial(_history, table="instance_state", entity=["category"], query=[29])
 
@@ -616,16 +691,16 @@ def _(t, now):
     return keyed(rows.select("server", "database").distinct(), None, server_key=["server"])
 
 
-def _messages(t, now, source, n=None):
+def _messages(t, now, source, bound=None):
     rows = t["messages"].filter(F.col("source") == source)
-    rows = rows if n is None else select.newest_n(rows, "event_ts", n, ["text"])
+    rows = select.newest_n(rows, "event_ts", t.options[bound] if bound else 0, ["text"])
     return c.date_time_key(rows, "event_ts")
 
 
 VIEWS["log_shipping_monitor_error_details"] = partial(_messages, source="log shipping error")
 VIEWS["log_shipping_monitor_history_details"] = partial(_messages, source="log shipping history")
-VIEWS["error_logs"] = partial(_messages, source="error log", n=1000)
-VIEWS["log_messages"] = partial(_messages, source="log message", n=1000)
+VIEWS["error_logs"] = partial(_messages, source="error log", bound="error_logs.rows")
+VIEWS["log_messages"] = partial(_messages, source="log message", bound="log_messages.rows")
 
 
 # -- gauges -----------------------------------------------------------------
@@ -635,9 +710,14 @@ def _(t, now):
     return keyed(t["gauges"].withColumn("size_mb", c.pages_to_mb("value")), "ts", name_key=["name"])
 
 
+# The memory clerks shown.
+MEMORY_CLERKS = ("MEMORYCLERK_SQLBUFFERPOOL", "MEMORYCLERK_SQLCONNECTIONPOOL", "OBJECTSTORE_LOCK_MANAGER")
+
+
 @view("memory_clerks")
 def _(t, now):
-    return keyed(t["gauges"].filter(F.col("name").isNotNull()).withColumn("size_mb", c.kb_to_mb("value")), "ts", name_key=["name"])
+    shown = t["memory_clerks"].filter(select.name_filter("name", MEMORY_CLERKS))
+    return keyed(shown.withColumn("size_mb", c.kb_to_mb("value")), "ts", name_key=["name"])
 
 
 @view("plan_cache_usage")
@@ -681,32 +761,46 @@ def _(t, now):
 
 @view("memory_grants_pending")
 def _(t, now):
-    cooked = counters.cook_counters(t["performance_counters"]).filter(select.name_filter("counter", ["Memory Grants Pending"]))
-    return select.newest_n(cooked.filter("cooked_value > 0"), "ts_utc", 25, ["instance"])
+    cooked = counters.cook_counters(t["performance_counters"]).filter(
+        select.name_filter("counter", ["Memory Grants Pending"]) & select.name_filter("object", like=["%:Memory Manager"]))
+    return select.newest_n(cooked.filter("cooked_value <> 0"), "ts_utc", t.options["memory_grants_pending.rows"], ["object", "instance"])
 
 
 # -- sessions ---------------------------------------------------------------
 
 @view("who_is_active")
 def _(t, now):
+    """``sort_order`` counts all sessions; the last collection, by the log, says how long ago one was seen."""
     worth = (F.col("sql_text") != "sp_server_diagnostics") & ~F.col("sql_text").like("WAITFOR DELAY %")
+    collected = t["log"].filter(F.col("name") == "Who is active").select(F.max_by("ts", "ts_utc")).scalar()
     seen = counters.delta_from_first(t["session_samples"], ["session", "login_ts", "start_ts"], "collected",
-                                     ["cpu", "reads", "writes"], keep=worth, hours=24)
-    rows = seen.withColumns({"elapsed_ms": c.datediff_boundary("millisecond", "start_ts", "collected"),
-                             "sql_text": c.truncate_text("sql_text", 1000)})
-    return select.newest_n(rows, "collected", 1000, ["session", "login_ts"])
+                                     ["cpu", "reads", "writes"], keep=worth, hours=t.options["who_is_active.hours"] or None,
+                                     last_seen=collected)
+    rows = seen.withColumns({"elapsed_ms": c.datediff_boundary("millisecond", "start_ts", "collected"), "sql_text": t.text("sql_text")})
+    order = [F.col("collected"), F.col("delta_reads"), F.col("session").desc()]
+    rows = chunked.with_row_number(rows, [], order, "sort_order", chunked.by_hour("collected"))
+    return select.newest_n(rows, "collected", t.options["who_is_active.rows"], ["session", "login_ts", "start_ts"])
 
 
 # -- the warehouse about itself ---------------------------------------------
 
+def _log(t, rows, name):
+    """Rows after the newest log entry less the days; the newest entry is that of the whole log."""
+    days = t.options[f"{name}.days"]
+    if days:
+        oldest = t["log"].select(F.timestamp_add("DAY", F.lit(-days), F.max("ts_utc"))).scalar()
+        rows = rows.filter(F.col("ts_utc") > oldest)
+    return select.newest_n(rows, "ts_utc", t.options[f"{name}.rows"], ["id"])
+
+
 @view("log")
 def _(t, now):
-    return select.newest_n(select.lookback(t["log"], "ts_utc", 30, "day", exact=True), "ts_utc", 10_000, ["id"])
+    return _log(t, t["log"], "log")
 
 
 @view("log_non_debug_info")
 def _(t, now):
-    return select.newest_n(t["log"].filter("type NOT IN ('Debug', 'Info')"), "ts_utc", 10_000, ["id"])
+    return _log(t, t["log"].filter("type NOT IN ('Debug', 'Info')"), "log_non_debug_info")
 
 
 @view("configurations")

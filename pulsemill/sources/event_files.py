@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Mapping
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming import StreamingQuery
 
@@ -18,8 +20,9 @@ def event_file_stream(spark: SparkSession, path: str, schema="xml_events", fmt:
 
 
 def resume_event_files(spark: SparkSession, path: str, out: str, checkpoint: str, schema="xml_events",
-                       fmt: str = "parquet", max_files: int | None = None, **options) -> StreamingQuery:
-    """Append what arrived since the last call to ``out``, each file once."""
+                       fmt: str = "parquet", max_files: int | None = None, trigger: Mapping[str, object] | None = None,
+                       **options) -> StreamingQuery:
+    """Append what arrived since the last call to ``out``, each file once; ``trigger`` makes it go on."""
     events = event_file_stream(spark, path, schema, fmt, max_files, **options)
     return (events.writeStream.format("parquet").option("path", out)
-            .option("checkpointLocation", checkpoint).trigger(availableNow=True).start())
+            .option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start())

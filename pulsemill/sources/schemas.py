@@ -21,6 +21,7 @@ SHAPES = {
     "performance_counters": "object string, counter string, instance string, value bigint, type int, "
                             f"restart_ts timestamp, {_STAMPS}",
     "gauges": f"name string, value bigint, {_STAMPS}",
+    "memory_clerks": f"name string, value bigint, {_STAMPS}",
     "file_sizes": "database string, logical string, physical string, type smallint, mount string, "
                   f"filegroup string, current int, used int, max int, growth int, {_STAMPS}",
     "state": "query int, `group` string, key string, value string, valid_from timestamp, valid_to timestamp, "
@@ -83,5 +84,7 @@ SHAPES = {
     "instance_state": f"query int, category string, key string, value string, {_VALID}",
     "lifecycle": "product string, version string, mainstream_end date, extended_end date",
     "seed_scoped_defaults": "configuration string, default_value string",
+    "seed_agent_alerts": "description string, message_id int, severity int",
+    "seed_configurations": "configuration_id int, product_major int, product_minor int, minimum int, maximum int",
     "seed_trace_flags": "flag string, description string, url string",
 }

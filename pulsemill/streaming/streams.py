@@ -2,15 +2,16 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Mapping, Sequence
 
-from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 from pyspark.sql.streaming import StreamingQuery
 
 from ..operators.chunked import names, newest_per_group
 from ..operators.counters import counter_delta
+from ..operators.joins import null_safe_join
 from ..operators.select import OPEN_END
-from ..operators.state import scd2_build, scd2_merge
+from ..operators.state import inventory_history, scd2_build
 
 
 def stream_dedup(events: DataFrame, keys, ts: str, delay: str) -> DataFrame:
@@ -90,16 +91,33 @@ def _write_batch(df: DataFrame, batch: int, path: str) -> None:
      .option("partitionOverwriteMode", "dynamic").partitionBy("batch_id").parquet(path))
 
 
+def _start(stream: DataFrame, run: Callable[[DataFrame, int], None], checkpoint: str,
+           trigger: Mapping[str, object] | None) -> StreamingQuery:
+    """``trigger`` as in ``DataStreamWriter.trigger``; by default what is there is drained, then the query ends."""
+    return (stream.writeStream.foreachBatch(_each_batch(run)).option("checkpointLocation", checkpoint)
+            .trigger(**(trigger or {"availableNow": True})).start())
+
+
+def _at_or_before(position: Sequence[str], last: str) -> Column:
+    return F.coalesce(F.struct(*position) <= F.col(last), F.lit(False))
+
+
 def stream_counter_delta(snapshots: DataFrame, keys, ts: str, counters: Sequence[str], out: str,
                          state_root: str, checkpoint: str, delay_s: int = 0, epoch: str | None = None,
-                         clock: str | None = None, **options) -> StreamingQuery:
+                         clock: str | None = None, expire_s: int | None = None,
+                         trigger: Mapping[str, object] | None = None, **options) -> StreamingQuery:
     """M1: I1 over a stream, exact for rows up to ``delay_s`` out of order.
 
     Each micro-batch is put to the rows held back so far and the last row
-    released per entity, and the batch operator runs on them.  Rows newer than (newest stamp -
-    delay) wait; rows at or before the stamp released last are late and are
-    dropped.  The work is the same distributed plan as in batch, so a hot
-    entity is cut into chunks here too.
+    released per entity, and the batch operator runs on them.  Rows newer
+    than (newest stamp - delay) wait.  A row is late if its own entity has
+    released that stamp or a newer one, so a poll that is split over batches
+    loses nothing; late rows are no part of the deltas and go to
+    ``<state_root>/late``, by batch, where they can be counted.
+
+    ``expire_s``: an entity that has been silent for longer than this, by the
+    newest stamp, is forgotten and starts over when it comes back.  Take the
+    gap limit, or more: a longer gap gives no delta anyhow.
     """
     keys = names(keys)
     keep = [*keys, ts, *counters, *(c for c in (epoch, clock) if c)]
@@ -108,29 +126,28 @@ def stream_counter_delta(snapshots: DataFrame, keys, ts: str, counters: Sequence
         raise ValueError("a stream compares with the entity's own previous row")
 
     def run(batch: DataFrame, batch_id: int) -> None:
-        # role: 'base' the last released row of an entity, 'wait' a row held
-        # back, 'mark' the stamp up to which rows are released.
+        # role: 'base' the last released row of an entity, 'wait' a row held back.
         rows = batch.select(*keep, F.lit("wait").alias("role"))
         held = state.before(rows, batch_id)
         everything = rows if held is None else rows.unionByName(held)
-        waiting = everything.filter("role = 'wait'")
-        marks = everything.filter("role = 'mark'")
-        old = marks.select(F.max(ts)).scalar()
         newest = everything.select(F.max(ts)).scalar()
-        limit = F.greatest(F.timestamp_add("SECOND", F.lit(-delay_s), newest), old)
-        fresh = waiting.filter(old.isNull() | (F.col(ts) > old))
-        due = fresh.filter(F.col(ts) <= limit)
+        waiting = everything.filter("role = 'wait'")
+        due = waiting.filter(F.col(ts) <= F.timestamp_add("SECOND", F.lit(-delay_s), newest))
         base = everything.filter("role = 'base'")
-        deltas = counter_delta(base.unionByName(due), keys, ts, counters, epoch=epoch, clock=clock, **options)
+        last = base.select(*keys, F.struct(ts).alias("_last"))
+        placed = null_safe_join(due, last, keys, "left")
+        late = _at_or_before([ts], "_last")
+        _write_batch(placed.filter(late).drop("role", "_last"), batch_id, f"{state.root}/late")
+        on_time = placed.filter(~late).drop("_last")
+        deltas = counter_delta(base.unionByName(on_time), keys, ts, counters, epoch=epoch, clock=clock, **options)
         _write_batch(deltas.filter("role = 'wait'").drop("role"), batch_id, out)
-        last = newest_per_group(base.unionByName(due), keys, ts).withColumn("role", F.lit("base"))
-        mark = everything.groupBy().agg(F.max(ts).alias("_n")).select(
-            *[(limit if c == ts else F.lit("mark") if c == "role" else F.lit(None)).cast(rows.schema[c].dataType).alias(c)
-              for c in rows.columns])
-        state.write(last.unionByName(fresh.filter(F.col(ts) > limit)).unionByName(mark), batch_id)
+        released = newest_per_group(base.unionByName(on_time), keys, ts).withColumn("role", F.lit("base"))
+        if expire_s is not None:
+            released = released.filter(F.col(ts) >= F.timestamp_add("SECOND", F.lit(-expire_s), newest))
+        still = waiting.filter(F.col(ts) > F.timestamp_add("SECOND", F.lit(-delay_s), newest))
+        state.write(released.unionByName(still), batch_id)
 
-    return (snapshots.writeStream.foreachBatch(_each_batch(run)).option("checkpointLocation", checkpoint)
-            .trigger(availableNow=True).start())
+    return _start(snapshots, run, checkpoint, trigger)
 
 
 class StreamedHistory:
@@ -155,47 +172,88 @@ class StreamedHistory:
 
 
 def stream_scd2(observations: DataFrame, keys, ts: str, value: str, root: str, checkpoint: str,
-                order: Sequence[str] = ()) -> StreamingQuery:
-    """M4: a history kept by micro-batches of observations, in time order across batches.
+                order: Sequence[str] = (), delay_s: int = 0, trigger: Mapping[str, object] | None = None) -> StreamingQuery:
+    """M4: a history kept by micro-batches of observations, exact for rows up to ``delay_s`` out of order.
 
     A batch may change a key several times: its observations and the open
     rows give one history (H2); what that closes is appended, what stays
     open is the next state.  Work grows with the batch and the open rows,
-    not with the history.
+    not with the history.  Observations newer than (newest stamp - delay)
+    wait.  One at or before the last that its key has taken in is late: it
+    can't change rows already closed, so it goes to ``<root>/late``, by
+    batch, and the history stays free of overlaps.
     """
     keys, history = names(keys), StreamedHistory(root)
+    position = ["observed_at", *order]
+    # role: 'wait' an observation held back, 'last' the last one a key has taken in.
+    pending = BatchState(f"{history.root}/pending")
 
     def run(batch: DataFrame, batch_id: int) -> None:
-        seen = batch.select(*keys, F.col(ts).alias("observed_at"), *order, value)
-        built = scd2_build(seen, keys, "observed_at", value, order)
-        opened = history.open_rows.before(built, batch_id)
+        seen = batch.select(*keys, F.col(ts).alias("observed_at"), *order, value, F.lit("wait").alias("role"))
+        held = pending.before(seen, batch_id)
+        everything = seen if held is None else seen.unionByName(held)
+        newest = everything.select(F.max("observed_at")).scalar()
+        limit = F.timestamp_add("SECOND", F.lit(-delay_s), newest)
+        waiting = everything.filter("role = 'wait'")
+        last = everything.filter("role = 'last'")
+        placed = null_safe_join(waiting.filter(F.col("observed_at") <= limit),
+                                last.select(*keys, F.struct(*position).alias("_last")), keys, "left")
+        late = _at_or_before(position, "_last")
+        _write_batch(placed.filter(late).drop("role", "_last"), batch_id, f"{history.root}/late")
+        taken = placed.filter(~late).drop("_last")
+        shape = taken.select(*keys, value, F.col("observed_at").alias("valid_from"), F.col("observed_at").alias("valid_to"))
+        opened = history.open_rows.before(shape, batch_id)
+        rows = taken.drop("role")
         if opened is not None:
             opened = opened.select(*keys, F.col("valid_from").alias("observed_at"), value)
-            built = scd2_build(seen.unionByName(opened, allowMissingColumns=True), keys, "observed_at", value, order)
-        history.write(built, batch_id)
+            rows = rows.unionByName(opened, allowMissingColumns=True)
+        history.write(scd2_build(rows, keys, "observed_at", value, order), batch_id)
+        kept = newest_per_group(last.unionByName(taken), keys, position).withColumn("role", F.lit("last"))
+        pending.write(kept.unionByName(waiting.filter(F.col("observed_at") > limit)), batch_id)
+
+    return _start(observations, run, checkpoint, trigger)
 
-    return (observations.writeStream.foreachBatch(_each_batch(run)).option("checkpointLocation", checkpoint)
-            .trigger(availableNow=True).start())
 
+def stream_inventory(inventories: DataFrame, keys, ts: str, value: str, root: str, checkpoint: str,
+                     hold_newest: bool = True, trigger: Mapping[str, object] | None = None) -> StreamingQuery:
+    """M4 for full inventories: rows that share a stamp are one poll; vanished keys are closed.
 
-def stream_inventory(inventories: DataFrame, keys, ts: str, value: str, root: str, checkpoint: str) -> StreamingQuery:
-    """M4 for full inventories: one poll per micro-batch; vanished keys are closed (H1)."""
+    A batch may hold several polls, or a part of one: with ``hold_newest``
+    the newest poll waits until a row of a later one arrives, because only
+    then it is whole.  Without it every batch must end with a whole poll.
+    Rows of polls already taken in are late and go to ``<root>/late``.
+    """
     keys, history = names(keys), StreamedHistory(root)
+    # role: 'wait' a row held back, 'poll' (no keys, no value) the last poll taken in.
+    pending = BatchState(f"{history.root}/pending")
 
     def run(batch: DataFrame, batch_id: int) -> None:
-        shape = batch.select(*keys, value, F.col(ts).alias("valid_from"), F.col(ts).alias("valid_to"))
+        seen = batch.select(*keys, value, F.col(ts).alias("at"), F.lit("wait").alias("role"))
+        held = pending.before(seen, batch_id)
+        everything = seen if held is None else seen.unionByName(held)
+        newest = everything.select(F.max("at")).scalar()
+        done = everything.select(F.max(F.when(F.col("role") == "poll", F.col("at")))).scalar()
+        waiting = everything.filter("role = 'wait'")
+        late = F.coalesce(F.col("at") <= done, F.lit(False))
+        _write_batch(waiting.filter(late).drop("role"), batch_id, f"{history.root}/late")
+        whole = (F.col("at") < newest) if hold_newest else F.lit(True)
+        taken = waiting.filter(~late & whole).drop("role")
+        shape = taken.select(*keys, value, F.col("at").alias("valid_from"), F.col("at").alias("valid_to"))
         opened = history.open_rows.before(shape, batch_id)
-        opened = shape.limit(0) if opened is None else opened
-        now = batch.select(F.max(ts)).scalar()
-        history.write(scd2_merge(opened, batch, keys, value, now), batch_id)
+        history.write(inventory_history(taken, keys, "at", value, opened, done), batch_id)
+        polls = everything.filter(F.col("role") == "poll").select("at").unionByName(taken.select("at"))
+        # Keys and value of the mark are null.
+        mark = polls.agg(F.max("at").alias("at")).filter(F.col("at").isNotNull()).withColumn("role", F.lit("poll"))
+        left = waiting.filter(~late & ~whole)
+        pending.write(left.unionByName(mark, allowMissingColumns=True), batch_id)
 
-    return (inventories.writeStream.foreachBatch(_each_batch(run)).option("checkpointLocation", checkpoint)
-            .trigger(availableNow=True).start())
+    return _start(inventories, run, checkpoint, trigger)
 
 
 def run_to_end(df: DataFrame, path: str, checkpoint: str, mode: str = "append",
-               each: Callable[[DataFrame, int], None] | None = None) -> StreamingQuery:
-    """Drain what is available into a Parquet folder.
+               each: Callable[[DataFrame, int], None] | None = None,
+               trigger: Mapping[str, object] | None = None) -> StreamingQuery:
+    """Write a stream into a Parquet folder; by default what is available, then it ends.
 
     In update mode each batch overwrites its own folder ``batch_id=n``; the
     reader keeps the newest row per key.
@@ -204,4 +262,5 @@ def run_to_end(df: DataFrame, path: str, checkpoint: str, mode: str = "append",
         writer = df.writeStream.format("parquet").option("path", path)
     else:
         writer = df.writeStream.foreachBatch(each or (lambda batch, batch_id: _write_batch(batch, batch_id, path)))
-    return writer.outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    return (writer.outputMode(mode).option("checkpointLocation", checkpoint)
+            .trigger(**(trigger or {"availableNow": True})).start())
