@@ -120,15 +120,16 @@ class Lattice:
     """Edges of the lattices of different words, by the node they leave.
 
     Nodes are the characters of the words, one after the other; ``first`` is
-    the first edge of a node.  ``step`` is an edge's length, ``piece`` its id
-    (-1: the bytes of the character), ``log_p`` the log probability of taking
-    it and ``cut`` the sum of probabilities up to it.
+    the first edge of a node, ``count`` how many it has.  ``step`` is an edge's
+    length, ``piece`` its id (-1: the bytes of the character), ``log_p`` the log
+    probability of taking it and ``cut`` the sum of probabilities up to it.
     """
 
     starts: np.ndarray
     sizes: np.ndarray
     points: np.ndarray
     first: np.ndarray
+    count: np.ndarray
     step: np.ndarray
     piece: np.ndarray
     log_p: np.ndarray
@@ -138,54 +139,68 @@ class Lattice:
 def build_lattice(words: list[str], vocabulary: Vocabulary) -> Lattice:
     """Edges by a walk of all nodes through the trie at once, choices by suffix sums."""
     v = vocabulary
-    sizes = np.array([len(w) for w in words], np.int64)
+    sizes = np.fromiter(map(len, words), np.int64, len(words))
     points = np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), np.uint32)
     total = len(points)
     ends = np.cumsum(sizes)
-    left = np.repeat(ends, sizes) - np.arange(total)  # characters to the end of the word
+    left = (np.repeat(ends, sizes) - np.arange(total)).astype(np.int32)  # characters to the end of the word
     classes = v.classes[points]
     piece = v.single[points]
-    single = np.where(piece >= 0, v.weight[piece], v.fallback * _byte_counts(points))
-    nodes, steps, pieces, weights = [np.arange(total)], [np.ones(total, np.int64)], [piece], [single]
-    at = np.arange(total)
-    state = v.moves[0, classes]
+    bare = np.flatnonzero(piece < 0)
+    single = v.weight[piece]
+    single[bare] = v.fallback * _byte_counts(points[bare])
+    # Nodes are ranked by what is left of their word, so that suffix sums go through slices.
+    by_left = np.argsort(left, kind="stable")
+    rank = np.empty(total + 1, np.int32)
+    rank[by_left] = np.arange(total, dtype=np.int32)
+    nodes, steps, pieces, weights = [np.arange(total, dtype=np.int32)], [np.ones(total, np.int32)], [piece], [single]
+    at, state = nodes[0], v.moves[0, classes]
     at, state = at[state > 0], state[state > 0]
     depth = 1
     while len(at):
         go = (left[at] > depth) & (v.row[state] >= 0)
         at, state = at[go], state[go]
         state = v.moves[v.row[state], classes[at + depth]]
-        at, state = at[state > 0], state[state > 0]
+        go = state > 0
+        at, state = at[go], state[go]
         depth += 1
         done = v.ends[state]
         hit = done >= 0
         nodes.append(at[hit])
-        steps.append(np.full(int(hit.sum()), depth))
+        steps.append(np.full(len(nodes[-1]), depth, np.int32))
         pieces.append(done[hit])
-        weights.append(v.weight[done[hit]])
+        weights.append(v.weight[pieces[-1]])
     node, step, piece, weight = (np.concatenate(x) for x in (nodes, steps, pieces, weights))
-    order = np.argsort(node, kind="stable")
-    node, step, piece, weight = node[order], step[order], piece[order], weight[order]
-    first = np.append(np.searchsorted(node, np.arange(total)), len(node))
-    # Suffix sums, nodes nearest to the end of their word first.
-    suffix = np.zeros(total + 1)
-    final = step == left[node]
-    by_left = np.argsort(left, kind="stable")
-    borders = np.searchsorted(left[by_left], np.arange(1, int(left.max(initial=0)) + 2))
-    for r in range(len(borders) - 1):
-        own = by_left[borders[r]:borders[r + 1]]
-        counts = first[own + 1] - first[own]
-        edges = np.repeat(first[own] - np.concatenate([[0], np.cumsum(counts)[:-1]]), counts) + np.arange(counts.sum())
-        value = weight[edges] + np.where(final[edges], 0.0, suffix[node[edges] + step[edges]])
-        begin = np.concatenate([[0], np.cumsum(counts)[:-1]])
-        top = np.maximum.reduceat(value, begin)
-        suffix[own] = top + np.log(np.add.reduceat(np.exp(value - np.repeat(top, counts)), begin))
-    log_p = np.minimum(0.0, weight + np.where(final, 0.0, suffix[np.minimum(node + step, total)]) - suffix[node])
-    sums = np.cumsum(np.exp(log_p))
-    cut = sums - np.concatenate([[0.0], sums])[first[node]]
-    last = first[1:] - 1
-    cut[last] = np.inf
-    return Lattice(ends - sizes, sizes, points, first, step, piece, log_p, cut)
+    own = rank[node]
+    order = np.argsort(own, kind="stable")
+    node, step, piece, weight, own = node[order], step[order], piece[order], weight[order], own[order]
+    count = np.bincount(own, minlength=total)
+    first = np.cumsum(count) - count
+    rank[total] = total
+    target = np.where(step == left[node], total, rank[np.minimum(node + step, total)])
+    # A node's suffix sum is taken relative to its one-character edge, which is always its first.
+    suffix, log_p = np.zeros(total + 1), np.empty(len(node))
+    borders = np.concatenate([[0], np.cumsum(np.bincount(left, minlength=1)[1:])])
+    for p, q in zip(borders[:-1].tolist(), borders[1:].tolist()):
+        if p == q:
+            continue
+        a, z = int(first[p]), int(first[q - 1] + count[q - 1])
+        value = weight[a:z] + suffix[target[a:z]]
+        begin = first[p:q] - a
+        base = value[begin]
+        suffix[p:q] = base + np.log(np.add.reduceat(np.exp(value - np.repeat(base, count[p:q])), begin))
+        log_p[a:z] = value - np.repeat(suffix[p:q], count[p:q])
+    log_p = np.minimum(0.0, log_p)
+    cut = np.exp(log_p)
+    more, k = np.flatnonzero(count > 1), 1
+    while len(more):
+        e = first[more] + k
+        cut[e] += cut[e - 1]
+        k += 1
+        more = more[count[more] > k]
+    cut[first + count - 1] = np.inf
+    place = rank[:total]
+    return Lattice(ends - sizes, sizes, points, first[place], count[place], step, piece, log_p, cut)
 
 
 def _byte_counts(points: np.ndarray) -> np.ndarray:
@@ -210,9 +225,13 @@ def _gumbel(key: np.ndarray, stream: int, at: np.ndarray, below: np.ndarray) ->
 
 @dataclass
 class Sample:
-    """Paths of all texts of a run: the edge that leaves each character of the joined texts, -1 inside a piece."""
+    """Paths of all texts of a run: the edge that leaves each character of the joined texts, -1 inside a piece.
+
+    ``before`` is the log probability of a path up to each character.
+    """
 
     edge: np.ndarray
+    before: np.ndarray
     log_p: np.ndarray
     value: np.ndarray
     made: np.ndarray
@@ -258,21 +277,24 @@ class Search:
             go = at < ends
             at, ends = at[go], ends[go]
 
-    def _summed(self, values: np.ndarray) -> np.ndarray:
-        """Sum by text."""
-        sums = np.concatenate([[0.0], np.cumsum(values)])
-        return sums[self.bounds[1:]] - sums[self.bounds[:-1]]
-
-    def _open(self, edge: np.ndarray, stream: int, since: np.ndarray, value: np.ndarray) -> np.ndarray:
-        """Bounds of the sets that leave a path at its pieces from character ``since`` of each text on."""
+    def _before(self, edge: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Log probability of a path up to each character, and of all of it by text; text by text, so that a sum doesn't depend on other texts."""
         log_p = np.where(edge >= 0, self.lattice.log_p[edge], 0.0)
-        before = np.concatenate([[0.0], np.cumsum(log_p)])
+        out, sums = np.zeros(self.total), np.zeros(self.n)
+        for t, (a, z) in enumerate(zip(self.bounds[:-1].tolist(), self.bounds[1:].tolist())):
+            if z > a:
+                np.cumsum(log_p[a:z - 1], out=out[a + 1:z])
+                sums[t] = out[z - 1] + log_p[z - 1]
+        return out, sums
+
+    def _open(self, edge: np.ndarray, before: np.ndarray, stream: int, since: np.ndarray, value: np.ndarray) -> np.ndarray:
+        """Bounds of the sets that leave a path at its pieces from character ``since`` of each text on."""
         at = np.flatnonzero((edge >= 0) & (np.arange(self.total) >= since[self.text_of]))
         text = self.text_of[at]
-        prefix = before[at] - before[self.bounds[text]]
+        prefix = before[at]
         with np.errstate(divide="ignore"):
-            rest = np.log(np.maximum(0.0, -np.expm1(log_p[at])))
-        rest[self.lattice.first[self.node[at] + 1] - self.lattice.first[self.node[at]] == 1] = -np.inf
+            rest = np.log(-np.expm1(self.lattice.log_p[edge[at]]))
+        rest[self.lattice.count[self.node[at]] == 1] = -np.inf
         out = np.full(self.total, -np.inf)
         out[at] = _gumbel(self.key[at], stream, prefix + rest, value[text])
         return out
@@ -282,8 +304,9 @@ class Search:
         edge = np.full(self.total, -1, np.int64)
         self._walk(0, self.word_at, self.word_end, edge)
         root = -np.log(-np.log(_uniform(self.keys, 1)))
-        samples = [Sample(edge, self._summed(np.where(edge >= 0, self.lattice.log_p[edge], 0.0)), root, np.ones(self.n, bool))]
-        bound = [self._open(edge, 2, self.bounds[:-1], root)]
+        before, log_p = self._before(edge)
+        samples = [Sample(edge, before, log_p, root, np.ones(self.n, bool))]
+        bound = [self._open(edge, before, 2, self.bounds[:-1], root)]
         taken: dict[tuple[int, int], list[int]] = {}  # edges tried at a split (path, character), the path's own included
         filled = np.flatnonzero(np.diff(self.bounds) > 0)
         for s in range(1, k + 1):
@@ -299,41 +322,41 @@ class Search:
 
     def _split(self, s: int, path: np.ndarray, value: np.ndarray, samples: list[Sample], bound: list[np.ndarray], taken: dict) -> None:
         """Take the best open set of each text apart: sample s is its best path, the rest stays open."""
-        lattice, made = self.lattice, value > -np.inf
+        lattice, made = self.lattice, np.flatnonzero(value > -np.inf)
         edge = np.full(self.total, -1, np.int64)
         since = self.bounds[1:].copy()  # where the path is its own: after the split
-        starts, ends = [], []
-        for t in np.flatnonzero(made).tolist():
+        at = np.zeros(len(made), np.int64)
+        for i, t in enumerate(made.tolist()):
             a, z, j = int(self.bounds[t]), int(self.bounds[t + 1]), int(path[t])
-            c = a + int(np.argmax(bound[j][a:z] == value[t]))
-            edge[a:c] = samples[j].edge[a:c]
+            at[i] = a + int(np.argmax(bound[j][a:z] == value[t]))
+            edge[a:at[i]] = samples[j].edge[a:at[i]]
+        draws = _uniform(self.key[at], 3 * s + 5)
+        rest = np.full(len(made), -np.inf)  # log probability of what is left of the set: the other edges
+        for i, t in enumerate(made.tolist()):
+            c, j = int(at[i]), int(path[t])
             tried = taken.setdefault((j, c), [int(samples[j].edge[c])])
-            first, last = int(lattice.first[self.node[c]]), int(lattice.first[self.node[c] + 1])
-            others = [e for e in range(first, last) if e not in tried]
+            first = int(lattice.first[self.node[c]])
+            others = [e for e in range(first, first + int(lattice.count[self.node[c]])) if e not in tried]
             p = np.exp(lattice.log_p[others])
-            u = _uniform(self.key[c:c + 1], 3 * s + 5)[0] * p.sum()
-            chosen = others[min(int(np.searchsorted(np.cumsum(p), u)), len(others) - 1)]
-            edge[c] = chosen
-            tried.append(chosen)
-            # What is left of the set: the other edges, cut off at the value of this sample.
-            rest = p.sum() - np.exp(lattice.log_p[chosen])
-            if len(others) > 1 and rest > 0:
-                kept = samples[j].edge[a:c]
-                prefix = lattice.log_p[kept[kept >= 0]].sum()
-                bound[j][c] = _gumbel(self.key[c:c + 1], 3 * s + 6, np.array([prefix + np.log(rest)]), value[t:t + 1])[0]
-            else:
-                bound[j][c] = -np.inf
-            after = c + int(lattice.step[chosen])
-            since[t] = after
-            w = int(np.searchsorted(self.word_at, c, side="right")) - 1
-            if after < self.word_end[w]:
-                starts.append(after)
-                ends.append(int(self.word_end[w]))
+            sums = np.cumsum(p)
+            k = min(int(np.searchsorted(sums, draws[i] * sums[-1])), len(others) - 1)
+            edge[c] = others[k]
+            tried.append(others[k])
+            if len(others) > 1:
+                rest[i] = samples[j].before[c] + np.log(np.delete(p, k).sum())
+            since[t] = c + int(lattice.step[others[k]])
+        left = _gumbel(self.key[at], 3 * s + 6, rest, value[made])
+        for i, t in enumerate(made.tolist()):
+            bound[int(path[t])][at[i]] = left[i]
+        after = since[made]
+        end = self.word_end[np.searchsorted(self.word_at, at, side="right") - 1]
+        open_word = after < end
         later = self.word_at >= since[self.text_of[self.word_at]]
-        self._walk(3 * s + 4, np.concatenate([np.array(starts, np.int64), self.word_at[later]]),
-                   np.concatenate([np.array(ends, np.int64), self.word_end[later]]), edge)
-        samples.append(Sample(edge, self._summed(np.where(edge >= 0, lattice.log_p[edge], 0.0)), value, made))
-        bound.append(self._open(edge, 3 * s + 7, since, value))
+        self._walk(3 * s + 4, np.concatenate([after[open_word], self.word_at[later]]),
+                   np.concatenate([end[open_word], self.word_end[later]]), edge)
+        before, log_p = self._before(edge)
+        samples.append(Sample(edge, before, log_p, value, value > -np.inf))
+        bound.append(self._open(edge, before, 3 * s + 7, since, value))
 
     def ids(self, edge: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Piece ids along the paths, and bounds by text; a character without a piece gives its bytes."""
