@@ -24,6 +24,8 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from ..session import scratch_dir
+
 CHUNK, SEED = "_chunk", "_seed"
 # A key above 1/HOT_SHARE of the rows is hot; so there are fewer than
 # HOT_SHARE hot keys, whatever the data size.
@@ -34,10 +36,6 @@ def names(cols: str | Sequence[str]) -> list[str]:
     return [cols] if isinstance(cols, str) else list(cols)
 
 
-def by_hour(ts: str) -> Column:
-    return F.date_trunc("hour", F.col(ts))
-
-
 def by_day(ts: str) -> Column:
     return F.to_date(ts)
 
@@ -85,7 +83,7 @@ def with_previous(df: DataFrame, keys, order, values: Mapping[str, str],
     """``values`` maps a new column to the column it lags by one row.
 
     All lags share one shuffle and one sort.  ``order`` must be total within
-    a key; ``chunk`` defaults to the month of the first order column.
+    a key; ``chunk`` defaults to the day of the first order column.
     """
     return _neighbour(df, names(keys), names(order), values, chunk, forward=True)
 
@@ -97,7 +95,7 @@ def with_next(df: DataFrame, keys, order, values: Mapping[str, str],
 
 
 def _neighbour(df, keys, order, values, chunk, forward):
-    chunk = by_month(order[0]) if chunk is None else chunk
+    chunk = by_day(order[0]) if chunk is None else chunk
     pick = F.max_by if forward else F.min_by
     # A seed carries the neighbour's values in the rows' own columns, so no
     # copy is shuffled; it sorts by its mark, not by what it carries.
@@ -113,7 +111,7 @@ def with_last_known(df: DataFrame, keys, order, values: Mapping[str, Column],
                     chunk: Column | None = None) -> DataFrame:
     """The latest non-null value among strictly earlier rows of the key."""
     keys, order = names(keys), names(order)
-    chunk = by_month(order[0]) if chunk is None else chunk
+    chunk = by_day(order[0]) if chunk is None else chunk
     held = {new: f"_held_{new}" for new in values}
     work = df.withColumns({held[new]: c for new, c in values.items()})
     at = _position(order)
@@ -134,7 +132,7 @@ def with_running_sum(df: DataFrame, keys, order, values: Mapping[str, Column],
     """
     keys = names(keys)
     order = [order] if isinstance(order, (str, Column)) else list(order)
-    chunk = by_month(order[0]) if chunk is None else chunk
+    chunk = by_day(order[0]) if chunk is None else chunk
     work = df.withColumns(dict(values))
     work = _seeded(work, keys, chunk, {n: F.sum(n) for n in values}, "sum", forward=not descending)
     w = (Window.partitionBy(*keys, CHUNK).orderBy(F.col(SEED).desc(), *order)
@@ -148,6 +146,24 @@ def with_row_number(df: DataFrame, keys, order, name: str = "row_no",
     return with_running_sum(df, keys, order, {name: F.lit(1).cast("bigint")}, chunk, descending)
 
 
+def number_rows(df: DataFrame, order, name: str = "row_no") -> DataFrame:
+    """F3 over a whole table: 1, 2, ... along ``order``, which should be total.
+
+    The rows are sorted in ranges and written to the shared scratch folder
+    with their places, so that a second reading finds the same ranges.  A row's
+    number is its place in its range plus the sizes of the ranges before; of
+    these there are as many as the sort has tasks.
+    """
+    path = scratch_dir(df.sparkSession, "numbered")
+    df.orderBy(*([order] if isinstance(order, (str, Column)) else order)).withColumn("_place", F.monotonically_increasing_id()).write.parquet(path)
+    placed = df.sparkSession.read.parquet(path).withColumns({
+        "_range": F.shiftright("_place", 33), "_place": F.col("_place").bitwiseAND(F.lit((1 << 33) - 1))})
+    before = F.coalesce(F.sum("_n").over(Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    ranges = placed.groupBy("_range").agg(F.count(F.lit(1)).alias("_n")).select("_range", before.alias("_before"))
+    numbered = placed.join(F.broadcast(ranges), "_range")
+    return numbered.select(*df.columns, (F.col("_before") + F.col("_place") + 1).alias(name))
+
+
 def with_group(df: DataFrame, keys, aggs: Mapping[str, Column], spread_by: Sequence[str] | None = None,
                hot_share: int = HOT_SHARE) -> DataFrame:
     """A group's aggregates on every row of the group, whatever its size.
@@ -198,12 +214,3 @@ def newest_per_group(df: DataFrame, keys, order, oldest: bool = False) -> DataFr
     along = [F.col(c).asc_nulls_last() if oldest else F.col(c).desc_nulls_last() for c in names(order)]
     w = Window.partitionBy(*names(keys)).orderBy(*along)
     return df.withColumn("_newest", F.row_number().over(w)).filter("_newest = 1").drop("_newest")
-
-
-def bounded_broadcast(df: DataFrame, max_rows: int = 1_000_000) -> DataFrame:
-    """Mark ``df`` for broadcast only if it has at most ``max_rows`` rows.
-
-    Counts no further than the bound.  Above it the side is left to a
-    shuffled join.
-    """
-    return F.broadcast(df) if df.limit(max_rows + 1).count() <= max_rows else df

@@ -8,7 +8,6 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..functions.columns import calendar_columns, hash_key
-from .chunked import bounded_broadcast
 from .reshape import inline_table, union_distinct
 
 
@@ -88,23 +87,23 @@ class Relation:
     dim_key: str
     active: bool = True
     both_ways: bool = False
-    max_broadcast_rows: int | None = None
+    broadcast: bool = False
 
 
 def star_join(fact: DataFrame, relations: Sequence[Relation], use_inactive: Sequence[str] = ()) -> DataFrame:
     """K6: many-to-one joins of a fact with its dimensions.
 
-    A dimension is broadcast if its counted size is within
-    ``max_broadcast_rows``, otherwise Catalyst and AQE choose.  Dimension
-    columns arrive as ``<relation>_<column>``.
+    Catalyst and AQE choose between broadcast and shuffled joins by size;
+    ``broadcast`` states it, for a dimension whose size is known to be bounded
+    (dates, codes).  Dimension columns arrive as ``<relation>_<column>``.
     """
     for r in relations:
         if not (r.active or r.name in use_inactive):
             continue
         dim = r.dimension.select(F.col(r.dim_key).alias("_dk"),
                                  *[F.col(c).alias(f"{r.name}_{c}") for c in r.dimension.columns if c != r.dim_key])
-        if r.max_broadcast_rows is not None:
-            dim = bounded_broadcast(dim, r.max_broadcast_rows)
+        if r.broadcast:
+            dim = F.broadcast(dim)
         how = "inner" if r.both_ways else "left"
         fact = fact.join(dim, F.col(r.fact_key) == F.col("_dk"), how).drop("_dk")
     return fact

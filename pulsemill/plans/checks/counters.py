@@ -179,9 +179,9 @@ def _(t):
 
 
 @check("f2_lag_lead_default", """SELECT event_id, lag(event_id, 1, 0) OVER w AS previous_id, lead(event_id, 1, 2147483647) OVER w AS next_id
-FROM events WHERE event_type = 'purchase' WINDOW w AS (PARTITION BY user_id ORDER BY event_id)""")
+FROM events WINDOW w AS (PARTITION BY user_id ORDER BY event_id)""")
 def _(t):
-    e, by = t.events.filter("event_type = 'purchase'"), chunked.by_range("event_id", 1000)
+    e, by = t.events, chunked.by_range("event_id")
     out = chunked.with_previous(e, "user_id", "event_id", {"p": "event_id"}, by)
     out = chunked.with_next(out, "user_id", "event_id", {"n": "event_id"}, by)
     return out.select("event_id", F.coalesce("p", F.lit(0)).alias("previous_id"), F.coalesce("n", F.lit(2147483647)).alias("next_id"))
@@ -194,8 +194,7 @@ def _(t):
 
 @check("f3_global_row_number", "SELECT event_id, row_number() OVER (ORDER BY ts DESC, event_id) AS row_no FROM events")
 def _(t):
-    return chunked.with_row_number(t.events.select("event_id", "ts"), [], [F.col("ts").desc(), "event_id"], "row_no",
-                                   chunked.by_day("ts"), descending=True).select("event_id", "row_no")
+    return chunked.number_rows(t.events.select("event_id", "ts"), [F.col("ts").desc(), "event_id"]).select("event_id", "row_no")
 
 
 @check("f4_dense_rank", "SELECT event_id, dense_rank() OVER (ORDER BY event_type) AS type_rank FROM events")

@@ -52,7 +52,7 @@ LEFT JOIN part ON p_partkey = l_partkey JOIN (SELECT * FROM supplier WHERE s_acc
 def _(t):
     star = model.star_join(t.lineitem, [
         model.Relation("part", t.part.select("p_partkey", "p_brand"), "l_partkey", "p_partkey"),
-        model.Relation("supplier", t.supplier.filter("s_acctbal > 0").select("s_suppkey", "s_nationkey"), "l_suppkey", "s_suppkey", both_ways=True, max_broadcast_rows=100_000),
+        model.Relation("supplier", t.supplier.filter("s_acctbal > 0").select("s_suppkey", "s_nationkey"), "l_suppkey", "s_suppkey", both_ways=True),
         model.Relation("nation", t.nation.select("n_nationkey", "n_name"), "supplier_s_nationkey", "n_nationkey"),
         model.Relation("order", t.orders, "l_orderkey", "o_orderkey", active=False)])
     return star.groupBy("nation_n_name", "part_p_brand").agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("l_quantity").cast("bigint")).alias("quantity"))

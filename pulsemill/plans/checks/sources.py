@@ -92,14 +92,14 @@ def _since(t, inclusive):
     return snapshots.read_since(e, wm, "user_id", "ts", inclusive, "mark").select("event_id")
 
 
-@check("a8_write_partition", f"SELECT {at('o_orderdate')} AS ts_utc, count(*) AS n, CAST(sum(CASE WHEN o_orderdate >= TIMESTAMP '2001-06-01' THEN -o_orderkey ELSE o_orderkey END) AS BIGINT) AS keys FROM orders WHERE o_orderdate >= TIMESTAMP '2001-03-01' GROUP BY 1, o_orderdate")
+@check("a8_write_partition", f"SELECT {at("date_trunc('month', o_orderdate)")} AS ts_utc, count(*) AS n, CAST(sum(CASE WHEN o_orderdate >= TIMESTAMP '2001-06-01' THEN -o_orderkey ELSE o_orderkey END) AS BIGINT) AS keys FROM orders GROUP BY 1")
 def _(t):
     path = scratch_dir(t.spark, "partition")
-    o = t.orders.select("o_orderkey", F.col("o_orderdate").alias("ts_utc")).filter(F.col("ts_utc") >= F.lit("2001-03-01").cast("timestamp"))
+    o = t.orders.select("o_orderkey", F.date_trunc("month", "o_orderdate").alias("ts_utc"))
     redo = o.filter(F.col("ts_utc") >= F.lit("2001-06-01").cast("timestamp")).withColumn("o_orderkey", -F.col("o_orderkey"))
-    snapshots.write_partition(o, path)
+    snapshots.write_partition(o, path, spread=True)
     for _ in range(2):  # run again: same content
-        snapshots.write_partition(redo, path)
+        snapshots.write_partition(redo, path, spread=True)
     return t.spark.read.parquet(path).groupBy("ts_utc").agg(F.count(F.lit(1)).alias("n"), F.sum("o_orderkey").alias("keys"))
 
 

@@ -263,7 +263,7 @@ def _(t, now):
     last = F.when(F.col("boundary").isNull(), F.when(F.col("boundary_on_right"), 1).otherwise(2)).otherwise(
         F.when(F.col("boundary_on_right"), 2).otherwise(1))
     order = [F.col("ts").desc(), *_LEVELS, last, F.col("boundary")]
-    rows = chunked.with_row_number(rows, [], order, "sort_order", chunked.by_day("ts"), descending=True)
+    rows = chunked.number_rows(rows, order, "sort_order")
     return keyed(rows, "ts", filegroup_key=["database", "filegroup"])
 
 
@@ -778,7 +778,7 @@ def _(t, now):
                                      last_seen=collected)
     rows = seen.withColumns({"elapsed_ms": c.datediff_boundary("millisecond", "start_ts", "collected"), "sql_text": t.text("sql_text")})
     order = [F.col("collected"), F.col("delta_reads"), F.col("session").desc()]
-    rows = chunked.with_row_number(rows, [], order, "sort_order", chunked.by_hour("collected"))
+    rows = chunked.number_rows(rows, order, "sort_order")
     return select.newest_n(rows, "collected", t.options["who_is_active.rows"], ["session", "login_ts", "start_ts"])
 
 

@@ -112,12 +112,21 @@ def read_since(df: DataFrame, watermark: DataFrame, entity, ts: str, inclusive:
 def write_partition(df: DataFrame, path: str, ts: str = "ts_utc", spread: bool = False) -> None:
     """Replace the rows of whole snapshots; safe to run again.
 
-    The stamp is a partition below its day, so only the stamps in ``df`` are
-    overwritten and a reader still lists one day at a time.
+    A folder holds an hour of snapshots: with a poll a minute, 24 folders a
+    day and not 1440.  The other snapshots of the hours that ``df`` touches
+    are read and written again with it.
     """
-    (_by_day(df, ts, spread).withColumn("snapshot", F.date_format(ts, "HHmmss.SSSSSS"))
-     .write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
-     .partitionBy(PARTITION, "snapshot").parquet(path))
+    spark = df.sparkSession
+    new = df.withColumns({PARTITION: F.to_date(ts), "hour": F.hour(ts)})
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    if folder.getFileSystem(spark._jsc.hadoopConfiguration()).exists(folder):
+        old = spark.read.parquet(path)
+        # The hours prune the scan; stamps and hours are few, and AQE sees that.
+        beside = old.join(new.select(PARTITION, "hour").distinct(), [PARTITION, "hour"], "left_semi")
+        new = new.unionByName(beside.join(new.select(ts).distinct(), ts, "left_anti").select(*new.columns))
+    if spread:
+        new = new.hint("rebalance", PARTITION, "hour")
+    new.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(PARTITION, "hour").parquet(path)
 
 
 def replace_days(df: DataFrame, path: str, date: str = PARTITION) -> None:

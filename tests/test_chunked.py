@@ -78,12 +78,6 @@ def test_rolling_mean_over_blocks(spark, block):
     assert rows(got, "id", "previous_mean_ms", "is_slow") == rows(want, "id", "previous_mean_ms", "is_slow")
 
 
-def test_bounded_broadcast_has_another_way(spark):
-    big = spark.range(100)
-    assert "ResolvedHint" in ch.bounded_broadcast(big, 100)._jdf.queryExecution().analyzed().toString()
-    assert "ResolvedHint" not in ch.bounded_broadcast(big, 99)._jdf.queryExecution().analyzed().toString()
-
-
 def test_asof_join_takes_rows_at_the_same_stamp(spark):
     left = frame(spark, "k string, ts timestamp, l int", [("a", ts(1), 1), ("a", ts(50), 2), (None, ts(3), 3), ("b", ts(3), 4)])
     right = frame(spark, "k string, ts timestamp, r int", [("a", ts(1), 10), ("a", ts(2), 20), (None, ts(2), 30), ("b", ts(4), 40)])

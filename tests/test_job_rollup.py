@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from pulsemill.operators.aggregate import hourly_rollup
 from pulsemill.operators.runs import failed_steps, runs_from_history
-from pulsemill.plans.job_rollup import RollupTables, step
+from pulsemill.plans.job_rollup import RollupStore, RollupTables, gains, step
 from pulsemill.plans.tables import Tables
 
 
@@ -44,3 +44,33 @@ def test_lost_history_is_marked_once(spark, tmp_path):
     assert rows(done.rollup, "job_status", "hour", "cnt", "sum_s") == [(-1, 0, 1, 0), (1, 0, 1, 4), (1, 5, 1, 6)]
     again = step(later, done)
     assert rows(again.rollup, "job_status", "hour", "cnt") == [(-1, 0, 1), (1, 0, 1), (1, 5, 1)]
+
+
+@pytest.mark.parametrize("written", range(5))
+def test_a_crash_at_any_point_changes_nothing(spark, tmp_path, written):
+    """``written`` parts of the second batch are there when it breaks off."""
+    schema = "job string, seq bigint, step int, status int, started timestamp, duration_s bigint"
+    rows_ = [("j", 2 * i + k, 1 - k, 1 if i != 2 else 0, ts(i), 3 + i) for i in range(5) for k in (0, 1)]
+    store = RollupStore(spark, str(tmp_path))
+    store.advance(frame(spark, schema, rows_[:4]))
+    whole = frame(spark, schema, rows_)
+    for name in RollupStore.PARTS[:written]:
+        getattr(gains(whole, store.read()), name).write.parquet(f"{store.root}/{name}/batch=1")
+    store.advance(whole)
+    store.advance(whole)  # and a step without news adds nothing
+    got, want = store.read(), step(whole, step(frame(spark, schema, rows_[:4]), RollupTables.empty(spark)))
+    for name in RollupStore.PARTS:
+        assert rows(getattr(got, name)) == rows(getattr(want, name))
+    assert rows(got.rollup, "cnt", "sum_s") == [(1, n) for n in (3, 4, 5, 6, 7)]
+
+
+def test_history_below_the_watermark_is_left_out(spark, tmp_path):
+    schema = "job string, seq bigint, step int, status int, started timestamp, duration_s bigint"
+    rows_ = [("j", 2 * i + k, 1 - k, 1, ts(i), 3 + i) for i in range(5) for k in (0, 1)]
+    store = RollupStore(spark, str(tmp_path))
+    store.advance(frame(spark, schema, rows_[:6]))
+    before = store.read()
+    # Only the watermark's own row and what follows it is needed.
+    full, cut = (gains(frame(spark, schema, r), before) for r in (rows_, rows_[5:]))
+    for name in RollupStore.PARTS:
+        assert rows(getattr(full, name)) == rows(getattr(cut, name))

@@ -57,6 +57,14 @@ def test_write_partition_replaces_only_its_snapshots(spark, tmp_path):
     assert rows(spark.read.parquet(path), "v") == [(1,), (7,), (8,)]
 
 
+def test_snapshots_of_an_hour_share_a_folder(spark, tmp_path):
+    path = str(tmp_path / "p")
+    for minute in (0, 10, 20, 10):
+        snapshots.write_partition(frame(spark, "v int, ts_utc timestamp", [(minute, ts(5, minutes=minute)), (-minute, ts(7, minutes=minute))]), path)
+    assert len(list((tmp_path / "p").glob("date=*/hour=*"))) == 2
+    assert rows(spark.read.parquet(path), "v") == sorted((v,) for m in (0, 10, 20) for v in (m, -m))
+
+
 def test_append_prunes_by_day(spark, tmp_path):
     path = str(tmp_path / "a")
     snapshots.append_snapshot(frame(spark, "v int, ts_utc timestamp", [(1, ts(0)), (2, ts(30))]), path, sort=["v"])

@@ -1,7 +1,9 @@
 """M: streams fed in order, shuffled within the delay, and late beyond it."""
 
 import random
+from datetime import datetime
 
+import pytest
 from helpers import frame, rows, ts
 from pyspark.sql import functions as F
 
@@ -59,6 +61,27 @@ def test_counter_delta_drops_rows_beyond_the_delay(spark, tmp_path):
     assert got == batch_delta(spark, data)
 
 
+def test_a_poll_split_over_batches_loses_nothing(spark, tmp_path):
+    data = [(k, ts(i), i * 10 + j, ts(-1)) for i in range(3) for j, k in enumerate("ab")]
+    by_entity = [[r for r in data if r[0] == k and r[1] == ts(i)] for i in range(3) for k in "ab"]
+    assert run_delta(spark, tmp_path, by_entity, 0) == batch_delta(spark, data)
+
+
+def test_late_rows_are_kept_aside(spark, tmp_path):
+    data = [("a", ts(0), 5, ts(-1)), ("a", ts(10), 9, ts(-1))]
+    run_delta(spark, tmp_path, [data, [("a", ts(5), 7, ts(-1)), ("a", ts(10), 9, ts(-1)), ("b", ts(5), 1, ts(-1))]], 0)
+    assert rows(spark.read.parquet(str(tmp_path / "state" / "late")), "k", "ts") == [("a", ts(5)), ("a", ts(10))]
+
+
+def test_silent_entities_expire(spark, tmp_path):
+    p = {n: str(tmp_path / n) for n in ("src", "out", "state", "ck")}
+    data = [[("a", ts(0), 5, ts(-1)), ("b", ts(0), 5, ts(-1))], [("b", ts(30), 6, ts(-1))], [("a", ts(31), 9, ts(-1)), ("b", ts(31), 8, ts(-1))]]
+    streams.stream_counter_delta(feed(spark, p["src"], SNAP, data), "k", "ts", ["n"], p["out"], p["state"], p["ck"], epoch="epoch",
+                                 expire_s=24 * 3600, drop_zero=False).awaitTermination()
+    # a was forgotten after a day and starts over; b has its gap of 30 hours counted.
+    assert rows(spark.read.parquet(p["out"]).filter("ts > '2024-01-02'"), "k", "delta_n") == [("a", None), ("b", 1), ("b", 2)]
+
+
 def test_dedup_within_the_delay(spark, tmp_path):
     p = {n: str(tmp_path / n) for n in ("src", "out", "ck")}
     schema = "id int, ts timestamp"
@@ -100,14 +123,39 @@ def test_history_of_a_stream_equals_one_pass(spark, tmp_path):
     assert rows(got, "k", "v", "valid_from", "valid_to") == rows(want, "k", "v", "valid_from", "valid_to")
 
 
-def test_streamed_inventories_close_vanished_keys(spark, tmp_path):
-    polls = [[("a", "1", ts(0)), ("b", "1", ts(0))], [("a", "2", ts(1))], [("a", "2", ts(2)), ("b", "1", ts(2))]]
+def history_of(spark, tmp_path, batches, **options):
+    p = {n: str(tmp_path / n) for n in ("src", "hist", "ck")}
+    q = streams.stream_scd2(feed(spark, p["src"], "k string, ts timestamp, v string", batches), "k", "ts", "v", p["hist"], p["ck"], **options)
+    q.awaitTermination()
+    return rows(streams.StreamedHistory(p["hist"]).read(spark, q.lastProgress["batchId"]), "k", "v", "valid_from", "valid_to"), p["hist"]
+
+
+def test_late_observations_leave_no_overlap(spark, tmp_path):
+    got, folder = history_of(spark, tmp_path, [[("k", ts(10), "A"), ("k", ts(20), "B")], [("k", ts(15), "C"), ("m", ts(15), "D")], [("k", ts(30), "B")], [("k", ts(25), "A")]])
+    end = datetime(9999, 12, 31, 23, 59, 59)
+    assert got == [("k", "A", ts(10), ts(20)), ("k", "B", ts(20), end), ("m", "D", ts(15), end)]
+    # The one at 25 is late although nothing changed at 30.
+    assert rows(spark.read.parquet(f"{folder}/late"), "k", "observed_at", "v") == [("k", ts(15), "C"), ("k", ts(25), "A")]
+
+
+def test_observations_within_the_delay_are_put_in_order(spark, tmp_path):
+    data = [("k", ts(i), v) for i, v in enumerate("AABBCAAD")]
+    got, _ = history_of(spark, tmp_path, [[data[1], data[0], data[3]], [data[2], data[5]], [data[4], data[6]], [data[7]], [("z", ts(99), "Z")]], delay_s=3 * 3600)
+    want = scd2_build(frame(spark, "k string, ts timestamp, v string", data), "k", "ts", "v")
+    assert got == rows(want, "k", "v", "valid_from", "valid_to")
+
+
+@pytest.mark.parametrize("hold", [True, False])
+def test_streamed_inventories_close_vanished_keys(spark, tmp_path, hold):
+    polls = [[("a", "1", ts(0)), ("b", "1", ts(0))], [("a", "2", ts(1))], [("a", "2", ts(2)), ("b", "1", ts(2)), ("c", None, ts(2))], [("a", "2", ts(3))]]
+    # With the newest poll held, a poll may be split; without, a batch holds whole polls.
+    batches = [polls[0][:1], polls[0][1:] + polls[1], polls[2][:1], polls[2][1:], polls[3]] if hold else [polls[0] + polls[1], polls[2], polls[3]]
     p = {n: str(tmp_path / n) for n in ("src", "hist", "ck")}
-    s = feed(spark, p["src"], "k string, v string, ts timestamp", polls)
-    q = streams.stream_inventory(s, "k", "ts", "v", p["hist"], p["ck"])
+    s = feed(spark, p["src"], "k string, v string, ts timestamp", batches)
+    q = streams.stream_inventory(s, "k", "ts", "v", p["hist"], p["ck"], hold_newest=hold)
     q.awaitTermination()
     want = frame(spark, "k string, v string, valid_from timestamp, valid_to timestamp", [])
-    for poll in polls:
+    for poll in polls[:3] if hold else polls:
         inv = frame(spark, "k string, v string, ts timestamp", poll)
         want = scd2_merge(want, inv.drop("ts"), "k", "v", F.lit(poll[0][2]).cast("timestamp"))
         want = spark.createDataFrame(want.collect(), want.schema)
