@@ -58,17 +58,20 @@ class SuffixAutomaton:
         self.last = cur
 
     def table(self, symbols: int) -> np.ndarray:
-        """Dense moves: next state * 2, plus 1 where a phrase ends before the symbol.
+        """Dense moves: next state * 4, plus the phrases that end there.
 
-        A symbol that never occurs is a phrase of its own: it leads to the root.
+        Where a phrase can't go on, it ends and the symbol starts the next; a
+        symbol that never occurs is a phrase of its own and leads to the root.
         """
         root = np.zeros(symbols, np.int32)
         for s, t in self.next[0].items():
             root[s] = t
-        out = np.broadcast_to(root * 2 + 1, (len(self.next), symbols)).copy()
+        unseen = root == 0
+        out = np.broadcast_to(root * 4 + np.where(unseen, 2, 1), (len(self.next), symbols)).astype(np.int32)
+        out[0] = np.where(unseen, 1, root * 4)  # at the root no phrase is under way
         for state, moves in enumerate(self.next):
             for s, t in moves.items():
-                out[state, s] = t * 2
+                out[state, s] = t * 4
         return out
 
 
@@ -89,7 +92,7 @@ class CrossParser:
         for lang in self.langs:
             seq = self.encode([samples[lang]])[0].tolist()
             own = SuffixAutomaton(seq).table(self.symbols)
-            tables.append(own + np.int32(2 * at))  # states are numbered through all languages
+            tables.append(own + np.int32(4 * at))  # states are numbered through all languages
             roots.append(at)
             at += len(own)
             self.bits.append(np.log2(max(2, len(seq))))
@@ -123,8 +126,8 @@ class CrossParser:
         active = len(owner) - np.searchsorted(lens[::-1], np.arange(int(lens.max(initial=0))), side="right")
         for t, n in enumerate(active.tolist()):
             move = self.table[state[:, :n] * np.int32(self.symbols) + codes[starts[:n] + t]]
-            counts[:, :n] += move & 1
-            state[:, :n] = move >> 1
+            counts[:, :n] += move & 3
+            state[:, :n] = move >> 2
         counts += state != self.roots[:, None]  # the phrase that the end cuts off
         out = np.stack([np.bincount(owner, c, len(texts)) for c in counts], axis=1).astype(np.int64)
         letters = np.concatenate([[0], np.cumsum(codes != SPACE)])
