@@ -47,6 +47,27 @@ def _chosen(edge: str, choice: Column | None) -> Column:
     return F.lit(False) if choice is None else F.coalesce(F.col(edge) == choice, F.lit(False))
 
 
+def _with_latest(days: DataFrame, bounds, chosen) -> DataFrame:
+    last = F.size("_days") - 1
+    edges = days.select(
+        "_days", F.get("_days", F.lit(0)).alias("_oldest"), F.get("_days", F.lit(1)).alias("_after"),
+        F.get("_days", last).alias("_newest"), F.get("_days", last - 1).alias("_before"))
+    lo, hi = (F.col("_oldest"), F.col("_newest")) if bounds is None else bounds
+    edges = edges.select("*", lo.alias("_lo"), hi.alias("_hi"))
+    low = F.when((F.col("_lo") < F.col("_oldest")) | _chosen("_lo", chosen[0]), F.col("_oldest")).otherwise(F.col("_after"))
+    high = F.when((F.col("_hi") > F.col("_newest")) | _chosen("_hi", chosen[1]), F.col("_newest")).otherwise(F.col("_before"))
+    return edges.select("_days", F.when(high >= low, high).alias("latest"))
+
+
+def _with_past(known: DataFrame, days: int, first_bound, chosen_first) -> DataFrame:
+    bound = F.get("_days", F.lit(0)) if first_bound is None else first_bound
+    known = known.select("_days", "latest", bound.alias("_bound"))
+    floor = F.when(_chosen("_bound", chosen_first), F.col("_bound")).otherwise(F.date_add("_bound", 1))
+    known = known.select("_days", "latest", floor.alias("_floor"), F.date_sub("latest", days).alias("_from"))
+    found = F.get(F.filter("_days", lambda d: (d >= F.col("_from")) & (d >= F.col("_floor"))), F.lit(0))
+    return known.select("latest", F.when(found.isNotNull(), F.least(found, F.col("latest"))).alias("past"))
+
+
 def latest_date(df: DataFrame, date: str, *, bounds: tuple[Column, Column] | None = None,
                 chosen: tuple[Column | None, Column | None] = (None, None)) -> Column:
     """The newest day to show, as a scalar: one aggregate of the fact's days.
@@ -56,15 +77,7 @@ def latest_date(df: DataFrame, date: str, *, bounds: tuple[Column, Column] | Non
     it is trimmed to the next day inward, unless the viewer ``chose`` it.
     Null if nothing is left.
     """
-    last = F.size("_days") - 1
-    edges = _days(df, date).select(
-        F.get("_days", F.lit(0)).alias("_oldest"), F.get("_days", F.lit(1)).alias("_after"),
-        F.get("_days", last).alias("_newest"), F.get("_days", last - 1).alias("_before"))
-    lo, hi = (F.col("_oldest"), F.col("_newest")) if bounds is None else bounds
-    edges = edges.select("*", lo.alias("_lo"), hi.alias("_hi"))
-    low = F.when((F.col("_lo") < F.col("_oldest")) | _chosen("_lo", chosen[0]), F.col("_oldest")).otherwise(F.col("_after"))
-    high = F.when((F.col("_hi") > F.col("_newest")) | _chosen("_hi", chosen[1]), F.col("_newest")).otherwise(F.col("_before"))
-    return edges.select(F.when(high >= low, high)).scalar()
+    return _with_latest(_days(df, date), bounds, chosen).select("latest").scalar()
 
 
 def past_date(df: DataFrame, date: str, latest: Column, days: int, *, first_bound: Column | None = None,
@@ -73,20 +86,29 @@ def past_date(df: DataFrame, date: str, latest: Column, days: int, *, first_boun
 
     The very first day is skipped unless chosen, because it is partial.
     """
-    known = _days(df, date)
-    bound = F.get("_days", F.lit(0)) if first_bound is None else first_bound
-    known = known.select("_days", bound.alias("_bound"), latest.alias("_latest"))
-    floor = F.when(_chosen("_bound", chosen_first), F.col("_bound")).otherwise(F.date_add("_bound", 1))
-    known = known.select("_days", "_latest", floor.alias("_floor"), F.date_sub("_latest", days).alias("_from"))
-    found = F.get(F.filter("_days", lambda d: (d >= F.col("_from")) & (d >= F.col("_floor"))), F.lit(0))
-    return known.select(F.when(found.isNotNull(), F.least(found, F.col("_latest")))).scalar()
+    known = _days(df, date).withColumn("latest", latest)
+    return _with_past(known, days, first_bound, chosen_first).select("past").scalar()
+
 
+def period_days(df: DataFrame, date: str, days: int, *, bounds: tuple[Column, Column] | None = None,
+                chosen: tuple[Column | None, Column | None] = (None, None)) -> DataFrame:
+    """L5 and L6 together: one row (latest, past), from one aggregate of the fact's days."""
+    known = _with_latest(_days(df, date), bounds, chosen)
+    return _with_past(known, days, None if bounds is None else bounds[0], chosen[0])
 
-def period_ratio(df: DataFrame, by, date: str, value: Column, latest: Column, past: Column) -> DataFrame:
-    """(current - past) / past per group, one pass over the two days."""
-    two = df.filter(F.col(date).isin(latest, past))
-    on = lambda day: F.sum(F.when(F.col(date) == day, value))
-    out = two.groupBy(*names(by)).agg(on(latest).alias("current_value"), on(past).alias("past_value"))
+
+def period_ratio(df: DataFrame, by, date: str, value: Column, period: DataFrame) -> DataFrame:
+    """(current - past) / past per group, one pass over the two days.
+
+    ``period`` is one row (latest, past).  Its two days meet the fact in a
+    broadcast equi join, and its past day bounds the scan.
+    """
+    sides = period.select(F.inline(F.array(F.struct(F.lit("current").alias("_side"), F.col("latest").alias("_day")),
+                                           F.struct(F.lit("past").alias("_side"), F.col("past").alias("_day")))))
+    near = df.filter(F.col(date) >= period.select(F.coalesce("past", "latest")).scalar())
+    two = near.join(F.broadcast(sides), F.col(date) == F.col("_day"))
+    on = lambda side: F.sum(F.when(F.col("_side") == side, value))
+    out = two.groupBy(*names(by)).agg(on("current").alias("current_value"), on("past").alias("past_value"))
     return out.withColumn("ratio", safe_ratio(F.col("current_value") - F.col("past_value"), "past_value"))
 
 

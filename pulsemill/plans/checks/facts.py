@@ -75,8 +75,7 @@ sum(CASE WHEN CAST(l_shipdate AS DATE) = {_PAST} THEN CAST(l_quantity AS BIGINT)
 SELECT l_returnflag, l_linestatus, CAST(cur AS BIGINT) AS current_value, CAST(past AS BIGINT) AS past_value, CAST(cur - past AS DOUBLE) / nullif(CAST(past AS DOUBLE), 0) AS ratio FROM x""")
 def _(t):
     f = _fact(t)
-    latest = _latest(f)
-    return m.period_ratio(f, ["l_returnflag", "l_linestatus"], "date", F.col("quantity"), latest, m.past_date(f, "date", latest, 30))
+    return m.period_ratio(f, ["l_returnflag", "l_linestatus"], "date", F.col("quantity"), m.period_days(f, "date", 30))
 
 
 @check("l8_semi_additive", """WITH s AS (SELECT l_returnflag, l_shipdate, sum(CAST(l_quantity AS BIGINT)) AS v FROM lineitem GROUP BY 1, 2)

@@ -48,6 +48,18 @@ def test_latest_snapshot_reaches_the_scan(t):
     assert re.search(r"PushedFilters: \[.*GreaterThanOrEqual\(ts,ScalarSubquery", p)
 
 
+def test_a_period_takes_few_readings_of_the_fact(spark):
+    p = plan(queries()["l7_period_ratio"](spark, FOLDER))
+    # the fact, its two days, and the bound on the scan, which is inferred for the days as well and reused at run time
+    assert p.count("FileScan parquet") <= 5
+
+
+def test_a_merge_of_histories_joins_once(spark):
+    schema = "k string, v string, valid_from timestamp, valid_to timestamp"
+    p = plan(state.scd2_merge(spark.createDataFrame([], schema), spark.createDataFrame([], "k string, v string"), "k", "v", F.current_timestamp()))
+    assert len(re.findall(r"(?:SortMergeJoin|HashJoin)", p)) <= 1
+
+
 def test_only_wanted_columns_are_read(t):
     p = plan(select.last_snapshot_per_day(t.events.select("event_id", "ts"), "ts"))
     assert "props" not in p and "Exchange hashpartitioning(event_id" not in p
