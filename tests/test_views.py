@@ -86,3 +86,30 @@ def test_job_outcomes(spark, empty, now):
     r = frame(spark, SHAPES["hourly_rollup"], [("j", js, ss, ts(0).date(), 2, 1, 1, 1, 1) for js, ss in ((1, 1), (1, 0), (0, 0), (-1, -1), (7, 1))])
     assert rows(view(empty, now, "agent_jobs_performance", hourly_rollup=r), "outcome_key") == [(0,), (1,), (2,), (99,), (None,)]
     assert view(empty, now, "agent_job_status").count() == 7
+
+
+def test_bounds_of_reports_are_options(spark, empty, now):
+    log = frame(spark, SHAPES["log"], [(i, "n", "Error" if i % 2 else "Info", "t", ts(-10 * i), ts(-10 * i)) for i in range(40)])
+    day = rows(view(empty, now, "log", log=log), "id")
+    assert day == [(i,) for i in range(3)]  # after the newest less a day
+    tables = {**empty, "log": log}
+    assert build("log", tables, now, {"log.days": 0}).count() == 40
+    assert rows(build("log", tables, now, {"log.days": 0, "log.rows": 2}), "id") == [(0,), (1,)]
+    assert rows(build("log_non_debug_info", tables, now), "id") == [(i,) for i in range(1, 17, 2)]
+    with pytest.raises(ValueError):
+        build("log", tables, now, {"log.hours": 1})
+
+
+def test_text_length_is_an_option(spark, empty, now):
+    s = frame(spark, SHAPES["statements"], [])
+    assert build("query_statements", {**empty, "statements": s}, now, {"text.length": 0}).columns == view(empty, now, "query_statements").columns
+
+
+def test_modes_are_chosen_for_an_object(spark, empty, now):
+    """Two indexes of one object, scanned in different modes the same day, and one without a mode."""
+    scan = lambda index, mode, hour: ("d", "s", "o", index, 1, mode, 1.0, 1, 1, ts(hour), ts(hour))
+    p = frame(spark, SHAPES["index_physical"], [scan("a", "DETAILED", 1), scan("b", "LIMITED", 2), scan("c", None, 3)])
+    assert rows(view(empty, now, "index_physical", index_physical=p), "index") == [("a",)]
+    assert rows(view(empty, now, "index_physical_detailed", index_physical=p), "index") == [("a",)]
+    none = p.filter("index <> 'a'")
+    assert rows(view(empty, now, "index_physical_detailed", index_physical=none), "index") == [("b",), ("c",)]
