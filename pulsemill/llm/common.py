@@ -48,7 +48,7 @@ def with_row_id(df: DataFrame, name: str = RESERVED + "row") -> DataFrame:
     return df.withColumn(name, F.monotonically_increasing_id())
 
 
-def blocks(texts: list[str | None], chars: int = 1 << 20) -> Iterator[tuple[int, int]]:
+def blocks(texts: list[str | None], chars: int = 1 << 18) -> Iterator[tuple[int, int]]:
     """Cut a batch into runs of rows of about ``chars`` characters, one row at least."""
     start = total = 0
     for i, text in enumerate(texts):
@@ -63,7 +63,7 @@ def blocks(texts: list[str | None], chars: int = 1 << 20) -> Iterator[tuple[int,
 
 def map_texts(df: DataFrame, text_col: str, schema: str,
               work: Callable[[list[str | None], pa.RecordBatch], dict[str, object]],
-              chars: int = 1 << 20) -> DataFrame:
+              chars: int = 1 << 18) -> DataFrame:
     """Apply ``work`` to runs of rows; it returns the output columns by name.
 
     ``work`` gets the texts (None for null) and the run's Arrow batch.  Runs

@@ -39,6 +39,8 @@ WORD = re.compile(r"[^\W\d_]+(?:'[^\W\d_]+)?")
 CLAUSE_END = re.compile(r"[.!?;:,\n]")
 PREFIXES = (4, 5, 6)
 CONTEXTS = 64
+#: Counts that a task holds before it passes them on.
+MOST_COUNTS = 150_000
 
 INSULT, THREAT, TARGET, NEGATION, REPORT, OTHER = range(6)
 #: Matches by kind; each is a feature of a text, and so is the greatest weight of a stem.
@@ -185,6 +187,18 @@ def finder_for(grammar: Grammar) -> ahocorasick.Automaton:
 def _count_stems(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """stem, kind (0 word, else prefix length), toxic texts, clean texts, contexts in toxic texts as a bit mask."""
     counts: dict[tuple[str, int], list[int]] = {}
+
+    def flush() -> Iterator[pa.RecordBatch]:
+        items = list(counts.items())
+        counts.clear()
+        for a in range(0, len(items), 50_000):
+            part = items[a:a + 50_000]
+            masks = np.array([c[2] for _, c in part], np.uint64).view(np.int64)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([k[0] for k, _ in part], pa.string()), pa.array([k[1] for k, _ in part], pa.int32()),
+                 *(pa.array([c[j] for _, c in part], pa.int64()) for j in (0, 1)), pa.array(masks, pa.int64())],
+                names=["stem", "kind", "toxic", "clean", "contexts"])
+
     for batch in batches:
         for text, toxic in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
             before, seen = "", {}
@@ -199,14 +213,9 @@ def _count_stems(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 c = counts.setdefault(key, [0, 0, 0])
                 c[0 if toxic else 1] += 1
                 c[2] |= mask
-    items = list(counts.items())
-    for a in range(0, len(items), 100_000):
-        part = items[a:a + 100_000]
-        masks = np.array([c[2] for _, c in part], np.uint64).view(np.int64)
-        yield pa.RecordBatch.from_arrays(
-            [pa.array([k[0] for k, _ in part], pa.string()), pa.array([k[1] for k, _ in part], pa.int32()),
-             *(pa.array([c[j] for _, c in part], pa.int64()) for j in (0, 1)), pa.array(masks, pa.int64())],
-            names=["stem", "kind", "toxic", "clean", "contexts"])
+            if len(counts) > MOST_COUNTS:
+                yield from flush()
+    yield from flush()
 
 
 def learn_stems(labelled: DataFrame, least: int = 8, purity: float = 0.75, most: int = 4096) -> list:
