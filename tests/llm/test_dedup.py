@@ -11,7 +11,8 @@ import pyarrow as pa
 import pytest
 import xxhash
 
-from pulsemill.llm import exact_dedup, line_dedup, simhash
+import corpus_pipeline
+from pulsemill.llm import exact_dedup, line_dedup, near_copies, simhash
 from pulsemill.llm.common import stored
 from pulsemill.llm.components import components
 
@@ -228,3 +229,53 @@ def test_line_buckets_stream_over_batches():
     pairs = [x for x in run(10**6) if x[0] != x[1]]
     groups = [[r[1] for r in g] for _, g in itertools.groupby(rows, lambda r: r[0])]
     assert len(pairs) == sum(len(g) - 1 if len(g) > line_dedup.CAP else len(g) * (len(g) - 1) // 2 for g in groups)
+
+
+def word_sets(text, words=5):
+    parts = (text or "").lower().split()
+    return {tuple(parts[i:i + words]) for i in range(len(parts) - words + 1)} or {tuple(parts)}
+
+
+def edited(rng, words, text):
+    """A copy with a few words replaced, so that similarities lie on both sides of 0.8."""
+    parts = text.split()
+    for _ in range(rng.randrange(1, max(2, len(parts) // 25))):
+        parts[rng.randrange(len(parts))] = rng.choice(words)
+    return " ".join(parts)
+
+
+@pytest.mark.parametrize("cap,block", [(16, 256), (2, 8)])
+def test_near_copies_like_brute_force(spark, docs_of, monkeypatch, cap, block):
+    monkeypatch.setattr(line_dedup, "CAP", cap)
+    monkeypatch.setattr(line_dedup, "BLOCK", block)
+    rng = random.Random(11)
+    words = [f"w{i}" for i in range(2000)]
+    texts = ["", None, " \n", "w1", "W1 ", "w1 w2", "w1 w2 w3 w4 w5"]
+    for size in [1] * 5 + [2] * 30 + [5, 40]:
+        base = " ".join(rng.choices(words, k=rng.choice((12, 60, 200, 600))))
+        texts += [base] + [edited(rng, words, base) for _ in range(size - 1)]
+    rng.shuffle(texts)
+    pairs = list(enumerate(texts)) + [(3, texts[3]), (None, texts[3])]
+    sets = [word_sets(t) for t in texts]
+    alike = {(a, b): len(sets[a] & sets[b]) / len(sets[a] | sets[b]) for a, b in itertools.combinations(range(len(texts)), 2) if sets[a] & sets[b]}
+    near = [p for p, x in alike.items() if x >= 0.8]
+    assert sum(x < 0.97 for x in alike.values() if x >= 0.8) > 30 and sum(0.5 < x < 0.8 for x in alike.values()) > 30
+    want = sorted(set(joined(range(len(texts)), near).values()))
+    docs = docs_of(pairs)
+    got = near_copies.drop_near_copies(stored(docs, "t"))
+    assert got.dtypes == docs.dtypes
+    assert sorted(r.doc_id for r in got.collect()) == want
+    through = corpus_pipeline.near_dedup(spark, stored(docs, "t"), "")
+    assert sorted(r.doc_id for r in through.collect()) == want
+
+
+def test_text_banding_recall():
+    """At a similarity of just 0.8 all pairs share a band, and the share of equal MinHash values is the similarity."""
+    rng = np.random.default_rng(12)
+    met = 0
+    for n in (9, 90, 900):
+        for _ in range(300):
+            h = np.unique(rng.integers(0, 1 << 64, n + n // 9, np.uint64))
+            cut = n // 9
+            met += (near_copies.band_keys(h[cut:]) == near_copies.band_keys(h[:n])).any()
+    assert met >= 899
