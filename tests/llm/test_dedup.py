@@ -279,3 +279,18 @@ def test_text_banding_recall():
             cut = n // 9
             met += (near_copies.band_keys(h[cut:]) == near_copies.band_keys(h[:n])).any()
     assert met >= 899
+
+
+def test_short_lines_are_copies_if_equal(docs_of):
+    """Lines under 20 characters have rows and lose their exact copies; near copies of that length both stay."""
+    texts = ["Yes\nA line that is long enough to be banded", "yes \n\n}\nabcdefghij klmnopq", "}\nabcdefghij klmnopr\n \n yes", "}", None, ""]
+    docs = stored(docs_of(list(enumerate(texts))), "t")
+    got = {(r.doc_id, r.line_no): r for r in line_dedup.judge_lines(docs).collect()}
+    lines = {(i, k): line_dedup.normalise(x) for i, t in enumerate(texts) for k, x in enumerate((t or "").split("\n")) if x.strip()}
+    assert set(got) == set(lines)
+    for place, line in lines.items():
+        same = sorted(p for p, x in lines.items() if x == line)
+        assert (got[place].line_hash, got[place].component) == (line_dedup.line_hash(line),) * 2
+        assert (got[place].kept, got[place].component_size) == (place == same[0], len(same))
+    left = {r.doc_id: r.text for r in line_dedup.drop_copied_lines(docs).collect()}
+    assert left == {0: texts[0], 1: "\n}\nabcdefghij klmnopq", 2: "abcdefghij klmnopr\n ", 4: None, 5: ""}
