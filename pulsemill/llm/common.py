@@ -44,7 +44,10 @@ def drop_stored(spark: SparkSession, *tables: DataFrame) -> None:
 
 
 def with_row_id(df: DataFrame, name: str = RESERVED + "row") -> DataFrame:
-    """A number for each row, the same in every reading of a stored table."""
+    """A number for each row of one reading: another reading may split the files otherwise and number them anew.
+
+    Where numbers join rows back, write them once: ``stored(with_row_id(df))``.
+    """
     return df.withColumn(name, F.monotonically_increasing_id())
 
 

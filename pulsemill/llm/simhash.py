@@ -204,10 +204,10 @@ def _with_fingerprint(rows: DataFrame, words: int) -> DataFrame:
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 3) -> DataFrame:
     """One row of each class: that with the smallest id (null ids last), one of them if several are equal.
 
-    ``docs`` is a stored table, so that row numbers hold; all its columns stay.
+    All columns stay.
     """
     row = RESERVED + "row"
-    numbered = with_row_id(docs, row)
+    numbered = stored(with_row_id(docs, row), "numbered")
     # The row number travels as the id; the true id only ranks.
     keyed = numbered.select(F.struct(col(id_col).isNull().alias("no_id"), col(id_col).alias("id"), F.col(row).alias("row")).alias("id"),
                             col(text_col).alias("text"))

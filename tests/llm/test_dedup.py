@@ -294,3 +294,24 @@ def test_short_lines_are_copies_if_equal(docs_of):
         assert (got[place].kept, got[place].component_size) == (place == same[0], len(same))
     left = {r.doc_id: r.text for r in line_dedup.drop_copied_lines(docs).collect()}
     assert left == {0: texts[0], 1: "\n}\nabcdefghij klmnopq", 2: "abcdefghij klmnopr\n ", 4: None, 5: ""}
+
+
+@pytest.mark.parametrize("drop", [simhash.drop_near_duplicates, near_copies.drop_near_copies, line_dedup.drop_copied_lines])
+def test_rows_keep_their_numbers_when_files_are_split_anew(spark, docs_of, drop):
+    """Between finding what goes and reading what stays, the scan is cut differently, as when executors come or go."""
+    rng = random.Random(13)
+    words = [f"word{i}" for i in range(500)]
+    texts = [" ".join(rng.choices(words, k=30)) for _ in range(30)]
+    pairs = [(i, t) for i, t in enumerate(texts + texts)]
+    docs = stored(docs_of(pairs, parts=12), "t")
+    key = "spark.sql.files.openCostInBytes"
+    before = spark.conf.get(key)
+    try:
+        spark.conf.set(key, 64 << 20)
+        out = drop(docs)
+        spark.conf.set(key, 0)
+        spark.conf.set("spark.sql.files.minPartitionNum", 1)
+        assert sorted((r.doc_id, r.text) for r in out.collect()) == pairs[:30]
+    finally:
+        spark.conf.set(key, before)
+        spark.conf.unset("spark.sql.files.minPartitionNum")
