@@ -1,4 +1,4 @@
-"""Registered queries op1 to op10 and the pipeline, with SQL where SQL can say the same."""
+"""Registered queries op1 to op13 and the pipeline, with SQL where SQL can say the same."""
 
 from __future__ import annotations
 
@@ -7,7 +7,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, exact_dedup, language, line_dedup, pieces, secrets, sharding, simhash, toxicity, url_filter
+from . import conversations, decontaminate, exact_dedup, language, line_dedup, pieces, secrets, sharding, simhash, toxicity, url_filter
 from .common import col
 
 SHARD_BYTES = 16 << 20
@@ -131,3 +131,9 @@ def op9(spark, folder):
 @query("op10_line_dedup")
 def op10(spark, folder):
     return line_dedup.judge_lines(table(spark, folder, "documents"))
+
+
+@query("op12_conversation_repair")
+def op12(spark, folder):
+    convs = table(spark, folder, "conversations")
+    return conversations.repair_conversations(conversations.damage(convs), ids=convs.select("conv_id"))
