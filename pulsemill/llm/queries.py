@@ -7,7 +7,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import conversations, decontaminate, exact_dedup, language, line_dedup, pieces, secrets, sharding, simhash, toxicity, url_filter
+from . import conversations, decontaminate, exact_dedup, language, line_dedup, ngram_join, pieces, secrets, sharding, simhash, toxicity, url_filter
 from .common import col
 
 SHARD_BYTES = 16 << 20
@@ -137,3 +137,8 @@ def op10(spark, folder):
 def op12(spark, folder):
     convs = table(spark, folder, "conversations")
     return conversations.repair_conversations(conversations.damage(convs), ids=convs.select("conv_id"))
+
+
+@query("op13_ngram_join")
+def op13(spark, folder):
+    return ngram_join.near_documents(table(spark, folder, "documents"))
