@@ -7,7 +7,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import conversations, decontaminate, exact_dedup, language, line_dedup, ngram_join, pieces, secrets, sharding, simhash, toxicity, url_filter
+from . import collocations, conversations, decontaminate, exact_dedup, language, line_dedup, ngram_join, pieces, secrets, sharding, simhash, toxicity, url_filter
 from .common import col
 
 SHARD_BYTES = 16 << 20
@@ -133,6 +133,29 @@ def op10(spark, folder):
     return line_dedup.judge_lines(table(spark, folder, "documents"))
 
 
+@query("op11_collocations", r"""
+WITH pieces AS (SELECT coalesce(lang, 'und') AS lang, doc_id, unnest(regexp_split_to_array(
+                  translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece FROM documents),
+lists AS (SELECT lang, list_filter(regexp_split_to_array(piece, '[\x20\x09]+'), lambda w: w <> '') AS words FROM pieces),
+sizes AS (SELECT lang, CAST(sum(len(words)) AS BIGINT) AS n FROM lists GROUP BY lang),
+grams AS (SELECT lang, array_to_string(words[i:i + m - 1], ' ') AS phrase, m FROM lists, range(1, 6) AS lengths(m),
+                 LATERAL (SELECT unnest(range(1, len(words) - m + 2)) AS i)),
+freq AS (SELECT lang, phrase, m, count(*) AS f FROM grams GROUP BY ALL HAVING count(*) >= 100),
+kept AS (SELECT c.* FROM freq c WHERE m > 1 AND NOT EXISTS (
+           SELECT 1 FROM freq g WHERE g.lang = c.lang AND g.m > c.m AND g.f >= c.f AND contains(' ' || g.phrase || ' ', ' ' || c.phrase || ' '))),
+cuts AS (SELECT lang, phrase, f, string_split(phrase, ' ') AS ws, unnest(range(1, m)) AS k FROM kept),
+scored AS (SELECT c.lang, c.phrase, c.f AS a, h.f AS l, t.f AS r, n, k,
+                  CAST((CAST(1000 AS HUGEINT) * c.f * n) // (CAST(h.f AS HUGEINT) * t.f) AS BIGINT) AS score
+           FROM cuts c JOIN sizes USING (lang)
+           JOIN freq h ON h.lang = c.lang AND h.phrase = array_to_string(ws[1:k], ' ')
+           JOIN freq t ON t.lang = c.lang AND t.phrase = array_to_string(ws[k + 1:], ' ')),
+lowest AS (SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1)
+SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, n, score
+FROM lowest QUALIFY rank <= 2000""")
+def op11(spark, folder):
+    return collocations.mine_collocations(table(spark, folder, "documents"))
+
+
 @query("op12_conversation_repair")
 def op12(spark, folder):
     convs = table(spark, folder, "conversations")
