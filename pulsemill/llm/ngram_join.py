@@ -14,9 +14,10 @@ A document is its set of hashes of word shingles.  Equal sets are one set.
    the union bound its overlap with every member; only where the bound does is the
    group opened and its members compared exactly.
 4. A token in more than ``CAP`` sets asks only about the group of its first set.
-   Where its sets are in several components after that, sets of the smaller one
-   ask about all groups of the others.  So no step emits the pairs of a large
-   group of copies, and no link between components is lost.
+   Where its sets are in several components after that, its groups ask each
+   other: a row a pair of groups whose sets may link over a component's border.
+   So no step emits the pairs of a large group of copies, and no link between
+   components is lost.
 
 Shingles are compared by 64-bit hashes: for two documents of a thousand words
 the chance that any two different ones fall together is 10^-13.  Sets are told
@@ -44,7 +45,7 @@ COUNTED = 0.3
 #: Sets of a token that are told apart by number; more are "many".
 CAP = 64
 #: Sets of a group, and their tokens together (one set may have more).
-GROUP, GROUP_TOKENS = 64, 1 << 20
+GROUP, GROUP_TOKENS = 256, 1 << 18
 #: Queries that meet a group in one run.
 QUERIES = 512
 #: Groups of copies above 1/HOT of the rows are broadcast, at most HOT of them.
@@ -209,22 +210,26 @@ def _prefixes(percent: int):
     return run
 
 
-def _group(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _grouped(most: int, most_tokens: int):
     """Adds no and group to sets sorted by (g1, g2): a group ends with its g1, or where it is full."""
-    base = TaskContext.get().partitionId() << 33
-    no, group, size, total, last = base, base, 0, 0, None
-    for batch in batches:
-        nos, groups = [], []
-        g1 = batch.column(batch.schema.get_field_index("g1")).to_pylist()
-        for key, n in zip(g1, batch.column(batch.schema.get_field_index("n")).to_pylist()):
-            if size and (key != last or size >= GROUP or total + n > GROUP_TOKENS):
-                group, size, total = group + 1, 0, 0
-            size, total, last = size + 1, total + n, key
-            nos.append(no)
-            groups.append(group)
-            no += 1
-        yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(nos, pa.int64()), pa.array(groups, pa.int64())],
-                                         names=[*batch.schema.names, "no", "group"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        base = TaskContext.get().partitionId() << 33
+        no, group, size, total, last = base, base, 0, 0, None
+        for batch in batches:
+            nos, groups = [], []
+            g1 = batch.column(batch.schema.get_field_index("g1")).to_pylist()
+            for key, n in zip(g1, batch.column(batch.schema.get_field_index("n")).to_pylist()):
+                if size and (key != last or size >= most or total + n > most_tokens):
+                    group, size, total = group + 1, 0, 0
+                size, total, last = size + 1, total + n, key
+                nos.append(no)
+                groups.append(group)
+                no += 1
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(nos, pa.int64()), pa.array(groups, pa.int64())],
+                                             names=[*batch.schema.names, "no", "group"])
+
+    return run
 
 
 def _queries(percent: int):
@@ -299,21 +304,33 @@ def _counts(sets: list[np.ndarray], union: np.ndarray) -> np.ndarray:
     return m
 
 
+def _linked(m: np.ndarray, sizes: np.ndarray, percent: int) -> np.ndarray:
+    """For each set of a membership matrix the first set of its component within the group."""
+    both = np.zeros((len(m), len(m)))
+    for k in range(0, m.shape[1], 1 << 16):
+        part = m[:, k:k + (1 << 16)].astype(np.float32)
+        both += part @ part.T
+    near = both >= least_overlap(sizes[:, None], sizes[None, :], percent)
+    label = np.arange(len(m))
+    while True:
+        lower = np.where(near, label[None, :], len(m)).min(axis=1)
+        lower = np.minimum(label, lower)
+        lower = lower[lower]
+        if (lower == label).all():
+            return label
+        label = lower
+
+
 def _matrix(percent: int):
-    """Of one group: its row of the matrix (sizes and token union), and the links among its members."""
+    """Of one group: its row of the matrix (sizes and token union), and links that connect its members."""
 
     def run(table: pa.Table) -> pa.Table:
         no, n = table.column("no").to_numpy(), table.column("n").to_numpy()
         sets = [_tokens(x.as_buffer()) for x in table.column("tokens")]
         union = np.unique(np.concatenate(sets))
-        a, b = np.zeros(0, np.int64), np.zeros(0, np.int64)
-        if len(sets) > 1:
-            m, both = _counts(sets, union), np.zeros((len(sets), len(sets)))
-            for k in range(0, len(union), 1 << 16):
-                part = m[:, k:k + (1 << 16)].astype(np.float32)
-                both += part @ part.T
-            i, j = np.nonzero(np.triu(both >= least_overlap(n[:, None], n[None, :], percent), 1))
-            a, b = no[i], no[j]
+        first = _linked(_counts(sets, union), n, percent) if len(sets) > 1 else np.zeros(1, int)
+        more = first != np.arange(len(sets))
+        a, b = no[more], no[first][more]
         k = len(a)
         pad = lambda x, kind: pa.array([x] + [None] * k, kind)
         return pa.table({
@@ -325,7 +342,7 @@ def _matrix(percent: int):
 
 
 def _opened(percent: int):
-    """Links of queries with members, from streams of a group's row (kind 0), members (1) and queries (2)."""
+    """Links of queries with a group's components, from streams of a group's row (kind 0), members (1) and queries (2)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         union = members = matrix = None
@@ -349,8 +366,9 @@ def _opened(percent: int):
                     if matrix is None:
                         matrix = _counts([t for _, _, t in members], union)
                         sizes, names = np.array([s for _, s, _ in members]), np.array([x for x, _, _ in members])
+                        names = names[_linked(matrix, sizes, percent)]
                     both = matrix[:, place].sum(axis=1, dtype=np.int64)
-                    hit = names[both >= least_overlap(n, sizes, percent)]
+                    hit = np.unique(names[both >= least_overlap(n, sizes, percent)])
                     left.append(np.full(len(hit), nos[i], np.int64))
                     right.append(hit)
             empty = np.zeros(0, np.int64)
@@ -400,7 +418,7 @@ def link_sets(rows: DataFrame, sets: DataFrame, percent: int = PERCENT, words: i
 
     order = ["g1", "g2", "h1", "h2"]
     grouped = stored(prefixes.select(*order, "n").repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(
-        _group, "g1 long, g2 long, h1 long, h2 long, n long, no long, group long"), "groups")
+        _grouped(GROUP, GROUP_TOKENS), "g1 long, g2 long, h1 long, h2 long, n long, no long, group long"), "groups")
     play = grouped.select("h1", "h2", "n", "no", "group")
     members = stored(_with_tokens(rows, play.join(sets.select("h1", "h2", "id"), ["h1", "h2"]), words).select("no", "n", "group", "tokens"), "members")
     matrix = stored(members.groupBy("group").applyInArrow(
@@ -414,21 +432,36 @@ def link_sets(rows: DataFrame, sets: DataFrame, percent: int = PERCENT, words: i
     links = stored(matrix.filter("a is not null").select("a", "b").unionByName(
         _open(asked.filter("token is null"), members, groups, percent)), "set-links")
 
-    # Long lists whose sets are in several components: the smaller ones ask the groups of the others.
+    # Long lists whose sets are in several components: their groups ask each other.
     many = asked.filter("token is not null")
     if many.isEmpty():
         return play, links
-    rooted = many.join(components(links).withColumnRenamed("node", "no"), "no", "left").withColumn("root", F.coalesce("root", "no"))
-    rooted = stored(rooted, "long-lists")
-    sizes = rooted.select("root", "no").distinct().groupBy("root").agg(F.count(F.lit(1)).alias("size"))
-    split = rooted.groupBy("token").agg(F.min("root").alias("p"), F.max("root").alias("q")).filter("p <> q").select("token")
-    left = rooted.join(split, "token", "left_semi").join(sizes, "root")
-    right = left.groupBy("token", "group", "root", "size").agg(F.max("slack").alias("most")).withColumnsRenamed({"group": "to", "root": "r", "size": "s"})
-    more = left.join(right, "token").filter(
-        (F.struct("size", "root") < F.struct("s", "r")) & (F.col("slack") + F.col("most") >= 0) & (F.col("group") != F.col("to"))).select("no", F.col("to").alias("group"))
+    roots = stored(play.select("no", "group", "n").join(components(links).withColumnRenamed("node", "no"), "no", "left").select(
+        "no", "group", "n", F.coalesce("root", "no").alias("root")), "group-roots")
+    spans = roots.groupBy("group").agg(F.min("root").alias("p"), F.max("root").alias("q"), F.min("n").alias("lo"), F.max("n").alias("hi"))
+    held = stored(many.groupBy("token", "group").agg(F.max("slack").alias("most")).join(spans, "group"), "long-lists")
+    split = held.groupBy("token").agg(F.min("p").alias("low"), F.max("q").alias("high")).filter("low <> high").select("token")
+    left = held.join(split, "token", "left_semi")
+    right = left.withColumnsRenamed({"group": "to", "p": "p2", "q": "q2", "most": "most2", "lo": "lo2", "hi": "hi2"})
+    fits = ((F.col("group") > F.col("to")) & (F.col("most") + F.col("most2") >= 0)
+            & (100 * F.col("hi2") >= percent * F.col("lo")) & (100 * F.col("hi") >= percent * F.col("lo2"))
+            & ((F.col("p") != F.col("q")) | (F.col("p2") != F.col("q2")) | (F.col("p") != F.col("p2"))))
+    pairs = left.join(right, "token").filter(fits).select("group", "to", "p2", "q2", "lo2", "hi2").distinct()
+    # Of the asking group come the sets on long lists whose size fits and that aren't in the other group's only component.
+    asking = roots.join(many.select("no").distinct(), "no", "left_semi")
+    may = ((100 * F.col("hi2") >= percent * F.col("n")) & (100 * F.col("n") >= percent * F.col("lo2"))
+           & ((F.col("p2") != F.col("q2")) | (F.col("root") != F.col("p2"))))
+    more = pairs.join(asking, "group").filter(may).select("no", F.col("to").alias("group"))
     return play, stored(links.unionByName(_open(more, members, groups, percent)), "set-links")
 
 
+def _back(full: DataFrame, named: DataFrame, keys: list[str], total) -> DataFrame:
+    """``full`` with the columns of its key's row in ``named``, which also has ``copies``: how many rows of ``full`` have the key."""
+    hot = F.broadcast(stored(named.filter(F.col("copies") * HOT > total).drop("copies"), "hot"))
+    cold = named.filter(F.col("copies") * HOT <= total).drop("copies")
+    return full.join(hot, keys).unionByName(full.join(hot.select(*keys), keys, "left_anti").join(cold, keys))
+
+
 def near_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT, words: int = WORDS) -> DataFrame:
     """Class of each row: id, n_shingles, component_id (the smallest id reachable by links).
 
@@ -448,12 +481,12 @@ def near_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     play, links = link_sets(rows, sets, percent, words)
     roots = play.join(components(links).withColumnRenamed("node", "no"), "no").select("h1", "h2", "root")
     rooted = stored(sets.join(roots, ["h1", "h2"], "left").select("h1", "h2", "id", "copies", "root"), "set-roots")
-    least = rooted.filter("root is not null").groupBy("root").agg(F.min("id").alias("least"))
-    named = (rooted.join(least, "root", "left").select("h1", "h2", "copies", F.when(F.col("root").isNull(), F.col("id")).otherwise(F.col("least")).alias("component_id")))
     total = F.lit(sized.count())
-    hot = F.broadcast(stored(named.filter(F.col("copies") * HOT > total).drop("copies"), "hot-sets"))
-    cold = named.filter(F.col("copies") * HOT <= total).drop("copies")
-    full = sized.filter("n > 0")
-    joined = full.join(hot, ["h1", "h2"]).unionByName(full.join(hot.drop("component_id"), ["h1", "h2"], "left_anti").join(cold, ["h1", "h2"]))
+    linked = rooted.filter("root is not null")
+    least = linked.groupBy("root").agg(F.min("id").alias("component_id"), F.count(F.lit(1)).alias("copies"))
+    columns = ["h1", "h2", "copies", "component_id"]
+    named = _back(linked, least, ["root"], total).select(*columns).unionByName(
+        rooted.filter("root is null").select("h1", "h2", "copies", F.col("id").alias("component_id")))
+    joined = _back(sized.filter("n > 0"), stored(named, "named"), ["h1", "h2"], total)
     out = joined.select("id", "n", "component_id").unionByName(sized.filter("n = 0").select("id", "n", F.col("id").alias("component_id")))
     return out.select(F.col("id").cast(kind).alias(id_col), F.col("n").alias("n_shingles"), F.col("component_id").cast(kind).alias("component_id"))
