@@ -82,9 +82,9 @@ def _blocks(docs: DataFrame) -> DataFrame:
 def _named(least: int, parts: int):
     """Ids of frequent words, from (lang, word, block, place, count) sorted by lang and word.
 
-    A row (block, place, id) for each block that has the word, and one with
-    the word and its whole count.  Fewer than ``least`` rows of a word wait until its count
-    suffices; the others pass at once.
+    Rows (block, places, ids) for the blocks that have them, put together for up to
+    HELD places, and one row (lang, word, id, count) for each word.  Fewer than ``least`` rows
+    of a word wait until its count suffices; the others pass at once.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -92,13 +92,27 @@ def _named(least: int, parts: int):
         kept: pa.Table | None = None  # rows of a word that is not frequent yet
         open_: list | None = None  # lang, word, id and count of a frequent word that may go on
 
-        def emit(block, place, ident, ends):
-            k = len(block)
-            word = lambda i: pa.array([None] * k + [e[i] for e in ends], pa.string())
+        held: list[tuple] = []  # block, place, id of replies not sent yet
+
+        def spelled(ends):
+            k = len(ends)
             return pa.RecordBatch.from_arrays(
-                [pa.array([*block.tolist(), *[None] * len(ends)], pa.int64()), pa.array([*place.tolist(), *[None] * len(ends)], pa.int32()),
-                 pa.array([*ident.tolist(), *[e[2] for e in ends]], pa.int64()), word(0), word(1), pa.array([None] * k + [e[3] for e in ends], pa.int64())],
-                names=["block", "place", "id", "lang", "word", "count"])
+                [pa.nulls(k, pa.int64()), pa.nulls(k, pa.list_(pa.int32())), pa.nulls(k, pa.list_(pa.int64())), pa.array([e[0] for e in ends], pa.string()),
+                 pa.array([e[1] for e in ends], pa.string()), pa.array([e[2] for e in ends], pa.int64()), pa.array([e[3] for e in ends], pa.int64())],
+                names=["block", "places", "ids", "lang", "word", "id", "count"])
+
+        def replies():
+            block, place, ident = (np.concatenate([h[i] for h in held]) for i in range(3))
+            held.clear()
+            order = np.argsort(block, kind="stable")
+            block = block[order]
+            start = np.flatnonzero(np.append(True, block[1:] != block[:-1])) if len(block) else np.zeros(0, np.int64)
+            ends = pa.array([*start.tolist(), len(block)], pa.int32())
+            k = len(start)
+            return pa.RecordBatch.from_arrays(
+                [pa.array(block[start], pa.int64()), pa.ListArray.from_arrays(ends, pa.array(place[order], pa.int32())),
+                 pa.ListArray.from_arrays(ends, pa.array(ident[order], pa.int64())), *[pa.nulls(k, t) for t in (pa.string(), pa.string(), pa.int64(), pa.int64())]],
+                names=["block", "places", "ids", "lang", "word", "id", "count"])
 
         def settle(table: pa.Table, final: bool):
             nonlocal kept, open_, given
@@ -136,7 +150,8 @@ def _named(least: int, parts: int):
                         open_ = None
             use = frequent[run]
             kept = table.slice(int(start[-1])) if not final and not frequent[-1] else None
-            return emit(block[use], place[use], ids[run][use], ends)
+            held.append((block[use], place[use], ids[run][use]))
+            return spelled(ends)
 
         for batch in batches:
             table = pa.Table.from_batches([batch])
@@ -144,11 +159,14 @@ def _named(least: int, parts: int):
                 table = pa.concat_tables([kept, table])
             if table.num_rows:
                 yield settle(table, False)
+                if sum(len(h[0]) for h in held) >= HELD:
+                    yield replies()
         if kept is not None:
             yield settle(kept, True)
         if open_ is not None:
-            none = np.zeros(0, np.int64)
-            yield emit(none, none, none, [tuple(open_)])
+            yield spelled([tuple(open_)])
+        if held:
+            yield replies()
 
     return run
 
@@ -160,9 +178,8 @@ def _coded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out = []
         for i in range(batch.num_rows):
             codes = np.frombuffer(at["codes"][i].as_buffer(), "<u4")
-            pairs = at["ids"][i].values
             table = np.zeros(at["size"][i].as_py() + 1, np.int64)
-            table[pairs.field("place").to_numpy() + 1] = pairs.field("id").to_numpy()
+            table[at["places"][i].values.to_numpy() + 1] = at["ids"][i].values.to_numpy()
             ids = table[codes]
             edge = (ids > 0) | np.append(True, ids[:-1] > 0)  # runs of zeros say no more than one
             out.append(ids[edge].astype("<i8" if ids.max(initial=0) >> 32 else "<u4"))
@@ -308,10 +325,11 @@ def frequent_phrases(docs: DataFrame, lang_col: str = "lang", text_col: str = "t
         parts, "lang", "word").sortWithinPartitions("lang", "word")
     # On a cluster that deals to more partitions than asked for, ids stay apart because the step covers them.
     step = max(parts, sorted_.rdd.getNumPartitions())
-    named = stored(sorted_.mapInArrow(_named(least, step), "block long, place int, id long, lang string, word string, count long"), "named")
+    named = stored(sorted_.mapInArrow(_named(least, step), "block long, places array<int>, ids array<long>, lang string, word string, id long, count long"), "named")
     words = named.filter("block is null").select("lang", "id", "word", F.col("count").alias("f"))
-    known = named.filter("block is not null").groupBy("block").agg(F.collect_list(F.struct("place", "id")).alias("ids"))  # words of one block
-    coded = stored(blocks.join(known, "block").select("lang", F.size("words").alias("size"), "codes", "ids").mapInArrow(
+    known = named.filter("block is not null").groupBy("block").agg(F.collect_list(F.struct("places", "ids")).alias("known"))  # words of one block
+    known = known.select("block", F.flatten("known.places").alias("places"), F.flatten("known.ids").alias("ids"))
+    coded = stored(blocks.join(known, "block").select("lang", F.size("words").alias("size"), "codes", "places", "ids").mapInArrow(
         _coded, "lang string, bytes int, codes binary"), "coded")
     sizes = stored(blocks.groupBy("lang").agg(F.sum("tokens").alias("n")), "sizes")
     words = stored(words, "words")
