@@ -28,18 +28,36 @@ def conform(df: DataFrame, schema: str | T.StructType) -> DataFrame:
 
 
 def read_snapshots(spark: SparkSession, path: str, schema: str | T.StructType, fmt: str = "parquet",
-                   **options) -> DataFrame:
+                   reconcile: str = "stated", **options) -> DataFrame:
     """A1: a snapshot table from Parquet, ORC, JSON or CSV files.
 
     ``schema`` is a DDL string, a StructType or the name of a canonical
-    shape.  Self-describing formats may lack optional columns; JSON and CSV
-    are read with the stated schema, so nothing is inferred from the data.
+    shape.  Files may be of several generations: a column that a file lacks is
+    null in that file's rows, whichever file comes first.
+
+    'stated' reads every file with the stated types and opens no footer in advance;
+    narrower numbers of older files are widened, and a file whose type can't be
+    widened is an error.  'merged' takes the types from all footers (a job of its
+    own) and casts them, for tables whose files have wider types, or others.
     """
     wanted = _struct(schema)
     reader = spark.read.format(fmt).options(**options)
-    if fmt in ("json", "csv"):
-        return reader.schema(wanted).load(path)
-    return conform(reader.load(path), wanted)
+    if reconcile == "merged" and fmt not in ("json", "csv"):
+        found = _merged_types(spark, path, fmt, options)
+        wide = T.StructType([T.StructField(f.name, found.get(f.name.lower(), f.dataType)) for f in wanted])
+        return conform(reader.schema(wide).load(path), wanted)
+    return conform(reader.schema(wanted).load(path), wanted)
+
+
+def _merged_types(spark: SparkSession, path: str, fmt: str, options: Mapping[str, str]) -> dict[str, T.DataType]:
+    merged = spark.read.format(fmt).options(**options).option("mergeSchema", "true").load(path).schema
+    return {f.name.lower(): f.dataType for f in merged}
+
+
+def absent_columns(spark: SparkSession, path: str, schema: str | T.StructType, fmt: str = "parquet", **options) -> list[str]:
+    """Columns of ``schema`` that no file of the table has; all footers are read."""
+    found = _merged_types(spark, path, fmt, options)
+    return [f.name for f in _struct(schema) if f.name.lower() not in found]
 
 
 def stamp(df: DataFrame, ts_utc: Column, zone: str, utc: str = "ts_utc", local: str = "ts") -> DataFrame:
@@ -100,13 +118,24 @@ def insert_if_no_neighbour(new: DataFrame, existing: DataFrame, ts: str, tol_s:
 
 
 def read_since(df: DataFrame, watermark: DataFrame, entity, ts: str, inclusive: bool = True,
-               mark: str | None = None) -> DataFrame:
-    """Rows at or after each entity's own watermark, and entities that have none."""
+               mark: str | None = None, unmarked_from: Column | None = None) -> DataFrame:
+    """Rows at or after each entity's own watermark, and entities that have none.
+
+    The oldest watermark is a bound for all rows of entities that have one,
+    and reaches the scan as a pushed filter.  Entities without one are read
+    apart: all their rows, or with ``unmarked_from`` those at or after it, a
+    bound that reaches the scan too.  Give it where entities that are new
+    can't have older rows.
+    """
     entity, mark = names(entity), mark or ts
     wm = watermark.select(*[F.col(e).alias(f"_k_{e}") for e in entity], F.col(mark).alias("_mark"))
     on = reduce(Column.__and__, [F.col(e).eqNullSafe(F.col(f"_k_{e}")) for e in entity])
     due = F.col(ts) >= F.col("_mark") if inclusive else F.col(ts) > F.col("_mark")
-    return df.join(wm, on, "left").filter(F.col("_mark").isNull() | due).select(*df.columns)
+    oldest = wm.select(F.min("_mark")).scalar()
+    marked = df.filter(F.col(ts) >= oldest).join(wm.filter("_mark is not null"), on, "inner").filter(due)
+    rest = df if unmarked_from is None else df.filter(F.col(ts) >= unmarked_from)
+    fresh = rest.join(wm.filter("_mark is not null"), on, "left_anti")
+    return marked.select(*df.columns).unionByName(fresh.select(*df.columns))
 
 
 def write_partition(df: DataFrame, path: str, ts: str = "ts_utc", spread: bool = False) -> None:
@@ -114,21 +143,29 @@ def write_partition(df: DataFrame, path: str, ts: str = "ts_utc", spread: bool =
 
     A folder holds an hour of snapshots: with a poll a minute, 24 folders a
     day and not 1440.  The other snapshots of the hours that ``df`` touches
-    are read and written again with it.
+    are read and written again with it, with all the columns that any file of
+    those hours or ``df`` has; a column that one side lacks is null there.
     """
     spark = df.sparkSession
     new = df.withColumns({PARTITION: F.to_date(ts), "hour": F.hour(ts)})
-    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
-    if folder.getFileSystem(spark._jsc.hadoopConfiguration()).exists(folder):
-        old = spark.read.parquet(path)
-        # The hours prune the scan; stamps and hours are few, and AQE sees that.
-        beside = old.join(new.select(PARTITION, "hour").distinct(), [PARTITION, "hour"], "left_semi")
-        new = new.unionByName(beside.join(new.select(ts).distinct(), ts, "left_anti").select(*new.columns))
+    hours = new.select(PARTITION, "hour").distinct()
+    # 24 a day: the folders of which files are read, and whose footers are merged.
+    touched = [f"{path}/{PARTITION}={r[0]}/hour={r.hour}" for r in hours.collect()]
+    there = [f for f in touched if _exists(spark, f)]
+    if there:
+        old = spark.read.option("basePath", path).option("mergeSchema", "true").parquet(*there)
+        beside = old.join(new.select(ts).distinct(), ts, "left_anti")
+        new = new.unionByName(beside, allowMissingColumns=True)
     if spread:
         new = new.hint("rebalance", PARTITION, "hour")
     new.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(PARTITION, "hour").parquet(path)
 
 
+def _exists(spark: SparkSession, path: str) -> bool:
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return folder.getFileSystem(spark._jsc.hadoopConfiguration()).exists(folder)
+
+
 def replace_days(df: DataFrame, path: str, date: str = PARTITION) -> None:
     """Replace whole days of a date-partitioned table (rollups, retention).
 

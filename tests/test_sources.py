@@ -107,3 +107,115 @@ def test_event_files_are_read_once(spark, tmp_path):
         assert spark.read.parquet(out).count() == i + 1
     event_files.resume_event_files(spark, src, out, ck).awaitTermination()
     assert spark.read.parquet(out).count() == 3
+
+
+def test_files_of_two_generations_keep_the_optional_column(spark, tmp_path):
+    # Whichever file comes first, and whichever has the column.
+    for name, order in (("a", (0, 1)), ("b", (1, 0))):
+        path = str(tmp_path / name)
+        old, new = frame(spark, "name string, value int", [("x", 1)] * 3), frame(spark, "name string, value bigint, note string", [("y", 2 ** 40, "n")] * 3)
+        for i in order:
+            (old, new)[i].coalesce(1).write.mode("append").parquet(path)
+        got = snapshots.read_snapshots(spark, path, "name string, value bigint, note string, gone double")
+        assert rows(got) == [("x", 1, None, None)] * 3 + [("y", 2 ** 40, "n", None)] * 3
+    part = frame(spark, "name string, value bigint", [("x", 1)])
+    part.write.parquet(str(tmp_path / "c"))
+    assert snapshots.absent_columns(spark, str(tmp_path / "c"), "name string, note string, value bigint") == ["note"]
+
+
+def test_wider_files_are_cast_when_footers_are_merged(spark, tmp_path):
+    path = str(tmp_path / "w")
+    frame(spark, "name string, value bigint", [("x", 7)]).write.parquet(path)
+    frame(spark, "name string, other string", [("y", "o")]).write.mode("append").parquet(path)
+    got = snapshots.read_snapshots(spark, path, "name string, value int, other string", reconcile="merged")
+    assert got.dtypes[1] == ("value", "int") and rows(got) == [("x", 7, None), ("y", None, "o")]
+
+
+def test_write_partition_keeps_columns_of_older_files(spark, tmp_path):
+    path = str(tmp_path / "p")
+    snapshots.write_partition(frame(spark, "v int, ts_utc timestamp", [(1, ts(0, minutes=1))]), path)
+    snapshots.write_partition(frame(spark, "v int, note string, ts_utc timestamp", [(2, "n", ts(0, minutes=2))]), path)
+    snapshots.write_partition(frame(spark, "v int, ts_utc timestamp", [(3, ts(0, minutes=3)), (9, ts(30))]), path)
+    back = spark.read.option("mergeSchema", "true").parquet(path)
+    assert rows(back, "v", "note") == [(1, None), (2, "n"), (3, None), (9, None)]
+
+
+def test_bounds_of_watermarks_reach_the_scan(spark, tmp_path):
+    path = str(tmp_path / "h")
+    frame(spark, "k string, ts timestamp", [(k, ts(i)) for i in range(50) for k in "abc"]).write.parquet(path)
+    df = spark.read.parquet(path)
+    wm = frame(spark, "k string, ts timestamp", [("a", ts(40)), ("b", ts(45))])
+    got = snapshots.read_since(df, wm, "k", "ts", unmarked_from=F.lit(ts(48)))
+    assert rows(got.groupBy("k").count()) == [("a", 10), ("b", 5), ("c", 2)]
+    plan = got._jdf.queryExecution().explainString(got._sc._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("formatted"))
+    pushed = [x for x in plan.splitlines() if "PushedFilters" in x]
+    assert len(pushed) >= 2 and all("GreaterThanOrEqual(ts" in x for x in pushed)
+
+
+def _set(path, text, append=False):
+    with open(path, "a" if append else "w") as f:
+        f.write(text)
+
+
+def test_rows_appended_to_a_known_file_arrive_once(spark, tmp_path):
+    src, out, ck = tmp_path / "src", str(tmp_path / "out"), str(tmp_path / "ck")
+    src.mkdir()
+    run = lambda: event_files.resume_event_files(spark, str(src), out, ck, "id bigint, note string", "json").awaitTermination()
+    ids = lambda: rows(event_files.GrowingFiles(spark, str(src), out, ck, "id bigint, note string", "json").read(), "id")
+    _set(src / "f1", '{"id": 1, "note": "a"}\n')
+    run()
+    _set(src / "f1", '{"id": 2, "note": "a"}\n{"id": 2, "note": "a"}\n', append=True)
+    _set(src / "f 2%", '{"id": 9}\n')
+    for _ in range(2):
+        run()
+        assert ids() == [(1,), (2,), (2,), (9,)]
+    _set(src / "f1", '{"id": 3}\n{"id": 4, "no', append=True)  # half a line
+    run()
+    assert ids() == [(1,), (2,), (2,), (3,), (9,)]
+    _set(src / "f1", 'te": "z"}\n', append=True)
+    run()
+    assert ids() == [(1,), (2,), (2,), (3,), (4,), (9,)]
+    _set(src / "f1", '{"id": 50}\n')  # replaced: another file of that name
+    run()
+    assert ids() == [(1,), (2,), (2,), (3,), (4,), (9,), (50,)]
+
+
+def test_a_step_that_dies_before_its_commit_is_done_anew(spark, tmp_path):
+    src, out, ck = tmp_path / "src", str(tmp_path / "out"), str(tmp_path / "ck")
+    src.mkdir()
+    files = event_files.GrowingFiles(spark, str(src), out, ck, "id bigint", "csv", max_files=1)
+    for i in range(3):
+        _set(src / f"f{i}", f"{i}\n{i + 10}\n")
+    assert files.advance() == 3 and files.advance() == 0
+    # A batch without a commit, as a crash leaves it.
+    _set(src / "f1", "77\n", append=True)
+    frame(spark, "id bigint", [(-1,)]).write.parquet(f"{out}/batch=3")
+    assert rows(files.read(), "id") == [(0,), (1,), (2,), (10,), (11,), (12,)]
+    assert files.advance() == 1
+    assert rows(files.read(), "id") == [(0,), (1,), (2,), (10,), (11,), (12,), (77,)]
+
+
+def test_the_index_of_files_is_written_whole_now_and_then(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(event_files, "WHOLE_INDEX", 2)
+    src, out, ck = tmp_path / "src", str(tmp_path / "out"), str(tmp_path / "ck")
+    src.mkdir()
+    files = event_files.GrowingFiles(spark, str(src), out, ck, "id bigint", "json")
+    for i in range(5):
+        for f in "ab"[:1 + i % 2]:
+            _set(src / f, f'{{"id": {i}}}\n', append=True)
+        assert files.advance() == 1
+    assert rows(files.read(), "id") == [(0,), (1,), (1,), (2,), (3,), (3,), (4,)]
+
+
+def test_large_text_files_are_placed_over_their_splits(spark, tmp_path):
+    src, out, ck = tmp_path / "src", str(tmp_path / "out"), str(tmp_path / "ck")
+    src.mkdir()
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "2000")
+    try:
+        files = event_files.GrowingFiles(spark, str(src), out, ck, "id bigint", "json")
+        for part in range(3):
+            _set(src / "f", "".join(f'{{"id": {part * 1000 + i}}}\n' for i in range(1000)), append=True)
+            files.advance()
+        assert rows(files.read(), "id") == [(i,) for i in range(3000)]
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
