@@ -27,6 +27,19 @@ def _(t):
     return out
 
 
+@check("a1_two_generations", f"""SELECT {day('ts')} AS date, count(*) AS n, CAST(sum(event_id) AS BIGINT) AS ids, count(CASE WHEN event_id % 2 = 1 THEN 1 END) AS notes,
+CAST(count(CASE WHEN event_id % 2 = 1 THEN user_id END) AS BIGINT) AS users FROM events GROUP BY 1""")
+def _(t):
+    """Even events were collected before the columns note and user_id came, with narrower numbers."""
+    path = scratch_dir(t.spark, "generations")
+    old = t.events.filter("event_id % 2 = 0").select(F.col("event_id").cast("int").alias("event_id"), "ts")
+    new = t.events.filter("event_id % 2 = 1").select("event_id", "ts", F.lit("x").alias("note"), "user_id")
+    old.write.parquet(path)
+    new.write.mode("append").parquet(path)
+    rows = snapshots.read_snapshots(t.spark, path, "event_id bigint, ts timestamp, note string, user_id bigint, never double")
+    return rows.groupBy(F.to_date("ts").alias("date")).agg(F.count(F.lit(1)).alias("n"), F.sum("event_id").alias("ids"), F.count("note").alias("notes"), F.count("user_id").alias("users"))
+
+
 @check("a2_stamp", f"SELECT o_orderkey, {at('o_orderdate')} AS ts_utc, {at('o_orderdate + INTERVAL 2 HOUR')} AS ts FROM orders")
 def _(t):
     return snapshots.stamp(t.orders.select("o_orderkey", "o_orderdate"), F.col("o_orderdate"), "Etc/GMT-2").drop("o_orderdate")
@@ -73,6 +86,28 @@ def _(t):
     return t.spark.read.parquet(f"{root}/out").groupBy("event_type").agg(F.count(F.lit(1)).alias("n"), F.sum("event_id").alias("ids"))
 
 
+@check("a6_growing_files", "SELECT event_type, count(*) AS n, CAST(sum(event_id) AS BIGINT) AS ids FROM events GROUP BY 1")
+def _(t):
+    """Four files that grow: each run writes them again with a third more of their rows behind the others."""
+    root, spark = scratch_dir(t.spark, "growing"), t.spark
+    path = spark._jvm.org.apache.hadoop.fs.Path
+    fs = path(root).getFileSystem(spark._jsc.hadoopConfiguration())
+    files = event_files.GrowingFiles(spark, f"{root}/events", f"{root}/out", f"{root}/checkpoint", t.events.schema)
+    fs.mkdirs(path(f"{root}/events"))
+    third = t.events.withColumn("part", F.pmod("event_id", F.lit(4))).withColumn(
+        "run", F.floor(F.col("event_id") * 3 / (t.events.select(F.max("event_id")).scalar() + 1)) + 1)
+    for run in (1, 2, 3, 3):  # the last run finds nothing new
+        if run != 3 or files.committed() < 3:
+            staged = f"{root}/staged-{run}"
+            third.filter(F.col("run") <= run).drop("run").repartition(4, "part").sortWithinPartitions("part", "event_id").write.partitionBy("part").parquet(staged)
+            for part in range(4):
+                written = fs.globStatus(path(f"{staged}/part={part}/*.parquet"))
+                fs.delete(path(f"{root}/events/f{part}"), False)
+                fs.rename(written[0].getPath(), path(f"{root}/events/f{part}"))
+        files.advance()
+    return files.read().groupBy("event_type").agg(F.count(F.lit(1)).alias("n"), F.sum("event_id").alias("ids"))
+
+
 _WM = "wm AS (SELECT user_id, max(ts) AS mark FROM events WHERE ts < TIMESTAMP '2024-01-12' AND user_id % 4 <> 0 GROUP BY 1)"
 
 

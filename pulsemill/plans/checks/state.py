@@ -5,6 +5,8 @@ from pyspark.sql import functions as F
 from ...operators import state
 from ...operators.aggregate import hourly_rollup
 from ...operators.chunked import by_year
+from ...session import scratch_dir
+from ...sources import snapshots
 from . import HISTORY, ORDER_STATES, STATE, at, check, day
 
 _SPLIT = "TIMESTAMP '1999-06-30'"
@@ -115,6 +117,18 @@ def _(t):
         "l_orderkey", "l_linenumber", "l_returnflag")
 
 
+@check("h10_retain_days", f"""WITH m AS (SELECT max(ts) AS m FROM events)
+SELECT {day('ts')} AS date, count(*) AS n, CAST(sum(event_id) AS BIGINT) AS ids FROM events, m
+WHERE ts >= m - INTERVAL 20 DAY AND NOT (event_type = 'view' AND ts < m - INTERVAL 5 DAY) GROUP BY 1""")
+def _(t):
+    """The same on day folders: whole days go unread, days with such views are written again; a second run changes nothing."""
+    path, rules = scratch_dir(t.spark, "retain"), [(20, None), (5, F.col("event_type") == "view")]
+    snapshots.append_snapshot(t.events.select("event_id", "event_type", "ts"), path, "ts", spread=True)
+    for _ in range(2):
+        snapshots.retain_days(t.spark, path, "ts", rules)
+    return t.spark.read.parquet(path).groupBy("date").agg(F.count(F.lit(1)).alias("n"), F.sum("event_id").alias("ids"))
+
+
 @check("h11_keep_newest", "SELECT job, seq, CAST(status AS BIGINT) AS status FROM (WITH " + HISTORY + " SELECT * FROM hist) QUALIFY row_number() OVER (PARTITION BY job ORDER BY started DESC) = 1")
 def _(t):
     return state.keep_newest(t.history, "job", "started").select("job", "seq", "status")

@@ -121,21 +121,20 @@ def read_since(df: DataFrame, watermark: DataFrame, entity, ts: str, inclusive:
                mark: str | None = None, unmarked_from: Column | None = None) -> DataFrame:
     """Rows at or after each entity's own watermark, and entities that have none.
 
-    The oldest watermark is a bound for all rows of entities that have one,
-    and reaches the scan as a pushed filter.  Entities without one are read
-    apart: all their rows, or with ``unmarked_from`` those at or after it, a
-    bound that reaches the scan too.  Give it where entities that are new
-    can't have older rows.
+    Of entities without a watermark all rows come, or with ``unmarked_from``
+    those at or after it; give it where entities that are new can't have older
+    rows.  Then the smaller of it and the oldest watermark bounds all rows, and
+    reaches the scan as a pushed filter.
     """
     entity, mark = names(entity), mark or ts
     wm = watermark.select(*[F.col(e).alias(f"_k_{e}") for e in entity], F.col(mark).alias("_mark"))
     on = reduce(Column.__and__, [F.col(e).eqNullSafe(F.col(f"_k_{e}")) for e in entity])
     due = F.col(ts) >= F.col("_mark") if inclusive else F.col(ts) > F.col("_mark")
-    oldest = wm.select(F.min("_mark")).scalar()
-    marked = df.filter(F.col(ts) >= oldest).join(wm.filter("_mark is not null"), on, "inner").filter(due)
-    rest = df if unmarked_from is None else df.filter(F.col(ts) >= unmarked_from)
-    fresh = rest.join(wm.filter("_mark is not null"), on, "left_anti")
-    return marked.select(*df.columns).unionByName(fresh.select(*df.columns))
+    unmarked = F.col("_mark").isNull()
+    if unmarked_from is not None:
+        df = df.filter(F.col(ts) >= wm.select(F.least(F.min("_mark"), unmarked_from)).scalar())
+        unmarked = unmarked & (F.col(ts) >= unmarked_from)
+    return df.join(wm, on, "left").filter(unmarked | due).select(*df.columns)
 
 
 def write_partition(df: DataFrame, path: str, ts: str = "ts_utc", spread: bool = False) -> None:
@@ -176,6 +175,70 @@ def replace_days(df: DataFrame, path: str, date: str = PARTITION) -> None:
      .partitionBy(date).parquet(path))
 
 
+def _days(spark: SparkSession, path: str, date: str) -> list[str]:
+    """The days of a date-partitioned table, by its folders."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    found = folder.getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(folder)
+    folders = [f.getPath().getName() for f in found if f.isDirectory()]
+    return sorted(f.split("=", 1)[1] for f in folders if f.startswith(f"{date}=") and f[len(date) + 1:len(date) + 2].isdigit())
+
+
+def retain_days(spark: SparkSession, path: str, ts: str, rules: Sequence[tuple[int, Column | None]],
+                date: str = PARTITION) -> tuple[list[str], list[str]]:
+    """H10 on a table of day folders: what ``apply_retention`` keeps, with as little work as it takes.
+
+    The folder names are the catalogue: a day that lies wholly before the limit
+    of a rule without a filter is dropped unread.  Of a rule with a filter
+    the days that hold such rows are found by a scan with the filter pushed
+    down, and only they and the days of the limits are written again.  The
+    newest stamp comes from the newest day.  Returns the days dropped and the
+    days written again; running it again changes nothing more.
+    """
+    days = _days(spark, path, date)
+    jvm, conf = spark._jvm.org.apache.hadoop.fs.Path, spark._jsc.hadoopConfiguration()
+
+    def drop(day: str) -> None:
+        folder = jvm(f"{path}/{date}={day}")
+        folder.getFileSystem(conf).delete(folder, True)
+
+    def read(some: Sequence[str]) -> DataFrame:
+        return spark.read.option("basePath", path).option("mergeSchema", "true").parquet(*[f"{path}/{date}={d}" for d in some])
+
+    newest = None
+    for day in reversed(days):  # the first of them, unless it is empty
+        newest = read([day]).agg(F.max(ts)).first()[0]
+        if newest is not None:
+            break
+    if newest is None:
+        return [], []
+    limits = [(spark.range(1).select(F.timestamp_add("DAY", F.lit(-n), F.lit(newest)).alias("t"))
+               .select("t", F.to_date("t").cast("string").alias("d")).first(), only) for n, only in rules]
+    edge = max((limit.d for limit, only in limits if only is None), default="")
+    gone = [d for d in days if d < edge]
+    for day in gone:
+        drop(day)
+    keep, touched = F.lit(True), {edge} & set(days)
+    for limit, only in limits:
+        old = F.col(ts) < F.lit(limit.t)
+        out = old if only is None else old & F.coalesce(only, F.lit(False))
+        keep = keep & ~out
+        before = [d for d in days if edge <= d <= limit.d]
+        if only is not None and before:
+            touched |= {str(r[0]) for r in read(before).filter(out).select(F.col(date).cast("string")).distinct().collect()}
+    if not touched:
+        return gone, []
+    rows = read(sorted(touched))
+    changed = rows.groupBy(F.col(date).cast("string").alias("d")).agg(
+        F.count_if(F.coalesce(keep, F.lit(True))).alias("kept"), F.count(F.lit(1)).alias("n")).filter("kept < n").collect()
+    rewritten = sorted(r.d for r in changed if r.kept)
+    if rewritten:
+        replace_days(read(rewritten).filter(F.coalesce(keep, F.lit(True))), path, date)
+    emptied = sorted(r.d for r in changed if not r.kept)
+    for day in emptied:
+        drop(day)
+    return gone + emptied, rewritten
+
+
 def select_services(loads: Sequence[str], tables: Mapping[str, DataFrame]) -> dict[str, DataFrame]:
     """The chosen tables; the others keep their schema but are never read."""
     return {n: t if n in loads else t.sparkSession.createDataFrame([], t.schema) for n, t in tables.items()}

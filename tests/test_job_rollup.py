@@ -74,3 +74,34 @@ def test_history_below_the_watermark_is_left_out(spark, tmp_path):
     full, cut = (gains(frame(spark, schema, r), before) for r in (rows_, rows_[5:]))
     for name in RollupStore.PARTS:
         assert rows(getattr(full, name)) == rows(getattr(cut, name))
+
+
+def test_whole_tables_and_open_jobs_over_many_steps(spark, history, tmp_path, monkeypatch):
+    monkeypatch.setattr(RollupStore, "COMPACT", 2)
+    store = RollupStore(spark, str(tmp_path / "s"))
+    # A job that is not done for long, and one that comes late.
+    slow = frame(spark, "job string, seq bigint, step int, status int, started timestamp, duration_s bigint",
+                 [("slow", 50, 1, 1, ts(1), 3), ("slow", 640, 0, 1, ts(1), 9), ("new", 801, 1, 1, ts(2), 1), ("new", 802, 0, 1, ts(2), 5)])
+    every = history.select(*slow.columns).unionByName(slow)
+    for until in (300, 600, 650, 900, 10_000):
+        store.advance(every.filter(F.col("seq") < until))
+    assert store.committed() == 5 and store.compacted() == 4
+    runs = runs_from_history(every, "job", "seq", "step", "status", "started", "duration_s").withColumnRenamed("job", "name")
+    whole = hourly_rollup(runs, ["name", "job_status", "steps_status"], "started", "duration_s")
+    got = store.read()
+    assert rows(got.rollup) == rows(whole.select(*got.rollup.columns))
+    opened = [r.open_from for r in store._commits().orderBy("batch").collect()]
+    assert opened[0] == 50 and opened[1] == 50 and opened[2] > 600
+
+
+def test_the_bound_of_a_step_reaches_the_scan(spark, history, tmp_path):
+    path = str(tmp_path / "h")
+    history.write.parquet(path)
+    store = RollupStore(spark, str(tmp_path / "s"))
+    df = spark.read.parquet(path)
+    store.advance(df.filter("seq < 500"))
+    from pulsemill.plans.job_rollup import read_history
+    since = read_history(df, store.read(), store._commits().first().open_from)
+    plan = since._jdf.queryExecution().explainString(since._sc._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("formatted"))
+    pushed = [x for x in plan.splitlines() if "PushedFilters" in x and "seq" in x]
+    assert pushed and all("GreaterThanOrEqual(seq" in x for x in pushed)
