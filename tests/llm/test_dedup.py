@@ -12,7 +12,7 @@ import pytest
 import xxhash
 
 import corpus_pipeline
-from pulsemill.llm import exact_dedup, line_dedup, near_copies, simhash
+from pulsemill.llm import exact_dedup, line_dedup, simhash
 from pulsemill.llm.common import stored
 from pulsemill.llm.components import components
 
@@ -244,41 +244,21 @@ def edited(rng, words, text):
     return " ".join(parts)
 
 
-@pytest.mark.parametrize("cap,block", [(16, 256), (2, 8)])
-def test_near_copies_like_brute_force(spark, docs_of, monkeypatch, cap, block):
-    monkeypatch.setattr(line_dedup, "CAP", cap)
-    monkeypatch.setattr(line_dedup, "BLOCK", block)
+def test_the_stage_keeps_one_document_of_each_simhash_class(spark, docs_of):
+    """Against all pairs of fingerprints: the least id of each class stays, null ids last."""
     rng = random.Random(11)
     words = [f"w{i}" for i in range(2000)]
-    texts = ["", None, " \n", "w1", "W1 ", "w1 w2", "w1 w2 w3 w4 w5"]
-    for size in [1] * 5 + [2] * 30 + [5, 40]:
-        base = " ".join(rng.choices(words, k=rng.choice((12, 60, 200, 600))))
-        texts += [base] + [edited(rng, words, base) for _ in range(size - 1)]
-    rng.shuffle(texts)
+    texts = ["", None, " \n", "w1", "W1 ", "w1 w2"]
+    for _ in range(12):
+        base = rng.choices(words, k=300)
+        texts += [" ".join(base), " ".join(base) + " ", " ".join([*base[:150], rng.choice(words), *base[150:]])]
     pairs = list(enumerate(texts)) + [(3, texts[3]), (None, texts[3])]
-    sets = [word_sets(t) for t in texts]
-    alike = {(a, b): len(sets[a] & sets[b]) / len(sets[a] | sets[b]) for a, b in itertools.combinations(range(len(texts)), 2) if sets[a] & sets[b]}
-    near = [p for p, x in alike.items() if x >= 0.8]
-    assert sum(x < 0.97 for x in alike.values() if x >= 0.8) > 30 and sum(0.5 < x < 0.8 for x in alike.values()) > 30
+    fp = simhash.fingerprints(texts).view(np.uint64)
+    near = [(a, b) for a, b in itertools.combinations(range(len(texts)), 2) if int(fp[a] ^ fp[b]).bit_count() <= 2]
     want = sorted(set(joined(range(len(texts)), near).values()))
-    docs = docs_of(pairs)
-    got = near_copies.drop_near_copies(stored(docs, "t"))
-    assert got.dtypes == docs.dtypes
-    assert sorted(r.doc_id for r in got.collect()) == want
-    through = corpus_pipeline.near_dedup(spark, stored(docs, "t"), "")
-    assert sorted(r.doc_id for r in through.collect()) == want
-
-
-def test_text_banding_recall():
-    """At a similarity of just 0.8 all pairs share a band, and the share of equal MinHash values is the similarity."""
-    rng = np.random.default_rng(12)
-    met = 0
-    for n in (9, 90, 900):
-        for _ in range(300):
-            h = np.unique(rng.integers(0, 1 << 64, n + n // 9, np.uint64))
-            cut = n // 9
-            met += (near_copies.band_keys(h[cut:]) == near_copies.band_keys(h[:n])).any()
-    assert met >= 899
+    docs = stored(docs_of(pairs), "t")
+    got = corpus_pipeline.near_dedup(spark, docs, "")
+    assert got.dtypes == docs.dtypes and sorted(r.doc_id for r in got.collect()) == want
 
 
 def test_short_lines_are_copies_if_equal(docs_of):
@@ -296,7 +276,7 @@ def test_short_lines_are_copies_if_equal(docs_of):
     assert left == {0: texts[0], 1: "\n}\nabcdefghij klmnopq", 2: "abcdefghij klmnopr\n ", 4: None, 5: ""}
 
 
-@pytest.mark.parametrize("drop", [simhash.drop_near_duplicates, near_copies.drop_near_copies, line_dedup.drop_copied_lines])
+@pytest.mark.parametrize("drop", [simhash.drop_near_duplicates, line_dedup.drop_copied_lines])
 def test_rows_keep_their_numbers_when_files_are_split_anew(spark, docs_of, drop):
     """Between finding what goes and reading what stays, the scan is cut differently, as when executors come or go."""
     rng = random.Random(13)
