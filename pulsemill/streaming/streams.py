@@ -12,6 +12,7 @@ from ..operators.counters import counter_delta
 from ..operators.joins import null_safe_join
 from ..operators.select import OPEN_END
 from ..operators.state import inventory_history, scd2_build
+from ..session import drop_path, path_exists
 
 
 def stream_dedup(events: DataFrame, keys, ts: str, delay: str) -> DataFrame:
@@ -73,15 +74,82 @@ class BatchState:
         return spark.read.parquet(self._folder(batch))
 
 
-def _each_batch(work: Callable[[DataFrame, int], None]) -> Callable[[DataFrame, int], None]:
-    """Keep a micro-batch while ``work`` reads it several times; what an
-    executor loses is read from the source again."""
+class KeyedState:
+    """One row per key kept between micro-batches, as a log: a batch writes the keys it changes and no others.
+
+    Each batch has a folder.  That of every ``every``-th batch holds the whole
+    state, the others what changed; a key's row is the newest from the last
+    whole folder on.  Folders are sorted by ``buckets`` of the key's hash, so
+    a batch that names the buckets of its keys skips the files of the others.
+    A batch that runs again overwrites its own folder and reads those of
+    batches before it only.  The last whole folder but one stays with what follows it.
+    """
+
+    BATCH, BUCKET = "state_batch", "state_bucket"
+
+    def __init__(self, root: str, buckets: int = 256, every: int = 32):
+        self.root, self.buckets, self.every = root.rstrip("/"), buckets, every
+
+    def _folder(self, batch: int) -> str:
+        return f"{self.root}/batch={batch}"
+
+    def _bucket(self, keys: Sequence[str]) -> Column:
+        return F.pmod(F.xxhash64(*keys), F.lit(self.buckets)).cast("int").alias(self.BUCKET)
+
+    def _newest(self, spark: SparkSession, keys: Sequence[str], shape: T.StructType, batch: int, only: Sequence[int] | None) -> DataFrame:
+        stored = T.StructType([*shape.fields, T.StructField(self.BATCH, T.LongType()), T.StructField(self.BUCKET, T.IntegerType())])
+        first = batch - batch % self.every
+        rows = spark.read.schema(stored).parquet(*[self._folder(i) for i in range(first, batch + 1)])
+        if only is not None:
+            rows = rows.filter(F.col(self.BUCKET).isin(list(only)))
+        return newest_per_group(rows, keys, self.BATCH)
+
+    def before(self, like: DataFrame, keys: Sequence[str], batch: int, wanted: DataFrame) -> DataFrame:
+        """The rows of the keys in ``wanted`` as batch ``batch`` finds them, with the columns of ``like``."""
+        if batch == 0:
+            return like.filter(F.lit(False))
+        only = [r[0] for r in wanted.select(self._bucket(keys)).distinct().collect()]  # at most ``buckets``
+        held = self._newest(like.sparkSession, keys, like.schema, batch - 1, only).drop(self.BATCH, self.BUCKET)
+        return null_safe_join(held, wanted.select(*keys).distinct(), keys, "left_semi")
+
+    def write(self, changed: DataFrame, keys: Sequence[str], batch: int, keep: Column | None = None) -> None:
+        """``keep`` tells which rows still matter; the others go, with the next whole folder at the latest."""
+        spark = changed.sparkSession
+        rows = changed.withColumn(self.BATCH, F.lit(batch).cast("bigint")).withColumn(self.BUCKET, self._bucket(keys))
+        if batch and batch % self.every == 0:
+            rows = newest_per_group(rows.unionByName(self._newest(spark, keys, changed.schema, batch - 1, None)), keys, self.BATCH)
+        if keep is not None:
+            rows = rows.filter(keep)
+        (rows.repartitionByRange(self.BUCKET).sortWithinPartitions(self.BUCKET)
+         .write.mode("overwrite").parquet(self._folder(batch)))
+        if batch % self.every == 0:
+            for old in range(max(0, batch - 2 * self.every), batch - self.every):
+                drop_path(spark, self._folder(old))
+
+    def read(self, spark: SparkSession, keys_of: Callable[[Sequence[str]], Sequence[str]], batch: int) -> DataFrame:
+        """The whole state after a batch; ``keys_of`` picks the keys among its columns."""
+        shape = spark.read.parquet(self._folder(batch)).drop(self.BATCH, self.BUCKET).schema
+        return self._newest(spark, keys_of(shape.names), shape, batch, None).drop(self.BATCH, self.BUCKET)
+
+
+Hold = Callable[[DataFrame], DataFrame]
+
+
+def _each_batch(work: Callable[[DataFrame, int, Hold], None]) -> Callable[[DataFrame, int], None]:
+    """Keep a micro-batch while ``work`` reads it several times, and what ``work`` asks to hold
+    (rows of the batch's keys); what an executor loses is read from the sources again."""
     def run(batch: DataFrame, batch_id: int) -> None:
-        batch.persist()
+        held = [batch.persist()]
+
+        def hold(df: DataFrame) -> DataFrame:
+            held.append(df.persist())
+            return held[-1]
+
         try:
-            work(batch, batch_id)
+            work(batch, batch_id, hold)
         finally:
-            batch.unpersist()
+            for df in reversed(held):
+                df.unpersist()
     return run
 
 
@@ -91,7 +159,7 @@ def _write_batch(df: DataFrame, batch: int, path: str) -> None:
      .option("partitionOverwriteMode", "dynamic").partitionBy("batch_id").parquet(path))
 
 
-def _start(stream: DataFrame, run: Callable[[DataFrame, int], None], checkpoint: str,
+def _start(stream: DataFrame, run: Callable[[DataFrame, int, Hold], None], checkpoint: str,
            trigger: Mapping[str, object] | None) -> StreamingQuery:
     """``trigger`` as in ``DataStreamWriter.trigger``; by default what is there is drained, then the query ends."""
     return (stream.writeStream.foreachBatch(_each_batch(run)).option("checkpointLocation", checkpoint)
@@ -118,98 +186,131 @@ def stream_counter_delta(snapshots: DataFrame, keys, ts: str, counters: Sequence
     ``expire_s``: an entity that has been silent for longer than this, by the
     newest stamp, is forgotten and starts over when it comes back.  Take the
     gap limit, or more: a longer gap gives no delta anyhow.
+
+    A batch reads and writes the released rows of its own entities
+    (``KeyedState``); those held back are written with every batch.
     """
     keys = names(keys)
     keep = [*keys, ts, *counters, *(c for c in (epoch, clock) if c)]
-    state = BatchState(state_root)
+    waits, released = BatchState(state_root), KeyedState(f"{state_root.rstrip('/')}/released")
     if options.get("prev", "row") != "row":
         raise ValueError("a stream compares with the entity's own previous row")
 
-    def run(batch: DataFrame, batch_id: int) -> None:
-        # role: 'base' the last released row of an entity, 'wait' a row held back.
+    def run(batch: DataFrame, batch_id: int, hold: Hold) -> None:
+        # role: 'wait' a row held back, 'mark' (no keys) the newest stamp so far.
         rows = batch.select(*keep, F.lit("wait").alias("role"))
-        held = state.before(rows, batch_id)
+        held = waits.before(rows, batch_id)
         everything = rows if held is None else rows.unionByName(held)
         newest = everything.select(F.max(ts)).scalar()
-        waiting = everything.filter("role = 'wait'")
-        due = waiting.filter(F.col(ts) <= F.timestamp_add("SECOND", F.lit(-delay_s), newest))
-        base = everything.filter("role = 'base'")
-        last = base.select(*keys, F.struct(ts).alias("_last"))
-        placed = null_safe_join(due, last, keys, "left")
+        limit = F.timestamp_add("SECOND", F.lit(-delay_s), newest)
+        waiting = everything.filter("role = 'wait'").drop("role")
+        due = hold(waiting.filter(F.col(ts) <= limit))
+        base = hold(released.before(due, keys, batch_id, due))
+        fresh = None
+        if expire_s is not None:
+            known = everything.filter("role = 'mark'").select(F.max(ts)).scalar()
+            base = base.filter(F.col(ts) >= F.timestamp_add("SECOND", F.lit(-expire_s), known))
+            fresh = F.col(ts) >= F.timestamp_add("SECOND", F.lit(-expire_s), newest)
+        placed = hold(null_safe_join(due, base.select(*keys, F.struct(ts).alias("_last")), keys, "left"))
         late = _at_or_before([ts], "_last")
-        _write_batch(placed.filter(late).drop("role", "_last"), batch_id, f"{state.root}/late")
+        _write_batch(placed.filter(late).drop("_last"), batch_id, f"{waits.root}/late")
         on_time = placed.filter(~late).drop("_last")
-        deltas = counter_delta(base.unionByName(on_time), keys, ts, counters, epoch=epoch, clock=clock, **options)
+        both = base.withColumn("role", F.lit("base")).unionByName(on_time.withColumn("role", F.lit("wait")))
+        deltas = counter_delta(both, keys, ts, counters, epoch=epoch, clock=clock, **options)
         _write_batch(deltas.filter("role = 'wait'").drop("role"), batch_id, out)
-        released = newest_per_group(base.unionByName(on_time), keys, ts).withColumn("role", F.lit("base"))
-        if expire_s is not None:
-            released = released.filter(F.col(ts) >= F.timestamp_add("SECOND", F.lit(-expire_s), newest))
-        still = waiting.filter(F.col(ts) > F.timestamp_add("SECOND", F.lit(-delay_s), newest))
-        state.write(released.unionByName(still), batch_id)
+        released.write(newest_per_group(both.drop("role"), keys, ts), keys, batch_id, fresh)
+        still = waiting.filter(F.col(ts) > limit).withColumn("role", F.lit("wait"))
+        mark = everything.agg(F.max(ts).alias(ts)).filter(F.col(ts).isNotNull()).withColumn("role", F.lit("mark"))
+        waits.write(still.unionByName(mark, allowMissingColumns=True), batch_id)
 
     return _start(snapshots, run, checkpoint, trigger)
 
 
 class StreamedHistory:
-    """A history kept by a stream: open rows as state, closed rows append-only."""
+    """A history kept by a stream: open rows as state, closed rows append-only.
+
+    Full inventories rewrite their open rows with each poll (``open``); where
+    a batch changes some keys only, open rows are a log (``current``), stored
+    as keys, value, valid_from and valid_to.
+    """
 
     def __init__(self, root: str):
         self.root = root.rstrip("/")
         self.open_rows = BatchState(f"{self.root}/open")
+        self.current = KeyedState(f"{self.root}/current")
         self.closed = f"{self.root}/closed"
 
-    def write(self, history: DataFrame, batch: int) -> None:
+    def write(self, history: DataFrame, batch: int, keys: Sequence[str] | None = None) -> None:
+        """With ``keys`` the batch's open rows replace those of the same keys, otherwise all of them."""
         still_open = F.col("valid_to") == F.lit(OPEN_END).cast("timestamp")
         _write_batch(history.filter(~still_open), batch, self.closed)
-        self.open_rows.write(history.filter(still_open), batch)
+        if keys is None:
+            self.open_rows.write(history.filter(still_open), batch)
+        else:
+            value = next(c for c in history.columns if c not in {*keys, "valid_from", "valid_to"})
+            self.current.write(history.filter(still_open).select(*keys, value, "valid_from", "valid_to"), keys, batch)
 
     def read(self, spark: SparkSession, batch: int) -> DataFrame:
         """The history as of a batch."""
-        now = self.open_rows.read(spark, batch)
+        if path_exists(spark, self.current.root):
+            now = self.current.read(spark, lambda columns: columns[:-3], batch)
+        else:
+            now = self.open_rows.read(spark, batch)
         shape = T.StructType([*now.schema.fields, T.StructField("batch_id", T.IntegerType())])
         closed = spark.read.schema(shape).parquet(self.closed)
         return now.unionByName(closed.filter(F.col("batch_id") <= batch).drop("batch_id"))
 
 
 def stream_scd2(observations: DataFrame, keys, ts: str, value: str, root: str, checkpoint: str,
-                order: Sequence[str] = (), delay_s: int = 0, trigger: Mapping[str, object] | None = None) -> StreamingQuery:
+                order: Sequence[str] = (), delay_s: int = 0, trigger: Mapping[str, object] | None = None,
+                expire_s: int | None = None) -> StreamingQuery:
     """M4: a history kept by micro-batches of observations, exact for rows up to ``delay_s`` out of order.
 
     A batch may change a key several times: its observations and the open
     rows give one history (H2); what that closes is appended, what stays
-    open is the next state.  Work grows with the batch and the open rows,
-    not with the history.  Observations newer than (newest stamp - delay)
+    open is the next state.  A batch reads and writes the open rows of its
+    own keys (``KeyedState``), not all of them and no history.  Observations newer than (newest stamp - delay)
     wait.  One at or before the last that its key has taken in is late: it
     can't change rows already closed, so it goes to ``<root>/late``, by
     batch, and the history stays free of overlaps.
+
+    ``expire_s``: an observation older than this, by the newest stamp of the
+    batches before, is late for every key; so what a key has taken in last is
+    forgotten after that time.  Open rows stay, they are the result.
     """
     keys, history = names(keys), StreamedHistory(root)
     position = ["observed_at", *order]
-    # role: 'wait' an observation held back, 'last' the last one a key has taken in.
-    pending = BatchState(f"{history.root}/pending")
+    pending, marks = BatchState(f"{history.root}/pending"), KeyedState(f"{history.root}/last")
 
-    def run(batch: DataFrame, batch_id: int) -> None:
+    def run(batch: DataFrame, batch_id: int, hold: Hold) -> None:
+        # role: 'wait' an observation held back, 'mark' (no keys) the newest stamp so far.
         seen = batch.select(*keys, F.col(ts).alias("observed_at"), *order, value, F.lit("wait").alias("role"))
         held = pending.before(seen, batch_id)
         everything = seen if held is None else seen.unionByName(held)
         newest = everything.select(F.max("observed_at")).scalar()
         limit = F.timestamp_add("SECOND", F.lit(-delay_s), newest)
-        waiting = everything.filter("role = 'wait'")
-        last = everything.filter("role = 'last'")
-        placed = null_safe_join(waiting.filter(F.col("observed_at") <= limit),
-                                last.select(*keys, F.struct(*position).alias("_last")), keys, "left")
-        late = _at_or_before(position, "_last")
-        _write_batch(placed.filter(late).drop("role", "_last"), batch_id, f"{history.root}/late")
+        waiting = everything.filter("role = 'wait'").drop("role")
+        due = hold(waiting.filter(F.col("observed_at") <= limit))
+        last = hold(marks.before(due.select(*keys, *position), keys, batch_id, due))
+        placed = hold(null_safe_join(due, last.select(*keys, F.struct(*position).alias("_last")), keys, "left"))
+        late, fresh = _at_or_before(position, "_last"), None
+        if expire_s is not None:
+            known = everything.filter("role = 'mark'").select(F.max("observed_at")).scalar()
+            late = late | F.coalesce(F.col("observed_at") < F.timestamp_add("SECOND", F.lit(-expire_s), known), F.lit(False))
+            fresh = F.col("observed_at") >= F.timestamp_add("SECOND", F.lit(-expire_s), newest)
+        _write_batch(placed.filter(late).drop("_last"), batch_id, f"{history.root}/late")
         taken = placed.filter(~late).drop("_last")
         shape = taken.select(*keys, value, F.col("observed_at").alias("valid_from"), F.col("observed_at").alias("valid_to"))
-        opened = history.open_rows.before(shape, batch_id)
-        rows = taken.drop("role")
-        if opened is not None:
-            opened = opened.select(*keys, F.col("valid_from").alias("observed_at"), value)
-            rows = rows.unionByName(opened, allowMissingColumns=True)
-        history.write(scd2_build(rows, keys, "observed_at", value, order), batch_id)
-        kept = newest_per_group(last.unionByName(taken), keys, position).withColumn("role", F.lit("last"))
-        pending.write(kept.unionByName(waiting.filter(F.col("observed_at") > limit)), batch_id)
+        opened = hold(history.current.before(shape, keys, batch_id, taken))
+        opened = opened.select(*keys, F.col("valid_from").alias("observed_at"), value)
+        rows = taken.unionByName(opened, allowMissingColumns=True)
+        history.write(hold(scd2_build(rows, keys, "observed_at", value, order)), batch_id, keys)
+        kept = newest_per_group(last.unionByName(taken.select(*keys, *position)), keys, position)
+        marks.write(kept, keys, batch_id, fresh)
+        still = waiting.filter(F.col("observed_at") > limit).withColumn("role", F.lit("wait"))
+        mark = (everything.agg(F.max("observed_at").alias("observed_at")).filter(F.col("observed_at").isNotNull())
+                .withColumn("role", F.lit("mark")))
+        pending.write(still.unionByName(mark, allowMissingColumns=True), batch_id)
 
     return _start(observations, run, checkpoint, trigger)
 
@@ -227,7 +328,7 @@ def stream_inventory(inventories: DataFrame, keys, ts: str, value: str, root: st
     # role: 'wait' a row held back, 'poll' (no keys, no value) the last poll taken in.
     pending = BatchState(f"{history.root}/pending")
 
-    def run(batch: DataFrame, batch_id: int) -> None:
+    def run(batch: DataFrame, batch_id: int, hold: Hold) -> None:
         seen = batch.select(*keys, value, F.col(ts).alias("at"), F.lit("wait").alias("role"))
         held = pending.before(seen, batch_id)
         everything = seen if held is None else seen.unionByName(held)

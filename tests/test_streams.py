@@ -1,7 +1,9 @@
 """M: streams fed in order, shuffled within the delay, and late beyond it."""
 
+import os
 import random
 from datetime import datetime
+from functools import partial
 
 import pytest
 from helpers import frame, rows, ts
@@ -145,6 +147,64 @@ def test_observations_within_the_delay_are_put_in_order(spark, tmp_path):
     assert got == rows(want, "k", "v", "valid_from", "valid_to")
 
 
+STATE = "k string, v int"
+
+
+def test_a_log_of_keyed_state_equals_a_table_rewritten_each_batch(spark, tmp_path):
+    r = random.Random(7)
+    state, want, root = streams.KeyedState(str(tmp_path / "s"), buckets=8, every=3), {}, tmp_path / "s"
+    for batch in range(8):
+        changed = {r.choice([None, *"abcdefghij"]): r.randrange(99) for _ in range(3)} if batch != 4 else {}
+        asked = [*changed, "unknown"]
+        got = state.before(frame(spark, STATE, []), ["k"], batch, frame(spark, "k string", [(k,) for k in asked]))
+        assert rows(got, "k", "v") == rows(frame(spark, STATE, [(k, want[k]) for k in changed if k in want]), "k", "v")
+        for _ in range(1 + batch % 2):  # every second batch runs twice
+            state.write(frame(spark, STATE, list(changed.items())), ["k"], batch)
+        want |= changed
+        assert rows(state.read(spark, lambda c: c[:1], batch)) == rows(frame(spark, STATE, list(want.items())))
+        # Only a whole folder holds more than the batch changed.
+        written = spark.read.parquet(str(root / f"batch={batch}")).count()
+        assert written == (len(want) if batch % 3 == 0 else len(changed))
+    assert sorted(os.listdir(root)) == sorted(f"batch={b}" for b in range(3, 8))
+
+
+def test_a_batch_reads_and_writes_the_buckets_of_its_keys(spark, tmp_path):
+    state = streams.KeyedState(str(tmp_path / "s"))
+    state.write(spark.range(20000).selectExpr("cast(id AS string) AS k", "cast(id AS int) AS v"), ["k"], 0)
+    size = lambda b: sum(f.stat().st_size for f in (tmp_path / "s" / f"batch={b}").glob("*.parquet"))
+    state.write(frame(spark, STATE, [("7", 1)]), ["k"], 1)
+    assert size(1) < size(0) / 20
+    got = state.before(frame(spark, STATE, []), ["k"], 2, frame(spark, "k string", [("7",), ("8",)]))
+    assert rows(got) == [("7", 1), ("8", 8)]
+    assert "PushedFilters: [In(state_bucket" in got._jdf.queryExecution().toString()
+
+
+def test_deltas_and_histories_over_whole_folders_and_a_restart(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(streams, "KeyedState", partial(streams.KeyedState, buckets=4, every=2))
+    data = counter_rows()
+    p = {n: str(tmp_path / n) for n in ("src", "out", "state", "ck")}
+    for part in (data[:60], data[60:]):
+        s = feed(spark, p["src"], SNAP, [part[:31], part[31:]])
+        streams.stream_counter_delta(s, "k", "ts", ["n"], p["out"], p["state"], p["ck"], epoch="epoch", drop_zero=False).awaitTermination()
+    assert rows(spark.read.parquet(p["out"]), "k", "ts", "delta_n") == batch_delta(spark, data)
+    r = random.Random(5)
+    seen = [(k, ts(i), r.choice("xy")) for i in range(12) for k in ("a", "b", None)]
+    got, _ = history_of(spark, tmp_path / "h", [seen[i:i + 13] for i in range(0, len(seen), 13)])
+    assert got == rows(scd2_build(frame(spark, "k string, ts timestamp, v string", seen), "k", "ts", "v"), "k", "v", "valid_from", "valid_to")
+
+
+def test_marks_of_silent_keys_expire_and_older_observations_are_late(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(streams, "KeyedState", partial(streams.KeyedState, every=1))
+    got, folder = history_of(spark, tmp_path, [
+        [("a", ts(0), "A"), ("b", ts(0), "B")], [("b", ts(30), "C")],
+        [("a", ts(3), "X"), ("n", ts(3), "N"), ("b", ts(31), "C")],  # before the limit: late, even for a new key
+        [("a", ts(32), "D")]], expire_s=24 * 3600)
+    end = datetime(9999, 12, 31, 23, 59, 59)
+    assert got == [("a", "A", ts(0), ts(32)), ("a", "D", ts(32), end), ("b", "B", ts(0), ts(30)), ("b", "C", ts(30), end)]
+    assert rows(spark.read.parquet(f"{folder}/late"), "k", "v") == [("a", "X"), ("n", "N")]
+    assert rows(spark.read.parquet(f"{folder}/last/batch=2"), "k") == [("b",)]
+
+
 @pytest.mark.parametrize("hold", [True, False])
 def test_streamed_inventories_close_vanished_keys(spark, tmp_path, hold):
     polls = [[("a", "1", ts(0)), ("b", "1", ts(0))], [("a", "2", ts(1))], [("a", "2", ts(2)), ("b", "1", ts(2)), ("c", None, ts(2))], [("a", "2", ts(3))]]
