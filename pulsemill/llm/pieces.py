@@ -19,7 +19,9 @@ run of texts, and numpy moves all words along together.
 from __future__ import annotations
 
 import re
+from collections import defaultdict
 from dataclasses import dataclass
+from itertools import chain, count
 
 import numpy as np
 import pyarrow as pa
@@ -150,10 +152,11 @@ def build_lattice(words: list[str], vocabulary: Vocabulary) -> Lattice:
     single = v.weight[piece]
     single[bare] = v.fallback * _byte_counts(points[bare])
     # Nodes are ranked by what is left of their word, so that suffix sums go through slices.
-    by_left = np.argsort(left, kind="stable")
+    # Small integers sort by radix.
+    by_left = np.argsort(left.astype(np.uint16) if total and left.max() < 1 << 16 else left, kind="stable")
     rank = np.empty(total + 1, np.int32)
     rank[by_left] = np.arange(total, dtype=np.int32)
-    nodes, steps, pieces, weights = [np.arange(total, dtype=np.int32)], [np.ones(total, np.int32)], [piece], [single]
+    nodes, pieces = [np.arange(total, dtype=np.int32)], [piece]
     at, state = nodes[0], v.moves[0, classes]
     at, state = at[state > 0], state[state > 0]
     depth = 1
@@ -167,15 +170,21 @@ def build_lattice(words: list[str], vocabulary: Vocabulary) -> Lattice:
         done = v.ends[state]
         hit = done >= 0
         nodes.append(at[hit])
-        steps.append(np.full(len(nodes[-1]), depth, np.int32))
         pieces.append(done[hit])
-        weights.append(v.weight[pieces[-1]])
-    node, step, piece, weight = (np.concatenate(x) for x in (nodes, steps, pieces, weights))
-    own = rank[node]
-    order = np.argsort(own, kind="stable")
-    node, step, piece, weight, own = node[order], step[order], piece[order], weight[order], own[order]
-    count = np.bincount(own, minlength=total)
+    # A node has at most one edge of each length, so its edges find their places by length without a sort.
+    filled = np.zeros(total, np.int64)
+    for at in nodes:
+        filled[at] += 1
+    count = filled[by_left]
     first = np.cumsum(count) - count
+    edges = int(count.sum())
+    node, step, piece, weight = np.empty(edges, np.int32), np.empty(edges, np.int32), np.empty(edges, np.int32), np.empty(edges)
+    place = first[rank[:total]]
+    for k, (at, ids) in enumerate(zip(nodes, pieces), 1):
+        to = place[at]
+        node[to], step[to], piece[to] = at, k, ids
+        weight[to] = single if k == 1 else v.weight[ids]
+        place[at] += 1
     rank[total] = total
     target = np.where(step == left[node], total, rank[np.minimum(node + step, total)])
     # A node's suffix sum is taken relative to its one-character edge, which is always its first.
@@ -247,8 +256,8 @@ class Search:
     def __init__(self, texts: list[str], keys: np.ndarray, vocabulary: Vocabulary) -> None:
         joined = [BLANK + t.replace(" ", BLANK) if t else "" for t in texts]
         words = [_WORDS.findall(t) for t in joined]
-        index: dict[str, int] = {}
-        kinds = np.array([index.setdefault(w, len(index)) for ws in words for w in ws], np.int64)
+        index: defaultdict[str, int] = defaultdict(count().__next__)
+        kinds = np.fromiter(map(index.__getitem__, chain.from_iterable(words)), np.int64, sum(map(len, words)))
         self.v, self.lattice = vocabulary, build_lattice(list(index), vocabulary)
         self.bounds = np.concatenate([[0], np.cumsum([len(t) for t in joined])]).astype(np.int64)
         sizes = self.lattice.sizes[kinds]
