@@ -57,6 +57,78 @@ def select_by_patterns(df: DataFrame, col: str, spec: str,
     return out
 
 
+#: Characters of the longest inner fragment of a pattern by which names are looked up.
+GRAM = 3
+
+
+def _pattern_keys(patterns: DataFrame) -> DataFrame:
+    """Patterns by what a name must have: text before the first '%', text after the last, a gram of what lies between.
+
+    ``_like`` is null where these say it all.
+    """
+    text = F.when(F.col("_p").startswith("[") & F.col("_p").endswith("]"),
+                  F.replace(F.expr("substring(_p, 2, length(_p) - 2)"), F.lit("]]"), F.lit("]"))).otherwise(F.col("_p"))
+    split = patterns.select("_out", "_at", F.split(F.upper(text), "%").alias("_parts"))
+    between = F.filter(F.slice("_parts", 2, F.greatest(F.size("_parts") - 2, F.lit(0))), lambda x: x != "")
+    longest = F.aggregate("_between", F.lit(""), lambda best, x: F.when(F.length(x) > F.length(best), x).otherwise(best))
+    escaped = F.replace(F.replace(F.array_join("_parts", "%"), F.lit("\\"), F.lit("\\\\")), F.lit("_"), F.lit("\\_"))
+    exact = F.size("_parts") == 1
+    return (split.withColumn("_between", between).groupBy(
+        exact.alias("_exact"), F.element_at("_parts", 1).alias("_prefix"),
+        F.when(exact, "").otherwise(F.element_at("_parts", -1)).alias("_suffix"),
+        F.substring(longest, 1, GRAM).alias("_gram"),
+        F.when(F.size("_between") > 0, escaped).alias("_like"))
+        .agg(F.min(F.when(~F.col("_out"), F.col("_at"))).alias("_in"), F.max("_out").alias("_gone")))
+
+
+def select_by_pattern_table(df: DataFrame, col: str, patterns: DataFrame, pattern: str = "pattern",
+                            position: str = "position", classes: Mapping[str, Column] | None = None) -> DataFrame:
+    """B19 for lists of any length: as ``select_by_patterns``, with the list's items as rows of a table.
+
+    Different names meet the patterns in an equi join.  A pattern's key is its
+    text before the first '%', that after the last and up to three characters
+    of its longest text between; a name has one key for each combination of
+    lengths in the list, and each of its substrings where there is text
+    between.  Only patterns with such text are compared with LIKE.
+
+    ``match_position`` is the least position of an item that includes the row.
+    Null and blank items count for nothing; a null name fits class words only.
+    An excluding class word whose test is null excludes.
+    """
+    classes = {"ALL": F.lit(True), **{k.upper(): v for k, v in (classes or {}).items()}}
+    text = F.regexp_replace(F.regexp_replace(F.col(pattern), "[\\r\\n]", ""), "^\\s+|\\s+$", "")
+    out = F.col("_p").startswith("-")
+    items = (patterns.select(text.alias("_p"), F.col(position).alias("_at")).filter(F.col("_p") != "")
+             .select(out.alias("_out"), F.when(out, F.expr("substring(_p, 2)")).otherwise(F.col("_p")).alias("_p"), "_at"))
+    is_word = F.upper("_p").isin(list(classes))
+    keyed, words = _pattern_keys(items.filter(~is_word)), items.filter(is_word)
+
+    shape = F.struct("_exact", F.length("_prefix").alias("p"), F.length("_suffix").alias("s"), F.length("_gram").alias("g"))
+    size = F.length("_name")
+    fits = lambda x: F.when(x["_exact"], x["p"] == size).otherwise(x["p"] + x["s"] + x["g"] <= size)
+    grams = F.when(F.col("g") == 0, F.array(F.lit(""))).otherwise(F.array_distinct(F.transform(
+        F.sequence(F.lit(1), size - F.col("g") + 1), lambda at: F.substring(F.col("_name"), at, F.col("g")))))
+    names = (df.select(F.upper(col).alias("_name")).filter(F.col("_name").isNotNull()).distinct()
+             .withColumn("_shapes", keyed.select(F.collect_set(shape)).scalar())
+             .select("_name", F.inline(F.filter("_shapes", fits)))
+             .select("_name", "_exact", F.expr("left(_name, p)").alias("_prefix"), F.expr("right(_name, s)").alias("_suffix"),
+                     F.explode(grams).alias("_gram")))
+    found = (names.join(keyed, ["_exact", "_prefix", "_suffix", "_gram"]).filter("_like IS NULL OR _name LIKE _like")
+             .groupBy(F.col("_name").alias("_pattern_name"))
+             .agg(F.struct(F.min("_in").alias("at"), F.max("_gone").alias("gone")).alias("_pattern_hit")))
+
+    def said(word: str, excludes: bool, value: Column) -> Column:
+        return words.filter((F.upper("_p") == word) & (F.col("_out") == excludes)).select(value).scalar()
+
+    some = F.count(F.lit(1)) > 0
+    included = F.least(F.col("_pattern_hit.at"), F.lit(None), *[F.when(test, said(w, False, F.min("_at"))) for w, test in classes.items()])
+    excluded = reduce(Column.__or__, [F.coalesce("_pattern_hit.gone", F.lit(False)),
+                                      *[test & said(w, True, some) for w, test in classes.items()]])
+    return (df.join(found, F.upper(F.col(col)) == F.col("_pattern_name"), "left")
+            .select(*[F.col(c) for c in df.columns], included.alias("match_position"), excluded.alias("_pattern_out"))
+            .filter("match_position IS NOT NULL AND NOT _pattern_out").drop("_pattern_out"))
+
+
 def _clock(seconds: Column) -> Column:
     return F.date_format(F.timestamp_seconds(seconds), "HH:mm:ss")
 

@@ -11,7 +11,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.columns import datediff_boundary
-from .chunked import CHUNK, names, with_group, with_previous, with_row_number
+from .chunked import CHUNK, names, number_rows, with_group, with_previous, with_row_number
 
 
 def grouped(df: DataFrame, keys, **aggs: Column) -> DataFrame:
@@ -79,6 +79,15 @@ def dense_rank_of_few(df: DataFrame, col: str, name: str) -> DataFrame:
     return df.join(ranked, F.col(col).eqNullSafe(F.col("_v")), "left").drop("_v")
 
 
+def dense_rank_of_many(df: DataFrame, col: str, name: str) -> DataFrame:
+    """F4 for any number of values: they are numbered by ranges (``number_rows``), so no task ranks them all.
+
+    Nulls come first, as in ``dense_rank_of_few``.
+    """
+    ranked = number_rows(df.select(F.col(col).alias("_v")).distinct(), "_v", name)
+    return df.join(ranked, F.col(col).eqNullSafe(F.col("_v")), "left").drop("_v")
+
+
 def duration_anomaly(runs: DataFrame, key, ts: str, duration_ms: str, n: int = 10, factor: float = 10,
                      floor_ms: int = 60_000, chunk: Column | None = None, block: int = 100_000) -> DataFrame:
     """is a run slower than ``factor`` x the mean of its previous ``n`` finished runs?

@@ -116,6 +116,20 @@ def _(t):
         "p_partkey", "match_position")
 
 
+@check("b19_pattern_table", """WITH list AS (SELECT c_custkey AS position, c_custkey % 5 = 2 AS gone, CASE c_custkey % 5 WHEN 0 THEN 'Customer#%' || right(c_name, 3)
+WHEN 1 THEN '%' || right(c_name, 3) || '%' || right(c_name, 1) WHEN 4 THEN left(c_name, 17) || '%' ELSE c_name END AS pattern FROM customer WHERE c_nationkey < 5),
+met AS (SELECT c_custkey, min(CASE WHEN NOT gone THEN position END) AS match_position, bool_or(gone) AS gone FROM customer JOIN list ON c_name LIKE pattern GROUP BY c_custkey)
+SELECT c_custkey, match_position FROM met WHERE match_position IS NOT NULL AND NOT gone""")
+def _(t):
+    name, last = F.col("c_name"), lambda n: F.right("c_name", F.lit(n))
+    kind = F.col("c_custkey") % 5
+    item = (F.when(kind == 0, F.concat(F.lit("customer#%"), last(3))).when(kind == 1, F.concat(F.lit("%"), last(3), F.lit("%"), last(1)))
+            .when(kind == 2, F.concat(F.lit("-"), name)).when(kind == 3, F.concat(F.lit(" ["), F.lower(name), F.lit("]")))
+            .otherwise(F.concat(F.left(name, F.lit(17)), F.lit("%"))))
+    listed = t.customer.filter("c_nationkey < 5").select(item.alias("pattern"), F.col("c_custkey").alias("position"))
+    return x.select_by_pattern_table(t.customer, "c_name", listed).select("c_custkey", "match_position")
+
+
 _BITS = "concat_ws(chr(10), " + ", ".join(f"CASE WHEN {{0}} & {b} = {b} THEN '{n}' END" for b, n in x.WEEKDAY_BITS.items()) + ")"
 
 

@@ -202,6 +202,11 @@ def _(t):
     return aggregate.dense_rank_of_few(t.events, "event_type", "type_rank").select("event_id", "type_rank")
 
 
+@check("f4_dense_rank_many", "SELECT o_orderkey, dense_rank() OVER (ORDER BY o_totalprice) AS price_rank FROM orders")
+def _(t):
+    return aggregate.dense_rank_of_many(t.orders, "o_totalprice", "price_rank").select("o_orderkey", "price_rank")
+
+
 @check("f5_sum_over", "SELECT o_orderkey, o_custkey, count(*) OVER (PARTITION BY o_custkey) AS orders_of_customer FROM orders")
 def _(t):
     return chunked.with_group(t.orders.select("o_orderkey", "o_custkey"), "o_custkey", {"orders_of_customer": F.count(F.lit(1))})

@@ -1,5 +1,8 @@
 """B: edge cases of the column functions."""
 
+import random
+import re
+
 import pytest
 from helpers import frame, rows, ts
 from pyspark.sql import functions as F
@@ -69,6 +72,38 @@ def test_pattern_lists(spark):
     assert pick("[b%]") == [("B%", 1)] and pick("-a") == [] and len(pick("ALL")) == 5
 
 
+def _table(spark, items):
+    return frame(spark, "position int, pattern string", list(enumerate(items, 1)))
+
+
+def test_pattern_table_equals_list(spark):
+    df = frame(spark, "n string, system boolean", [("master", True), ("tmp_1", False), ("tmpx1", False), ("a", False), ("B%", False), ("a\\\\b", None), ("", False), ("a", True)])
+    classes = {"user": ~F.col("system")}
+    for spec in ("USER, -tmp%, master", "A ,tmp_1\n", "[b%]", "-a", "ALL", "%", "%a%", "%s%e%", "tmp%1, -%_%", "ALL, -USER", "a\\\\%", "%t%r, m%r", "ma%aster", "m%s%r,-MASTER", " , ,a"):
+        want = rows(x.select_by_patterns(df, "n", spec, classes).filter("match_position IS NOT NULL"), "n", "match_position")
+        assert rows(x.select_by_pattern_table(df, "n", _table(spark, spec.split(",")), classes=classes), "n", "match_position") == want, spec
+
+
+def test_pattern_table_of_many_items(spark):
+    rng = random.Random(5)
+    word = lambda most: "".join(rng.choice("abc") for _ in range(rng.randint(0, most)))
+    names = [word(7) for _ in range(400)] + ["abc"] * 300 + [None] * 3
+    items = [None, ""] + [rng.choice(["", "", "-"]) + "%".join(word(3) for _ in range(rng.randint(1, 4))) for _ in range(60)] + [f"none{i}%{i}" for i in range(10_000)]
+    items = [i for i in items if i is None or i.strip("-%")]
+    got = x.select_by_pattern_table(frame(spark, "n string, _in int", [(n, 0) for n in names]), "n", _table(spark, items))
+    fit = lambda n, p: re.fullmatch(".*".join(map(re.escape, p.split("%"))), n) is not None
+    want = []
+    for n in names:
+        if n is None:
+            continue
+        at = [k for k, p in enumerate(items[:70], 1) if p and not p.startswith("-") and fit(n, p)]
+        if at and not any(fit(n, p[1:]) for p in items[:70] if p and p.startswith("-")):
+            want.append((n, min(at)))
+    assert got.columns == ["n", "_in", "match_position"] and rows(got, "n", "match_position") == sorted(want) and want
+    empty = frame(spark, "position int, pattern string", [])
+    assert x.select_by_pattern_table(frame(spark, "n string", [("a",)]), "n", empty).count() == 0
+
+
 def test_range_texts(spark):
     t = lambda right: one(spark, c.range_text(F.lit("x"), F.lit(5), F.lit(None), F.lit(9), F.lit(right)))
     assert t(False) == "x > Infinity and x <= 5" and t(True) == "x >= 5 and x < 9"
