@@ -49,6 +49,43 @@ def distinct_count(df: DataFrame, col: str, name: str, keys=(), approximate: boo
     return df.groupBy(*names(keys)).agg(count.alias(name))
 
 
+def distinct_state(df: DataFrame, col: str, dims, approximate: bool = False) -> DataFrame:
+    """What is needed to count different values of ``col`` by any of ``dims`` later, without the rows.
+
+    Exact for integers: a bitmap (4 KB) for each combination of dims and each
+    range of 32 768 values that occurs, so dense numbers (ids, keys in use)
+    stay small.  ``approximate`` keeps one sketch a combination, for any type.
+    Nulls don't count.  Keep it by day: a day's state is replaced or merged
+    (``merge_distinct``) when its rows change, other days are not read.
+    """
+    rows = df.filter(F.col(col).isNotNull())
+    if approximate:
+        return rows.groupBy(*names(dims)).agg(F.hll_sketch_agg(col).alias("distinct_sketch"))
+    value = F.col(col).cast("bigint")
+    return (rows.groupBy(*names(dims), F.bitmap_bucket_number(value).alias("distinct_range"))
+            .agg(F.bitmap_construct_agg(F.bitmap_bit_position(value)).alias("distinct_bits")))
+
+
+def merge_distinct(state: DataFrame, dims, *more: DataFrame) -> DataFrame:
+    """States brought together, or one state with fewer dims; values known to several count once."""
+    for other in more:
+        state = state.unionByName(other)
+    if "distinct_sketch" in state.columns:
+        return state.groupBy(*names(dims)).agg(F.hll_union_agg("distinct_sketch").alias("distinct_sketch"))
+    return state.groupBy(*names(dims), "distinct_range").agg(F.bitmap_or_agg("distinct_bits").alias("distinct_bits"))
+
+
+def distinct_from_state(state: DataFrame, name: str, dims=()) -> DataFrame:
+    """How many different values there are by ``dims``, from the state alone.
+
+    Groups without a value other than null have no row.
+    """
+    merged = merge_distinct(state, dims)
+    if "distinct_sketch" in state.columns:
+        return merged.select(*names(dims), F.hll_sketch_estimate("distinct_sketch").alias(name))
+    return merged.groupBy(*names(dims)).agg(F.sum(F.bitmap_count("distinct_bits")).alias(name))
+
+
 def text_of_parts(df: DataFrame, keys, part: str, order: Sequence[str], name: str,
                   sep: str = ", ") -> DataFrame:
     """A group's texts joined in order.

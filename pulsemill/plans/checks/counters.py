@@ -207,6 +207,17 @@ def _(t):
     return aggregate.dense_rank_of_many(t.orders, "o_totalprice", "price_rank").select("o_orderkey", "price_rank")
 
 
+@check("l10_distinct_state", """SELECT event_type AS of, count(DISTINCT user_id) AS users, count(DISTINCT event_id) AS events FROM events GROUP BY event_type
+UNION ALL SELECT strftime(ts, '%Y-%m'), count(DISTINCT user_id), count(DISTINCT event_id) FROM events GROUP BY 1""")
+def _(t):
+    rows = t.events.withColumn("day", F.to_date("ts"))
+    states = {n: aggregate.distinct_state(rows, col, ["event_type", "day"]) for n, col in (("users", "user_id"), ("events", "event_id"))}
+    of = {"event_type": F.col("event_type"), "month": F.date_format("day", "yyyy-MM")}
+    by = lambda dim: [aggregate.distinct_from_state(s.withColumn("of", of[dim]), n, "of") for n, s in states.items()]
+    first, second = (by(dim)[0].join(by(dim)[1], "of") for dim in of)
+    return first.unionByName(second)
+
+
 @check("f5_sum_over", "SELECT o_orderkey, o_custkey, count(*) OVER (PARTITION BY o_custkey) AS orders_of_customer FROM orders")
 def _(t):
     return chunked.with_group(t.orders.select("o_orderkey", "o_custkey"), "o_custkey", {"orders_of_customer": F.count(F.lit(1))})
