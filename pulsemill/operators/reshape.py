@@ -46,5 +46,5 @@ def unpivot_state(df: DataFrame, ids, cols: Sequence[str], key: str = "key", val
 
 
 def inline_table(spark: SparkSession, schema: str, rows: Sequence[tuple]) -> DataFrame:
-    """A small constant table."""
-    return spark.createDataFrame(rows, schema)
+    """A small constant table; joins broadcast it, so that its few keys don't gather a large table's rows in few tasks."""
+    return F.broadcast(spark.createDataFrame(rows, schema))

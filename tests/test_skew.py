@@ -80,3 +80,21 @@ def test_numbers_of_the_whole_table(hot, shuffled_joins):
     assert out.agg(F.min("no"), F.max("no"), F.count_distinct("no")).first() == (1, ROWS, ROWS)
     assert out.filter(F.col("no") != F.col("seq") + 1).count() == 0
     assert largest_task(chunked.number_rows(one_day, ["ts"], "no"), "no") < 0.25
+
+
+def test_joins_with_inline_tables_leave_the_fact_where_it_is(spark):
+    """A constant table has a few keys; a shuffle by them would gather the fact's rows in as few tasks."""
+    from pulsemill.operators import model, reshape
+
+    fact = spark.range(1000).select(F.pmod("id", F.lit(5)).cast("int").alias("k"), F.pmod("id", F.lit(2)).cast("string").alias("c"))
+    dims = [(model.dimension_rows(spark, {1: "Urgent", 2: "High"}, "code", "label"), "k"),
+            (model.junk_dimension(spark, "code string, label string", [("0", "Even")]), "c"),
+            (reshape.inline_table(spark, "code string, label string", [("0", "Even")]), "c")]
+    for dim, key in dims:
+        for how, n in (("inner", 400 if key == "k" else 500), ("left", 1000)):
+            out = fact.join(dim, F.col(key) == F.col("code"), how)
+            plan = out._jdf.queryExecution().executedPlan().toString()
+            assert "BroadcastHashJoin" in plan and "hashpartitioning" not in plan
+            assert out.count() == n
+    empty = reshape.inline_table(spark, "code string, label string", [])
+    assert fact.join(empty, F.col("c") == F.col("code"), "left").count() == 1000
