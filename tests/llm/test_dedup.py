@@ -298,7 +298,7 @@ def test_lists_of_lines_stream_over_batches():
     short = {p for (b, k), g in lists.items() if len(g) <= line_dedup.CAP for p in itertools.combinations(sorted(set(g)), 2)}
     got = run(3)
     assert short <= {(a, b) for a, b, _, _ in got if b is not None}
-    assert sorted((b << 24 | k, no) for (b, k), g in lists.items() if len(g) > line_dedup.CAP for no in g) == sorted((x, a) for a, _, x, _ in got if x is not None)
+    assert sorted((b << 24 | k, no) for (b, k), g in lists.items() if len(g) > line_dedup.CAP for no in g) == sorted((x, b) for _, b, x, _ in got if x is not None)
 
 
 def word_sets(text, words=5):
