@@ -270,6 +270,40 @@ def test_no_link_of_lines_is_lost(docs_of, monkeypatch, cap, small, similarity):
     assert all(r.component_size == len(mine[r.component]) for r in got)
 
 
+def test_copies_of_a_line_in_many_tasks_are_one(docs_of, monkeypatch):
+    """Lines that each task meets have keys and pairs once, and only lines with a pair are taken out to be compared."""
+    rng = random.Random(15)
+    lines = line_texts(rng, [1, 1, 3, 4])
+    docs = stored(docs_of([(i, "\n".join(rng.sample(lines, len(lines)))) for i in range(24)], parts=12), "t")
+    seen = {}
+
+    def keep(df, label, *rest):
+        out = stored(df, label, *rest)
+        if label in ("lines", "candidates", "pairs", "paired-lines"):
+            seen.setdefault(label, out.collect())
+        return out
+
+    monkeypatch.setattr(line_dedup, "stored", keep)
+    line_dedup.judge_lines(docs).collect()
+    hashes = {r.no: r.hash for r in seen["lines"] if r.no is not None}
+    assert len(hashes) > len(set(hashes.values())) == len(set(lines))
+    found = [(r.a, r.b) for r in seen["candidates"] if r.b is not None]
+    assert found and all(hashes[a] != hashes[b] for a, b in found if a != b)
+    assert {r.no for r in seen["paired-lines"]} == {no for r in seen["pairs"] for no in (r.a, r.b)}
+
+
+@pytest.mark.parametrize("words", [1 << 21, 0])
+def test_lines_are_picked_by_their_bits(spark, monkeypatch, words):
+    monkeypatch.setattr(line_dedup, "WORDS", words)
+    nos = [(t << 33) + i for t in range(3) for i in range(200)]
+    want = {no for no in nos if no % 7 == 0 or no % 64 == 63}
+    texts = spark.createDataFrame([(no, str(no)) for no in nos], "no long, text string")
+    some = texts.filter("no % 7 = 0 or no % 64 = 63").select("no")
+    assert sorted(r.no for r in line_dedup._picked(texts, some).collect()) == sorted(want)
+    rest = line_dedup._picked(texts, some, False)
+    assert rest.columns == texts.columns and sorted(r.no for r in rest.collect()) == sorted(set(nos) - want)
+
+
 def test_lists_of_lines_stream_over_batches():
     rng = random.Random(10)
     sizes = [rng.choice([1, 2, 5, 90]) for _ in range(30)]
