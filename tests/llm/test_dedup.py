@@ -12,6 +12,7 @@ import pytest
 import xxhash
 
 import corpus_pipeline
+from pulsemill.llm import components as components_module
 from pulsemill.llm import exact_dedup, line_dedup, simhash
 from pulsemill.llm.common import stored
 from pulsemill.llm.components import components
@@ -292,6 +293,66 @@ def test_copies_of_a_line_in_many_tasks_are_one(docs_of, monkeypatch):
     assert {r.no for r in seen["paired-lines"]} == {no for r in seen["pairs"] for no in (r.a, r.b)}
 
 
+@pytest.mark.parametrize("most", [1, 1 << 20])
+def test_components_by_one_task_or_by_stars(spark, monkeypatch, most):
+    monkeypatch.setattr(components_module, "EDGES", most)
+    rng = random.Random(16)
+    links = [(i + 1, i) for i in range(300)] + [(rng.randrange(400, 900), rng.randrange(400, 900)) for _ in range(300)] + [(950, 950), (-(1 << 62), 1 << 62)]
+    want = joined({n for a, b in links if a != b for n in (a, b)}, [(a, b) for a, b in links if a != b])
+    rows = components(spark.createDataFrame(links, "a long, b long").repartition(5)).collect()
+    assert {r.node: r.root for r in rows} == want and len(rows) == len(want)
+    nodes, roots = components_module.roots_of(*(np.array(x) for x in zip(*links)))
+    assert {a: b for a, b in zip(nodes.tolist(), roots.tolist()) if a != 950} == want
+
+
+@pytest.mark.parametrize("most", [1 << 13, 64])
+def test_parity_never_parts_linked_lines(monkeypatch, most):
+    """Bits of parity, folded to fewer words too, let every link pass, and tell most other lines apart."""
+    monkeypatch.setattr(line_dedup, "PARITY", most)
+    rng = random.Random(17)
+    lines = sorted({line_dedup.normalise(x) for x in odd_lines(rng)} - {""})[:450]
+    signs = pa.Table.from_batches(line_dedup._signed([pa.RecordBatch.from_arrays([pa.array(range(len(lines))), pa.array(lines)], names=["no", "text"])])).to_pylist()
+    sets = [{x[i:i + line_dedup.SHINGLE] for i in range(max(1, len(x) - line_dedup.SHINGLE + 1))} for x in lines]
+    assert [s["n"] for s in signs] == [len(x) for x in sets] and [s["no"] for s in signs] == list(range(len(lines)))
+    for similarity in (0.8, 0.5):
+        passed = 0
+        for a, b in itertools.combinations(range(len(lines)), 2):
+            x, y = sorted((np.frombuffer(signs[i]["parity"], np.uint64) for i in (a, b)), key=len)
+            near = line_dedup._near(x, line_dedup._folded(y[None], len(x))[0], len(sets[a]), len(sets[b]), similarity)
+            assert near or len(sets[a] & sets[b]) < similarity * len(sets[a] | sets[b])
+            passed += near
+        assert passed < 0.2 * len(lines) ** 2 / 2 or most == 64 or similarity < 0.8
+
+
+@pytest.mark.parametrize("block", [4096, 16])
+def test_a_family_of_lines_makes_few_pairs(docs_of, monkeypatch, block):
+    """Of lines that share much, but not enough, only those that may link are paired, though long lists hold them all."""
+    monkeypatch.setattr(line_dedup, "BLOCK", block)
+    rng = random.Random(18)
+    words = ["".join(rng.choices("abcdefghij", k=7)) for _ in range(3000)]
+    base = rng.choices(words, k=60)
+    lines = [" ".join(base[:42] + rng.sample(words, 18)) for _ in range(150)]
+    lines += [x + " more" for x in lines[::10]]
+    docs = stored(docs_of([(i, x) for i, x in enumerate(lines)], parts=4), "t")
+    pairs = []
+
+    def keep(df, label, *rest):
+        out = stored(df, label, *rest)
+        pairs.extend(out.collect() if label in ("pairs", "across") else [])
+        return out
+
+    monkeypatch.setattr(line_dedup, "stored", keep)
+    got = line_dedup.judge_lines(docs).collect()
+    root = joined(lines, linked_lines(set(lines)))
+    classes, mine = defaultdict(set), defaultdict(set)
+    for i, x in enumerate(lines):
+        classes[root[x]].add(i)
+    for r in got:
+        mine[r.component].add(r.doc_id)
+    assert sorted(map(sorted, mine.values())) == sorted(map(sorted, classes.values())) and len(classes) == 150
+    assert len(pairs) < 10 * len(lines)
+
+
 @pytest.mark.parametrize("words", [1 << 21, 0])
 def test_lines_are_picked_by_their_bits(spark, monkeypatch, words):
     monkeypatch.setattr(line_dedup, "WORDS", words)
